@@ -10,22 +10,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def easter_sunday(year: Column) -> Column:
-    """Gregorian Easter by the anonymous (Meeus/Jones/Butcher) algorithm."""
-    y = year.cast("int")
+def with_easter(df: DataFrame, year: str = "y", name: str = "easter") -> DataFrame:
+    """Adds Gregorian Easter Sunday by the anonymous (Meeus/Jones/Butcher) algorithm.
 
-    def div(x: Column, n) -> Column:
+    Each intermediate is its own column, so that Catalyst keeps the steps apart
+    instead of expanding them into one expression that repeats them.
+    """
+
+    def div(x: Column, n: int) -> Column:
         return F.floor(x / n).cast("int")
 
-    a, b, c = y % 19, div(y, 100), y % 100
-    d, e = div(b, 4), b % 4
-    g = div(8 * b + 13, 25)
-    h = (19 * a + b - d - g + 15) % 30
-    i, k = div(c, 4), c % 4
-    m = (32 + 2 * e + 2 * i - h - k) % 7
-    n = div(a + 11 * h + 22 * m, 451)
-    p = h + m - 7 * n + 114
-    return F.make_date(y, div(p, 31), p % 31 + 1)
+    c = F.col
+    steps = [
+        {"_a": c(year) % 19, "_b": div(c(year), 100), "_c": c(year) % 100},
+        {"_g": div(8 * c("_b") + 13, 25), "_d": div(c("_b"), 4), "_e": c("_b") % 4},
+        {"_h": (19 * c("_a") + c("_b") - c("_d") - c("_g") + 15) % 30, "_i": div(c("_c"), 4), "_k": c("_c") % 4},
+        {"_m": (32 + 2 * c("_e") + 2 * c("_i") - c("_h") - c("_k")) % 7},
+        {"_n": div(c("_a") + 11 * c("_h") + 22 * c("_m"), 451)},
+        {"_p": c("_h") + c("_m") - 7 * c("_n") + 114},
+        {name: F.make_date(c(year), div(c("_p"), 31), c("_p") % 31 + 1)},
+    ]
+    out = df
+    for step in steps:
+        out = out.withColumns(step)
+    return out.select(*df.columns, name)
 
 
 # Holidays at a set month and day. The third field is the first
@@ -62,7 +70,7 @@ def holidays(
     spark: SparkSession, first_year: int, last_year: int, bavaria: bool = True, assumption: bool = True
 ) -> DataFrame:
     """``(date, name)`` of every holiday in the years given, both ends included."""
-    y, easter = F.col("y"), easter_sunday(F.col("y"))
+    y, easter = F.col("y"), F.col("easter")
     rows = []
     for (month, day), name, since, regional in FIXED_DAYS:
         if regional and not bavaria or name == "Assumption Day" and not assumption:
@@ -78,7 +86,7 @@ def holidays(
     repentance = F.next_day(F.make_date(y, F.lit(11), F.lit(15)), "Wed")
     rows.append(_entry(F.when((y >= 1990) & (y <= 1994), repentance), "Repentance Day"))
     return (
-        _years(spark, first_year, last_year)
+        with_easter(_years(spark, first_year, last_year))
         .select(F.explode(F.array(*rows)).alias("h"))
         .select("h.date", "h.name")
         .filter("date IS NOT NULL")

@@ -31,7 +31,6 @@ def aggregate_hourly(
 ) -> DataFrame:
     """Records per key and hour, or an aggregate of ``value``.
 
-    Works on a streaming frame as well when the caller sets a watermark.
     A sum over nothing but NULLs is 0; records without a key value are dropped.
     """
     if how not in AGGREGATES:
@@ -45,11 +44,13 @@ def aggregate_hourly(
     else:
         measure = F.count(value).cast("double")
     kept = df.na.drop(subset=keys) if keys else df
-    return (
-        kept.groupBy(*keys, F.window(ts, "1 hour").alias("_hour"))
-        .agg(measure.alias(name))
-        .select(*keys, F.col("_hour.start").alias("ts"), name)
-    )
+    slotted = _hour_of(kept, [*keys, *([value] if value else [])], ts)
+    return slotted.groupBy(*keys, "ts").agg(measure.alias(name))
+
+
+def _hour_of(df: DataFrame, keep: list[str], ts: str) -> DataFrame:
+    """``keep`` and the hour as ``ts``; the tumbling window compiles to integer arithmetic."""
+    return df.select(*keep, F.window(ts, "1 hour").start.alias("ts"))
 
 
 def wide_hourly(df: DataFrame, keys: list[str], ts: str = "ts", task: str = "task") -> DataFrame:
@@ -62,11 +63,7 @@ def wide_hourly(df: DataFrame, keys: list[str], ts: str = "ts", task: str = "tas
         F.count(F.when(F.col(task) == t, 1)).cast("double").alias(c)
         for c, t in VOLUME_COLUMNS.items()
     ]
-    hourly = (
-        df.groupBy(*keys, F.window(ts, "1 hour").alias("_hour"))
-        .agg(*counts)
-        .select(*keys, F.col("_hour.start").alias("ts"), *VOLUME_COLUMNS)
-    )
+    hourly = _hour_of(df, [*keys, task], ts).groupBy(*keys, "ts").agg(*counts)
     return with_total(hourly, [c for c in VOLUME_COLUMNS if c.startswith("outbound_")])
 
 

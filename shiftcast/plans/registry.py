@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import Catalog, Query
 
-MODULES = ["staffing"]
+MODULES = ["staffing", "features"]
 
 
 def _catalogs() -> list[Catalog]:
