@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import Catalog, Query
 
-MODULES = ["staffing", "features"]
+MODULES = ["staffing", "features", "rollups"]
 
 
 def _catalogs() -> list[Catalog]:
