@@ -55,6 +55,38 @@ def repeat_last_week(
     )
 
 
+def backtest_last_week(df: DataFrame, keys: list[str], horizon: int) -> DataFrame:
+    """``(keys, ts, yhat, y)`` of the seasonal-naive forecast beside what happened.
+
+    ``df`` holds dense series with an ``origin`` column. Every row speaks for
+    itself: from the origin on it is an actual, in the week before it is the
+    prediction of later hours. One explode and one aggregation on the
+    partitioning the series already have, where forecasting and joining would
+    read the series twice.
+    """
+    weeks = ceil(horizon / WEEK)
+    unknown = F.lit(None).cast("double")
+
+    def entry(ts: Column, yhat: Column, y: Column) -> Column:
+        return F.struct(ts.alias("ts"), yhat.alias("yhat"), y.alias("y"))
+
+    back = clock.hour_index("origin") - clock.hour_index("ts")
+    volume = F.col("volume")
+    ahead = [entry(F.col("ts") + clock.hours(WEEK * k), volume, unknown) for k in range(1, weeks + 1)]
+    said = (
+        F.when(F.col("_back") <= 0, F.array(entry(F.col("ts"), unknown, volume)))
+        .when(F.col("_back") <= WEEK, F.array(*ahead))
+    )
+    spoken = df.withColumn("_back", back).filter(F.col("_back") <= WEEK).select(*keys, "origin", F.explode(said).alias("_e"))
+    return (
+        spoken.select(*keys, "origin", "_e.*")
+        .filter(F.col("ts") < F.col("origin") + clock.hours(horizon))
+        .groupBy(*keys, "ts")
+        .agg(F.max("yhat").alias("yhat"), F.max("y").alias("y"))
+        .filter("yhat IS NOT NULL AND y IS NOT NULL")
+    )
+
+
 def repeat_yesterday(
     history: DataFrame, keys: list[str], horizon: int, origin: DataFrame | None = None
 ) -> DataFrame:

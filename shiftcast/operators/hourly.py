@@ -126,11 +126,13 @@ def densify(
     values: list[str],
     bounds: DataFrame | None = None,
     fill: float | None = 0.0,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Every hour between the first and the last, absent ones filled.
 
     Without ``bounds`` each series spans its own hours; with a one-row
-    ``(lo, hi)`` frame all series span the same ones. Each row is stretched up
+    ``(lo, hi)`` frame all series span the same ones, and the further columns of
+    that row named in ``carry`` appear in the result. Each row is stretched up
     to the hour before its successor, which takes one window over the series
     and no join against a generated spine.
     """
@@ -142,7 +144,7 @@ def densify(
     else:
         ahead = (
             ahead.withColumn("_first", F.lag("ts").over(w).isNull())
-            .crossJoin(F.broadcast(bounds.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))))
+            .crossJoin(F.broadcast(bounds.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), *carry)))
         )
         start = F.when(F.col("_first"), F.least("ts", "_lo")).otherwise(F.col("ts"))
         stop = F.coalesce(F.col("_next") - one, F.greatest("ts", "_hi"))
@@ -152,7 +154,7 @@ def densify(
         filled = [F.when(own, F.col(v)).alias(v) for v in values]
     else:
         filled = [F.when(own, F.coalesce(F.col(v), F.lit(fill))).otherwise(F.lit(fill)).alias(v) for v in values]
-    return stretched.select(*keys, F.col("_h").alias("ts"), *filled)
+    return stretched.select(*keys, F.col("_h").alias("ts"), *filled, *carry)
 
 
 def dense_hourly(

@@ -121,25 +121,21 @@ def split_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def workload_with_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``workload_all`` with the origin beside every row; the bounds are scanned once."""
+    counts = hourly.aggregate_hourly(records(spark, sf_dir), ["task"])
+    return hourly.densify(counts, ["task"], ["volume"], split_bounds(spark, sf_dir), carry=("origin",))
+
+
 def history_and_actuals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The workload over all sites before and from the origin on."""
-    w = workload_all(spark, sf_dir).crossJoin(F.broadcast(split_bounds(spark, sf_dir)))
-    cols = ["task", "ts", "volume"]
-    return (
-        w.filter("ts < origin").select(*cols, "origin"),
-        w.filter("ts >= origin").select(*cols),
-    )
+    """The workload over all sites before (with its origin) and from the origin on."""
+    w = workload_with_origin(spark, sf_dir)
+    return w.filter("ts < origin"), w.filter("ts >= origin").drop("origin")
 
 
 def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(task, ts, yhat, y)``: seasonal-naive forecast beside the actual volume.
-
-    Both come out of one pass over the workload: the forecast repeats the last
-    week before the origin, the actuals are the rows after it.
-    """
-    past, actual = history_and_actuals(spark, sf_dir)
-    predicted = forecast.repeat_last_week(past.drop("origin"), ["task"], 9 * 24, past.select("task", "origin"))
-    return predicted.join(actual.withColumnRenamed("volume", "y"), ["task", "ts"])
+    """``(task, ts, yhat, y)``: seasonal-naive forecast of the last nine days beside the actual volume."""
+    return forecast.backtest_last_week(workload_with_origin(spark, sf_dir), ["task"], 9 * 24)
 
 
 # --- SQL side -------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CAPACITY, TASK_DEFAULTS, TASKS
+from ..functions import clock
 from ..operators import capacity, forecast, hourly
 from . import base
 from .base import SERIES, Catalog, cte, d, i, r, t
@@ -71,10 +72,10 @@ _wide_plan = (
 
 
 def next_day_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = base.workload(spark, sf_dir)
-    bounds = hourly.time_bounds(base.records(spark, sf_dir))
-    origin = w.crossJoin(F.broadcast(bounds)).withColumn("origin", F.col("hi") + F.expr("INTERVAL 1 HOUR"))
-    ahead = forecast.repeat_last_week(origin, SERIES, 24, origin)
+    raw = base.records(spark, sf_dir)
+    bounds = hourly.time_bounds(raw).withColumn("origin", F.col("hi") + clock.hours(1))
+    dense = hourly.densify(hourly.aggregate_hourly(raw, SERIES), SERIES, ["volume"], bounds, carry=("origin",))
+    ahead = forecast.repeat_last_week(dense, SERIES, 24, dense)
     return capacity.hourly_plan(ahead.withColumnRenamed("yhat", "volume"), ["site"])
 
 
