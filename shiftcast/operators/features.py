@@ -296,3 +296,9 @@ def append_future(df: DataFrame, keys: list[str], horizon: int) -> DataFrame:
         ).alias("ts"),
     )
     return df.unionByName(future, allowMissingColumns=True)
+
+
+def unseen_hours(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
+    """Hours of the day in which a key has no row: a set of at most 24 numbers per key."""
+    seen = df.groupBy(*keys).agg(F.collect_set(F.hour(ts)).alias("_seen"))
+    return seen.select(*keys, F.explode(F.array_except(F.sequence(F.lit(0), F.lit(23)), "_seen")).alias("hour"))

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import Catalog, Query
 
-MODULES = ["staffing", "features", "rollups", "accuracy", "scenarios"]
+MODULES = ["staffing", "features", "rollups", "accuracy", "scenarios", "analysis"]
 
 
 def _catalogs() -> list[Catalog]:
