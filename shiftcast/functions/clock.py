@@ -47,6 +47,20 @@ def epoch_micros(ts: Column | str) -> Column:
     return whole * 1_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
 
 
+def as_instant(ts: Column | str) -> Column:
+    """The TIMESTAMP whose UTC reading is the given TIMESTAMP_NTZ; watermarks need
+    an instant, and this one does not depend on the session time zone."""
+    return F.timestamp_micros(epoch_micros(ts))
+
+
+def from_instant(ts: Column | str) -> Column:
+    """Back to TIMESTAMP_NTZ, exact to the microsecond."""
+    micros = F.unix_micros(_c(ts))
+    seconds = (micros.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(20,0)")).cast("decimal(18,6)")
+    day = F.floor(micros / 86_400_000_000).cast("int")
+    return ntz("1970-01-01 00:00:00") + F.make_dt_interval(day, secs=seconds - day.cast("decimal(18,0)") * 86400)
+
+
 def weekday(ts: Column | str) -> Column:
     """Monday is 0."""
     return F.weekday(_c(ts))

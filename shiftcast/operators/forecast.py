@@ -176,12 +176,16 @@ def with_intervals(
         sigma = sigma.select(*keys, spread.alias("sigma"))
     else:
         sigma = predicted.groupBy(*keys).agg((F.avg("yhat") * 0.1).alias("sigma"))
-    width = (
-        F.lit(z_score(confidence)) * F.col("sigma") * (1 + F.sqrt(F.col("h") / F.lit(24.0)) * 0.5)
-    )
     joined = predicted.join(sigma, keys, "left") if keys else predicted.crossJoin(sigma)
+    return bounds(joined, confidence)
+
+
+def bounds(df: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """Bounds of rows that carry ``yhat``, ``h`` and ``sigma``; ``sigma`` is consumed."""
+    ahead = F.sqrt(F.greatest(F.col("h"), F.lit(0)) / F.lit(24.0))
+    width = F.lit(z_score(confidence)) * F.col("sigma") * (1 + ahead * 0.5)
     return (
-        joined.withColumn("_w", width)
+        df.withColumn("_w", width)
         .withColumn("lower", non_negative(F.col("yhat") - F.col("_w")))
         .withColumn("upper", F.col("yhat") + F.col("_w"))
         .drop("_w", "sigma")

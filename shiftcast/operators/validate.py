@@ -238,11 +238,12 @@ def offending_rows(df: DataFrame, rules: dict[str, Column], order: list[str], k:
 
 
 def duplicates(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Second and later rows of equal ``keys``, numbered from 2.
+    """Second and later rows of equal ``keys``; ``order`` is unique within a key.
 
-    A plain count per key finds the few keys that repeat at all; only their rows
-    are ordered.
+    The first row of each key comes from a map-side aggregation. The join back is
+    between many rows and one per key, so a key with very many copies is a plain
+    skewed join side, which adaptive execution splits; nothing sorts a group.
     """
-    repeated = df.groupBy(*keys).count().filter("count > 1").drop("count")
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.join(repeated, keys).withColumn("occurrence", F.row_number().over(w)).filter("occurrence > 1")
+    first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    repeated = first.filter("_n > 1").drop("_n")
+    return df.join(repeated, keys).filter(F.struct(*order) != F.col("_first")).drop("_first")

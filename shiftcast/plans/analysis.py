@@ -205,13 +205,13 @@ def offending_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @catalog.query(
     "duplicate_rows",
-    "SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, k AS occurrence FROM "
+    "SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM "
     "(SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey) AS k FROM orders) WHERE k > 1",
 )
 def duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second and later orders of a customer on one day."""
     o = base.table(spark, sf_dir, "orders")
-    return validate.duplicates(o, ["o_custkey", "o_orderdate"], ["o_orderkey"]).select("o_orderkey", "o_custkey", "o_orderdate", "occurrence")
+    return validate.duplicates(o, ["o_custkey", "o_orderdate"], ["o_orderkey"]).select("o_orderkey", "o_custkey", "o_orderdate")
 
 
 @catalog.query(

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import Catalog, Query
 
-MODULES = ["staffing", "features", "rollups", "accuracy", "scenarios", "analysis"]
+MODULES = ["staffing", "features", "rollups", "accuracy", "scenarios", "analysis", "models", "flows"]
 
 
 def _catalogs() -> list[Catalog]:
