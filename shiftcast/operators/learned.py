@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..config import FORECAST, ForecastConfig
 from ..functions import clock
 from ..functions.numbers import non_negative
+from ..session import persist_to_shared
 from . import features, forecast, metrics
 
 
@@ -64,21 +65,20 @@ def fit_boosted(
     """
     filled = features.fill_gaps(table, keys, columns)
     back = F.max("ts").over(features.Window.partitionBy(*keys)) - clock.hours(config.test_days * 24)
-    ready = _assembler(columns).transform(
+    assembled = _assembler(columns).transform(
         filled.withColumn("_test", F.col("ts") > back).withColumn("_check", F.pmod(F.xxhash64("ts"), F.lit(10)) == 0)
-    ).select(*keys, "ts", column, "_test", "_check", "features").persist()
-    try:
-        names = [r[0] for r in ready.select(by).distinct().orderBy(by).collect()]  # the few tasks
-        trees = GBTRegressor(
-            labelCol=column, featuresCol="features", predictionCol="_raw", maxIter=config.max_iter,
-            stepSize=config.step_size, maxDepth=config.max_depth, seed=config.seed, validationIndicatorCol="_check",
-        )
-        # The fits are independent job sequences; a few threads keep the cluster busy.
-        with ThreadPoolExecutor(max_workers=min(8, len(names))) as pool:
-            fits = pool.map(lambda n: trees.fit(ready.filter((F.col(by) == n) & ~F.col("_test"))), names)
-            models = dict(zip(names, fits))
-    finally:
-        ready.unpersist()
+    ).select(*keys, "ts", column, "_test", "_check", "features")
+    # Boosting reads the table many times; a written copy outlives lost executors.
+    ready = persist_to_shared(assembled, "training")
+    names = [r[0] for r in ready.select(by).distinct().orderBy(by).collect()]  # the few tasks
+    trees = GBTRegressor(
+        labelCol=column, featuresCol="features", maxIter=config.max_iter, stepSize=config.step_size,
+        maxDepth=config.max_depth, seed=config.seed, validationIndicatorCol="_check",
+    )
+    # The fits are independent job sequences; a few threads keep the cluster busy.
+    with ThreadPoolExecutor(max_workers=min(8, len(names))) as pool:
+        fits = pool.map(lambda n: trees.fit(ready.filter((F.col(by) == n) & ~F.col("_test"))), names)
+        models = dict(zip(names, fits))
     held = ready.filter("_test")
     judged = _apply(models, held, by).select(*keys, "ts", "yhat", F.col(column).alias("y"))
     sigma = forecast.residual_sigma(judged.withColumn("residual", F.col("y") - F.col("yhat")), keys)
@@ -86,14 +86,14 @@ def fit_boosted(
 
 
 def _apply(models: dict[str, GBTRegressionModel], ready: DataFrame, by: str) -> DataFrame:
-    parts = [
-        m.transform(ready.filter(F.col(by) == n)).withColumn("yhat", non_negative("_raw")).drop("_raw")
-        for n, m in models.items()
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Each row takes the prediction of its own model. All models run in one pass
+    over the rows, which costs less than reading the rows once per model."""
+    chosen = F.lit(None).cast("double")
+    out = ready
+    for k, (name, model) in enumerate(models.items()):
+        out = model.copy().setPredictionCol(f"_p{k}").transform(out)
+        chosen = F.when(F.col(by) == name, F.col(f"_p{k}")).otherwise(chosen)
+    return out.withColumn("yhat", non_negative(chosen)).drop(*[f"_p{k}" for k in range(len(models))])
 
 
 def predict_boosted(model: BoostedModel, table: DataFrame) -> DataFrame:

@@ -2,48 +2,54 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer.
 That is right for hourly series, whose length the calendar bounds. For raw
-values of a group of any size the functions here split the group's value range
-into buckets, find the bucket that holds the wanted rank from bucket totals, and
-order only inside buckets.
+values of a group of any size the functions here cut the group's value range
+into about a thousand buckets, find the buckets that hold the wanted ranks from
+the bucket totals, and order only the values inside those.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 128
+BITS = 10  # 2 ** BITS buckets
+ACCURACY = 20_000
 
 
-def _bucketed(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Adds ``_bucket``: how many of the group's split points lie below the value."""
-    shares = F.array(*[F.lit(k / BUCKETS) for k in range(1, BUCKETS)])
-    splits = counts.groupBy(*keys).agg(F.percentile_approx(value, shares, BUCKETS * 10).alias("_splits"))
-    joined = counts.join(splits, keys) if keys else counts.crossJoin(F.broadcast(splits))
-    below = F.size(F.filter("_splits", lambda s: s < F.col(value)))
-    return joined.withColumn("_bucket", below).drop("_splits")
+def _bucketed(counts: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+    """Adds ``_bucket``: how many of the group's split points lie below the value.
 
+    The filter on the weight keeps that column in both uses of ``counts``, so
+    that they are the same plan and Spark shuffles the counts only once.
+    """
+    size = 2**BITS
+    shares = F.array(*[F.lit(k / size) for k in range(1, size)])
+    splits = counts.filter(F.col(weight) > 0).groupBy(*keys).agg(
+        F.percentile_approx(value, shares, ACCURACY).alias("_splits")
+    )
+    joined = counts.join(splits, keys) if keys else counts.crossJoin(F.broadcast(splits))
+    # Binary search: each step decides one bit of the bucket number.
+    steps = F.array(*[F.lit(2**b) for b in reversed(range(BITS))])
+    found = F.aggregate(
+        steps, F.lit(0),
+        lambda at, step: at + F.when(F.element_at("_splits", at + step) < F.col(value), step).otherwise(F.lit(0)),
+    )
+    return joined.withColumn("_bucket", found).drop("_splits")
 
-def cumulative(counts: DataFrame, keys: list[str], value: str, weight: str = "n") -> DataFrame:
-    """Adds ``below``, the weight of smaller values, and ``total`` of the group.
 
-    ``counts`` has one row per key and distinct value.
-    """
-    spread = _bucketed(counts, keys, value)
+def _offsets(spread: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Per bucket: its weight, the weight before it, and the group's total. At most
+    2 ** BITS rows per key meet in a window."""
     totals = spread.groupBy(*keys, "_bucket").agg(F.sum(weight).alias("_w"))
     per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = per_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, "_bucket",
+    return totals.select(
+        *keys, "_bucket", "_w",
         F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_offset"),
         F.sum("_w").over(per_key).alias("total"),
     )
-    inner = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        spread.join(offsets, [*keys, "_bucket"])
-        .withColumn("below", F.col("_offset") + F.coalesce(F.sum(weight).over(inner), F.lit(0)))
-        .drop("_bucket", "_offset")
-    )
 
 
 def exact_quantiles(
@@ -52,13 +58,26 @@ def exact_quantiles(
     """Linearly interpolated quantiles, one column per entry of ``shares``."""
     measured = F.sum(weight) if weight else F.count(F.lit(1))
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(measured.alias("n"))
-    ranked = cumulative(counts, keys, value)
-    aggs: list[Column] = [F.max("total").alias("n")]
+    spread = _bucketed(counts, keys, value, "n")
+    total, offset = F.col("total"), F.col("_offset")
+
+    def ranks(q: float) -> tuple[Column, Column]:
+        position = (total - 1) * F.lit(q)
+        return F.floor(position), F.ceil(position)
+
+    wanted = [rank for q in shares.values() for rank in ranks(q)]
+    holds_one = reduce(lambda a, b: a | b, [(offset <= k) & (k < offset + F.col("_w")) for k in wanted])
+    useful = _offsets(spread, keys, "n").filter(holds_one).drop("_w")
+    inner = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = spread.join(useful, [*keys, "_bucket"]).withColumn(
+        "_below", offset + F.coalesce(F.sum("n").over(inner), F.lit(0))
+    )
+    aggs: list[Column] = [F.max(total).alias("n")]
     for name, q in shares.items():
-        position = (F.col("total") - 1) * F.lit(q)
-        for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            holds = (F.col("below") <= rank) & (rank < F.col("below") + F.col("n"))
-            aggs.append(F.max(F.when(holds, F.col(value))).alias(f"_{name}_{side}"))
+        for side, rank in zip(("lo", "hi"), ranks(q)):
+            hit = (F.col("_below") <= rank) & (rank < F.col("_below") + F.col("n"))
+            aggs.append(F.max(F.when(hit, F.col(value))).alias(f"_{name}_{side}"))
+        position = (total - 1) * F.lit(q)
         aggs.append(F.max(position - F.floor(position)).alias(f"_{name}_f"))
     found = ranked.groupBy(*keys).agg(*aggs)
     lerp = {
@@ -66,9 +85,3 @@ def exact_quantiles(
         for name in shares
     }
     return found.withColumns(lerp).select(*keys, "n", *shares)
-
-
-def mode(counts: DataFrame, keys: list[str], value: str, weight: str = "n") -> DataFrame:
-    """Most frequent value; the smallest of several."""
-    best = F.min_by(F.col(value), F.struct(-F.col(weight), F.col(value)))
-    return counts.groupBy(*keys).agg(best.alias("mode"))

@@ -85,12 +85,18 @@ def interval_counts(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame
     day = F.floor(F.col("_at") / 86_400_000_000).alias("_day")
     sliced = seen.select(*keys, "_at", "_n", day)
     inner = Window.partitionBy(*keys, "_day").orderBy("_at")
-    within = sliced.select(*keys, (F.col("_at") - F.lag("_at").over(inner)).alias("micros"), F.lit(1).alias("n"))
-    repeated = sliced.filter("_n > 1").select(*keys, F.lit(0).cast("bigint").alias("micros"), (F.col("_n") - 1).alias("n"))
-    ends = sliced.groupBy(*keys, "_day").agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
+
+    def entry(micros: Column, n: Column) -> Column:
+        return F.struct(micros.alias("micros"), n.alias("n"))
+
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    own = F.array(entry(F.col("_at") - F.lag("_at").over(inner), one), entry(none, F.col("_n") - 1))
+    within = sliced.withColumn("_e", own).select(*keys, F.explode("_e").alias("_e")).select(*keys, "_e.*")
+    # Filtering on the count makes this branch read the same shuffled rows as the one above.
+    ends = sliced.filter("_n > 0").groupBy(*keys, "_day").agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
     outer = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_day")
-    across = ends.select(*keys, (F.col("_lo") - F.lag("_hi").over(outer)).alias("micros"), F.lit(1).alias("n"))
-    every = within.unionByName(across).unionByName(repeated).filter("micros IS NOT NULL")
+    across = ends.select(*keys, (F.col("_lo") - F.lag("_hi").over(outer)).alias("micros"), one.alias("n"))
+    every = within.unionByName(across).filter("micros IS NOT NULL AND n > 0")
     return every.groupBy(*keys, "micros").agg(F.sum("n").alias("n"))
 
 

@@ -147,7 +147,14 @@ def upload_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uploads.totals(uploads.summarise(uploads.decode(_payloads(spark, sf_dir))))
 
 
-@catalog.query("report_tables")
+@catalog.query(
+    "report_tables",
+    cte("compared", "wide")
+    + "SELECT 'forecast' AS sheet, count(*) AS rows FROM compared UNION ALL SELECT 'hourly_plan', count(*) FROM wide WHERE hour(ts) BETWEEN 8 AND 19 UNION ALL "
+    "SELECT 'daily_summary', count(DISTINCT ts::DATE) FROM wide WHERE hour(ts) BETWEEN 8 AND 19 UNION ALL "
+    "SELECT 'weekly_summary', count(DISTINCT (isoyear(ts), weekofyear(ts))) FROM wide WHERE hour(ts) BETWEEN 8 AND 19 UNION ALL "
+    "SELECT 'historical_daily', count(DISTINCT ts::DATE) FROM wide",
+)
 def report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each table of the full report after writing and reading it."""
     path = new_work_path(spark, "report")

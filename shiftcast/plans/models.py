@@ -124,8 +124,19 @@ def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("latest_mean", F.col("latest_metrics")["volume"]["mean"]).drop("latest_metrics")
 
 
-@catalog.query("model_registration")
+@catalog.query(
+    "model_registration",
+    cte("workload")
+    + "SELECT 'workload' AS model_id, '1.0.0' AS version, 'register' AS event, '2024-02-01 00:00:00' AS at, 'seasonal' AS model_type, 'planner' AS created_by, "
+    f"count(*) AS samples, {t('min(ts)', 'first_ts')}, {t('max(ts)', 'last_ts')}, 12 AS hash_digits, true AS order_free FROM workload",
+)
 def model_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registration row of a model trained on the whole workload, with its fingerprint."""
-    row = models.registration(base.workload(spark, sf_dir), "workload", "1.0.0", "2024-02-01 00:00:00", "seasonal", "planner")
-    return row.drop("metrics")
+    """Registration row of a model trained on the whole workload; its fingerprint
+    must not change when the rows come in another order."""
+    w = base.workload(spark, sf_dir)
+    row = models.registration(w, "workload", "1.0.0", "2024-02-01 00:00:00", "seasonal", "planner")
+    again = models.fingerprint(w.orderBy(F.desc("ts"), "task", "site")).select(F.col("data_hash").alias("_again"))
+    return row.crossJoin(F.broadcast(again)).select(
+        "model_id", "version", "event", "at", "model_type", "created_by", "samples", "first_ts", "last_ts",
+        F.length("data_hash").alias("hash_digits"), (F.col("data_hash") == F.col("_again")).alias("order_free"),
+    )

@@ -19,6 +19,8 @@ def local_session(cores: int | str = 8, app: str = "shiftcast", **conf: str) ->
         .config("spark.sql.shuffle.partitions", str(cores) if str(cores).isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        # No Python call sites per column expression: building plans gets faster.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
