@@ -255,9 +255,10 @@ def histogram(df: DataFrame, keys: list[str], column: str, bins: int = 50) -> Da
     )
     joined = df.join(F.broadcast(stats) if not keys else stats, keys) if keys else df.crossJoin(F.broadcast(stats))
     width = (F.col("_hi") - F.col("_lo")) / bins
-    number = F.least(F.floor(ratio(F.col(column) - F.col("_lo"), width)), F.lit(bins - 1)).cast("int")
+    step = F.coalesce(F.floor(ratio(F.col(column) - F.col("_lo"), width)), F.lit(0))  # all values equal: one bin
+    number = F.least(step, F.lit(bins - 1)).cast("int")
     counted = joined.filter(F.col(column).isNotNull()).groupBy(
-        *keys, "_lo", "_hi", "_mean", "_std", "_n", F.coalesce(number, F.lit(0)).alias("bin")
+        *keys, "_lo", "_hi", "_mean", "_std", "_n", number.alias("bin")
     ).agg(F.count(F.lit(1)).alias("n"))
     left = F.col("_lo") + F.col("bin") * width
     return counted.select(
