@@ -54,6 +54,11 @@ class Catalog:
         return register
 
 
+# Added before rounding, far below the last digit kept: a value that lies exactly
+# between two roundings then falls to the same side whatever the summation order.
+NUDGE = 3e-10
+
+
 def comparable(df: DataFrame) -> DataFrame:
     """Widens integers, rounds doubles to six places and prints times as text,
     so that both engines' results have the same representation."""
@@ -63,7 +68,7 @@ def comparable(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            c = F.round(c.cast("double") + F.lit(NUDGE), 6) + F.lit(0.0)
         elif isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(f.dataType, T.DateType):
@@ -198,7 +203,7 @@ def cte(*names: str, **extra: str) -> str:
 
 def r(expr: str, name: str) -> str:
     """A double rounded as :func:`comparable` does."""
-    return f"round(({expr})::DOUBLE, 6) + 0.0 AS {name}"
+    return f"round(({expr})::DOUBLE + {NUDGE!r}, 6) + 0.0 AS {name}"
 
 
 def i(expr: str, name: str) -> str:

@@ -9,7 +9,7 @@ from ..config import FORECAST, ForecastConfig
 from ..operators import learned, models, seasonal
 from ..session import new_work_path
 from . import base
-from .base import SERIES, Catalog, cte, i, t
+from .base import SERIES, Catalog, cte, i, r, t
 
 catalog = Catalog()
 
@@ -107,7 +107,7 @@ _V = {
 }
 
 
-@catalog.query("active_models", cte("workload_all", **_V) + f"SELECT model_id, version, samples, {t('created_at', 'created_at')}, round(mean, 6) + 0.0 AS mean FROM ver WHERE wk = 2")
+@catalog.query("active_models", cte("workload_all", **_V) + f"SELECT model_id, version, samples, {t('created_at', 'created_at')}, {r('mean', 'mean')} FROM ver WHERE wk = 2")
 def active_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = models.current(registry_log(spark, sf_dir))
     return out.select("model_id", "version", "samples", "created_at", F.col("metrics")["volume"]["mean"].alias("mean"))
@@ -117,7 +117,7 @@ def active_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     "model_summary",
     cte("workload_all", **_V)
     + f"SELECT model_id, count(*) AS total_versions, '1.0.2' AS active_version, {t('min(ver.created_at)', 'created_at')}, {t('max(ver.created_at)', 'last_updated')}, 'seasonal' AS model_type, "
-    "round(max(mean) FILTER (wk = 2), 6) + 0.0 AS latest_mean FROM ver GROUP BY model_id",
+    f"{r('max(mean) FILTER (wk = 2)', 'latest_mean')} FROM ver GROUP BY model_id",
 )
 def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = models.summary(registry_log(spark, sf_dir))
