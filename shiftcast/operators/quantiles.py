@@ -14,19 +14,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import persist_to_shared
+
 BITS = 10  # 2 ** BITS buckets
 ACCURACY = 20_000
 
 
-def _bucketed(counts: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
-    """Adds ``_bucket``: how many of the group's split points lie below the value.
-
-    The filter on the weight keeps that column in both uses of ``counts``, so
-    that they are the same plan and Spark shuffles the counts only once.
-    """
+def _bucketed(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Adds ``_bucket``: how many of the group's split points lie below the value."""
     size = 2**BITS
     shares = F.array(*[F.lit(k / size) for k in range(1, size)])
-    splits = counts.filter(F.col(weight) > 0).groupBy(*keys).agg(
+    splits = counts.groupBy(*keys).agg(
         F.percentile_approx(value, shares, ACCURACY).alias("_splits")
     )
     joined = counts.join(splits, keys) if keys else counts.crossJoin(F.broadcast(splits))
@@ -36,7 +34,10 @@ def _bucketed(counts: DataFrame, keys: list[str], value: str, weight: str) -> Da
         steps, F.lit(0),
         lambda at, step: at + F.when(F.element_at("_splits", at + step) < F.col(value), step).otherwise(F.lit(0)),
     )
-    return joined.withColumn("_bucket", found).drop("_splits")
+    spread = joined.withColumn("_bucket", found).drop("_splits")
+    # Without this exchange the rows would stay partitioned by key, which also
+    # satisfies every later grouping by (key, bucket), in one task per key.
+    return spread.repartition(*keys, "_bucket")
 
 
 def _offsets(spread: DataFrame, keys: list[str], weight: str) -> DataFrame:
@@ -52,13 +53,19 @@ def _offsets(spread: DataFrame, keys: list[str], weight: str) -> DataFrame:
     )
 
 
-def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, shares: dict[str, float], weight: str | None = None
-) -> DataFrame:
-    """Linearly interpolated quantiles, one column per entry of ``shares``."""
-    measured = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(measured.alias("n"))
-    spread = _bucketed(counts, keys, value, "n")
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles, one column per entry of ``shares``.
+
+    The counts per distinct value are needed three times. They are written to the
+    shared folder once, so that the records behind them are read once.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    return quantiles_of_counts(persist_to_shared(counts, "counts"), keys, value, shares)
+
+
+def quantiles_of_counts(counts: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """The same from ``(keys, value, n)`` with one row per distinct value."""
+    spread = _bucketed(counts, keys, value)
     total, offset = F.col("total"), F.col("_offset")
 
     def ranks(q: float) -> tuple[Column, Column]:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clock import day_name
 from ..functions.numbers import ratio
+from ..session import persist_to_shared
 from . import metrics
 
 POINT_COLUMNS = ["forecast_id", "created_at", "model_version", "task", "ts", "yhat"]
@@ -187,17 +188,20 @@ def historical_accuracy(feedback: DataFrame, limit: int = 50) -> DataFrame:
 def learning_insights(summary: DataFrame, keys: list[str], window: int = 5) -> DataFrame:
     """Mean error, trend of the newest against the oldest rows, and targets above 20 %.
 
-    ``summary`` holds the rows of a bounded number of forecasts.
+    Both ends are top-k selections, not a ranking of all rows. The summary is
+    read four times, so it is written once to the shared folder first.
     """
-    order = [F.desc("created_at"), F.desc("forecast_id"), *[F.asc(k) for k in keys]]
-    one = Window.partitionBy(F.lit(0))
-    ranked = summary.withColumn("_rank", F.row_number().over(one.orderBy(*order))).withColumn(
-        "_rows", F.count(F.lit(1)).over(one)
-    )
-    recent = F.avg(F.when(F.col("_rank") <= window, F.col("mape")))
-    older = F.avg(F.when(F.col("_rank") > F.col("_rows") - window, F.col("mape")))
-    overall = ranked.agg(
-        F.max("_rows").alias("rows"), F.avg("mape").alias("avg_mape"), recent.alias("recent_mape"), older.alias("older_mape")
+    summary = persist_to_shared(summary.select(*keys, "created_at", "forecast_id", "mape"), "summary")
+    newest = [F.desc("created_at"), F.desc("forecast_id"), *[F.asc(k) for k in keys]]
+    oldest = [F.asc("created_at"), F.asc("forecast_id"), *[F.desc(k) for k in keys]]
+
+    def end(order: list[Column], name: str) -> DataFrame:
+        return summary.orderBy(*order).limit(window).agg(F.avg("mape").alias(name))
+
+    overall = (
+        summary.agg(F.count(F.lit(1)).alias("rows"), F.avg("mape").alias("avg_mape"))
+        .crossJoin(F.broadcast(end(newest, "recent_mape")))
+        .crossJoin(F.broadcast(end(oldest, "older_mape")))
     )
     trend = (
         F.when(F.col("rows") < window, F.lit(None))

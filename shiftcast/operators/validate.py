@@ -1,9 +1,9 @@
 """Data validation: one row per finding.
 
 Counts of all rules on values and times come from one aggregation. Interval
-rules need the order of the times; they sort inside (series, day) slices and
+rules need the order of the times; they sort inside (series, hour) slices and
 stitch the slices together from their first and last times, so a series that
-holds most of the records is still spread over its days.
+holds most of the records is still spread over its hours.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import clock
 from ..functions.numbers import humanize_seconds, ratio
+from ..session import persist_to_shared
 from . import quantiles
 
 # Names under which a workload column may arrive, and the largest
@@ -76,15 +77,15 @@ def _count(condition: Column) -> Column:
 def interval_counts(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """``(keys, micros, n)``: how often each distance between neighbouring times occurs.
 
-    Equal times have distance 0. The window partitions are (keys, day); the gap
-    across days is measured between slice ends, one row per key and day.
+    Equal times have distance 0. The window partitions are (keys, hour); the gap
+    across hours is measured between slice ends, one row per key and hour.
     """
     seen = df.filter(F.col(ts).isNotNull()).groupBy(*keys, clock.epoch_micros(ts).alias("_at")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    day = F.floor(F.col("_at") / 86_400_000_000).alias("_day")
-    sliced = seen.select(*keys, "_at", "_n", day)
-    inner = Window.partitionBy(*keys, "_day").orderBy("_at")
+    hour = F.floor(F.col("_at") / 3_600_000_000).alias("_slice")
+    sliced = seen.select(*keys, "_at", "_n", hour)
+    inner = Window.partitionBy(*keys, "_slice").orderBy("_at")
 
     def entry(micros: Column, n: Column) -> Column:
         return F.struct(micros.alias("micros"), n.alias("n"))
@@ -93,8 +94,8 @@ def interval_counts(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame
     own = F.array(entry(F.col("_at") - F.lag("_at").over(inner), one), entry(none, F.col("_n") - 1))
     within = sliced.withColumn("_e", own).select(*keys, F.explode("_e").alias("_e")).select(*keys, "_e.*")
     # Filtering on the count makes this branch read the same shuffled rows as the one above.
-    ends = sliced.filter("_n > 0").groupBy(*keys, "_day").agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
-    outer = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_day")
+    ends = sliced.filter("_n > 0").groupBy(*keys, "_slice").agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
+    outer = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_slice")
     across = ends.select(*keys, (F.col("_lo") - F.lag("_hi").over(outer)).alias("micros"), one.alias("n"))
     every = within.unionByName(across).filter("micros IS NOT NULL AND n > 0")
     return every.groupBy(*keys, "micros").agg(F.sum("n").alias("n"))
@@ -102,9 +103,10 @@ def interval_counts(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame
 
 def intervals(df: DataFrame, keys: list[str], ts: str = "ts", factor: float = 3.0) -> DataFrame:
     """Median, largest and most frequent interval, gaps above ``factor`` medians, repeated times."""
-    counts = interval_counts(df, keys, ts)
-    median = quantiles.exact_quantiles(counts, keys, "micros", {"median_micros": 0.5}, weight="n").drop("n")
-    joined = counts.join(median, keys) if keys else counts.crossJoin(F.broadcast(median))
+    # Needed for the median and against it: written once, the records are read once.
+    counts = persist_to_shared(interval_counts(df, keys, ts), "intervals")
+    median = quantiles.quantiles_of_counts(counts, keys, "micros", {"median_micros": 0.5}).drop("n")
+    joined = salted_join(counts, median, keys, "micros") if keys else counts.crossJoin(F.broadcast(median))
     most = F.min_by("micros", F.struct(-F.col("n"), F.col("micros")))
     return joined.groupBy(*keys).agg(
         (F.max("median_micros") / 1e6).alias("median_seconds"),
@@ -115,6 +117,17 @@ def intervals(df: DataFrame, keys: list[str], ts: str = "ts", factor: float = 3.
     )
 
 
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], spread_by: str, salts: int = 32) -> DataFrame:
+    """Joins ``many`` rows per key with ``one``; a key's rows go to ``salts`` tasks.
+
+    A plain join on the keys would leave the rows partitioned by them, and an
+    aggregation by the same keys would then run a large key in a single task.
+    """
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+    copies = one.withColumn("_salt", F.explode(F.array(*[F.lit(k).cast("bigint") for k in range(salts)])))
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def _text(c: Column) -> Column:
     return c.cast("string")
 

@@ -13,26 +13,24 @@ GAP_MINUTES = 60
 def sessions(events: DataFrame, user: str = "user", ts: str = "ts", gap_minutes: int = GAP_MINUTES) -> DataFrame:
     """Sessions ended by more than ``gap_minutes`` without activity: ``(user, start, end, events)``.
 
-    Sessions are first built inside (user, day) slices, so that no user's events
-    meet in one task; the few slice sessions, which the gap bounds in number per
-    day, are then joined across midnight.
+    Events of one minute always belong together, so they are first counted per
+    user and minute with a map-side combine. What is ordered afterwards is at
+    most one row per user and minute of the span, however many events a user has.
     """
+    if gap_minutes < 1:
+        raise ValueError("the gap must be at least one minute")
     gap = gap_minutes * 60 * 1_000_000
     at = clock.epoch_micros(ts)
-    rows = events.select(F.col(user).alias("user"), F.col(ts).alias("ts"), at.alias("_at"), F.to_date(ts).alias("_day"))
-    inner = Window.partitionBy("user", "_day").orderBy("_at")
-    breaks = (F.col("_at") - F.lag("_at").over(inner)) > gap
-    numbered = rows.withColumn("_new", F.coalesce(breaks, F.lit(True)).cast("int"))
-    numbered = numbered.withColumn("_k", F.sum("_new").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = numbered.groupBy("user", "_day", "_k").agg(
+    rows = events.select(F.col(user).alias("user"), F.col(ts).alias("ts"), at.alias("_at"), F.floor(at / 60_000_000).alias("_minute"))
+    minutes = rows.groupBy("user", "_minute").agg(
         F.min("ts").alias("_s"), F.max("ts").alias("_e"), F.min("_at").alias("_sa"), F.max("_at").alias("_ea"), F.count(F.lit(1)).alias("_n")
     )
-    outer = Window.partitionBy("user").orderBy("_sa")
-    apart = (F.col("_sa") - F.lag("_ea").over(outer)) > gap
-    joined = parts.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int"))
-    joined = joined.withColumn("_session", F.sum("_new").over(outer.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = Window.partitionBy("user").orderBy("_minute")
+    apart = (F.col("_sa") - F.lag("_ea").over(ordered)) > gap
+    numbered = minutes.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int"))
+    numbered = numbered.withColumn("_session", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     return (
-        joined.groupBy("user", "_session")
+        numbered.groupBy("user", "_session")
         .agg(F.min("_s").alias("start"), F.max("_e").alias("end"), F.sum("_n").alias("events"))
         .drop("_session")
     )
