@@ -93,3 +93,36 @@ def summary(log: DataFrame) -> DataFrame:
 
 def log_of(rows: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
+
+
+# The nested registry document: model id -> its versions in order of creation.
+VERSION = (
+    "struct<model_id:string,version:string,model_type:string,created_at:timestamp_ntz,created_by:string,"
+    "training_data_hash:string,training_samples:bigint,training_date_range:array<timestamp_ntz>,"
+    "features_used:array<string>,target_columns:array<string>,metrics:map<string,map<string,double>>,"
+    "is_active:boolean,description:string>"
+)
+
+
+def from_json(documents: DataFrame, column: str = "json") -> DataFrame:
+    """Registry documents as an event log; the version marked active is activated last."""
+    v = documents.select(F.explode(F.from_json(column, f"map<string,array<{VERSION}>>")).alias("model_id", "_v"))
+    v = v.select("model_id", F.explode("_v").alias("v"))
+    body = [
+        F.col("v.model_type").alias("model_type"), F.col("v.created_by").alias("created_by"),
+        F.col("v.training_data_hash").alias("data_hash"), F.col("v.training_samples").alias("samples"),
+        F.get("v.training_date_range", F.lit(0)).alias("first_ts"), F.get("v.training_date_range", F.lit(1)).alias("last_ts"),
+        F.col("v.metrics").alias("metrics"),
+    ]
+    head = ["model_id", F.col("v.version").alias("version")]
+    made = v.select(*head, F.lit("register").alias("event"), F.col("v.created_at").alias("at"), *body)
+    newest = v.groupBy("model_id").agg(F.max("v.created_at").alias("_last"))
+    chosen = v.filter("v.is_active").join(newest, "model_id")
+    after = F.col("_last") + F.expr("INTERVAL 1 MICROSECOND")
+    return made.unionByName(chosen.select(*head, F.lit("activate").alias("event"), after.alias("at"), *body))
+
+
+def metric_rows(log: DataFrame) -> DataFrame:
+    """``(model_id, version, target, metric, value)`` of the current versions."""
+    per_target = versions(log).select("model_id", "version", F.explode("metrics").alias("target", "_m"))
+    return per_target.select("model_id", "version", "target", F.explode("_m").alias("metric", "value"))

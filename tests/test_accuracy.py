@@ -269,3 +269,28 @@ def test_boosted_direct_features_know_only_the_past(spark, series):
     table, columns = learned.direct_features(series(range(100)), ["task"], 30)
     lags = [int(c.split("_")[-1][:-1]) for c in columns if "_lag_" in c]
     assert min(lags) >= 30 and "volume" not in columns
+
+
+def test_registry_document(spark):
+    def version(v, day, active):
+        return (
+            f'{{"model_id": "m", "version": "{v}", "model_type": "fourier", "created_at": "2024-01-0{day}T10:00:00", "created_by": "x", '
+            f'"training_data_hash": "ab", "training_samples": 5, "training_date_range": ["2023-01-01T00:00:00", "2023-02-01T00:00:00"], '
+            f'"metrics": {{"calls": {{"rmse": {day}.5}}}}, "is_active": {str(active).lower()}}}'
+        )
+
+    doc = '{"m": [' + version("1.0.0", 1, True) + "," + version("1.0.1", 2, False) + "]}"
+    log = models.from_json(spark.createDataFrame([(doc,)], "json string"))
+    row = models.summary(log).head()
+    assert (row["total_versions"], row["active_version"]) == (2, "1.0.0")
+    assert row["latest_metrics"] == {"calls": {"rmse": 1.5}}
+    assert sorted((r["version"], r["value"]) for r in models.metric_rows(log).collect()) == [("1.0.0", 1.5), ("1.0.1", 2.5)]
+
+
+def test_adjustment_table(spark):
+    from shiftcast.operators import forecast
+
+    said = pairs(spark, [(10, 0)]).drop("y")
+    factors = spark.createDataFrame([("calls", 20.0)], "task string, pct double")
+    assert forecast.adjust(said, factors).head()["yhat"] == pytest.approx(12)
+    assert forecast.adjust(said, factors.limit(0)).head()["yhat"] == 10
