@@ -143,7 +143,7 @@ def test_lockouts(spark):
 
 
 def brute_lockouts(rows, limit=5, minutes=15):
-    """The rule as the reference states it, one attempt after the other."""
+    """The rule applied to one attempt after the other."""
     recent, found = {}, []
     for at, user, ok in sorted(rows):
         if ok:
