@@ -1,8 +1,9 @@
 """Erlang-C queueing formulas as column expressions.
 
-The waiting probability comes from the Erlang-B recursion
-``B(k) = a B(k-1) / (k + a B(k-1))``, which stays inside [0, 1] for any load,
-where the textbook sum of powers over factorials overflows near 140 Erlang.
+The waiting probability is built from the inverse of the Erlang-B blocking
+probability, ``I(0) = 1, I(k) = 1 + I(k-1) k / a``, which needs no powers or
+factorials: ``C(n) = n / ((n - a) I(n) + a)``. The textbook sum overflows near
+140 Erlang.
 """
 
 from __future__ import annotations
@@ -18,25 +19,21 @@ def traffic_intensity(volume: Column, aht_minutes: Column, interval_minutes: flo
     ).otherwise(F.lit(0.0))
 
 
-def _blocking_step(b: Column, k: Column, a: Column) -> Column:
-    return a * b / (k + a * b)
+def _inverse_blocking(a: Column, upto: Column) -> Column:
+    """I(upto); the sequence starts at 0, whose step leaves the 1 as it is."""
+    return F.aggregate(F.sequence(F.lit(0), upto.cast("int")), F.lit(1.0), lambda inv, k: 1 + inv * k / a)
 
 
-def _waiting(b: Column, n: Column, a: Column) -> Column:
-    """Erlang C from Erlang B; callers guarantee n > a."""
-    return n * b / (n - a * (1 - b))
+def _waiting(inverse: Column, n: Column, a: Column) -> Column:
+    """Waiting probability for n > a."""
+    return n / ((n - a) * inverse + a)
 
 
 def wait_probability(agents: Column, a: Column) -> Column:
-    b = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(agents, F.lit(1)).cast("int")),
-        F.lit(1.0),
-        lambda acc, k: _blocking_step(acc, k, a),
-    )
     return (
         F.when((agents <= 0) | (a <= 0), F.lit(0.0))
         .when(a >= agents, F.lit(1.0))
-        .otherwise(_waiting(b, agents, a))
+        .otherwise(_waiting(_inverse_blocking(a, agents), agents, a))
     )
 
 
@@ -52,52 +49,49 @@ def service_level(c: Column, agents: Column, a: Column, aht_seconds: Column, tar
     )
 
 
-def _search(a: Column, aht: Column, goal: Column, target: Column, upto: Column) -> Column:
-    """One fold over 1..upto carrying the blocking value and the first agent
-    count that meets the goal, so each count costs one recursion step."""
-    start = F.struct(
-        F.lit(1.0).alias("b"), F.lit(None).cast("int").alias("n"), F.lit(1.0).alias("c")
-    )
-
-    def step(acc: Column, k: Column) -> Column:
-        b = _blocking_step(acc["b"], k, a)
-        c = F.when(k > a, _waiting(b, k, a)).otherwise(F.lit(1.0))
-        meets = (k >= a) & (service_level(c, k, a, aht, target) >= goal)
-        open_ = acc["n"].isNull()
-        return F.struct(
-            b.alias("b"),
-            F.when(open_, F.when(meets, k)).otherwise(acc["n"]).alias("n"),
-            F.when(open_, c).otherwise(acc["c"]).alias("c"),
-        )
-
-    return F.aggregate(F.sequence(F.lit(1), upto.cast("int")), start, step)
-
-
 def solve_agents(
     a: Column, aht_seconds: Column, goal: Column, target: Column, max_agents: int = 500
 ) -> Column:
     """``struct(n, c)``: fewest agents reaching the goal, and their waiting probability.
 
-    The usual answer lies within a few square roots of the load, so a short fold
-    runs first; only where it finds nothing does the fold up to ``max_agents``
-    run, and ``max_agents`` is the answer when even that fails.
+    Up to the load itself one cheap fold builds I. From there on a second fold
+    tests one agent count per step and stands still once it has found one. The
+    answer usually lies within two square roots of the load; only where it does
+    not, the fold goes on to ``max_agents``, which is the answer if none suffices.
     """
-    near = F.least(F.lit(max_agents), F.ceil(a + 6 * F.sqrt(a) + 20))
+    before = F.ceil(a) - 1
+    near = F.least(F.lit(max_agents), before + 6 + F.ceil(2 * F.sqrt(a)))
+
+    def step(state: Column, k: Column) -> Column:
+        inverse = 1 + state["i"] * k / a
+        # At k = a the waiting probability is 1 and the level 0, as for an overloaded queue.
+        meets = 1 - _waiting(inverse, k, a) * F.exp((a - k) * target / aht_seconds) >= goal
+        return F.when(state["n"].isNotNull(), state).otherwise(
+            F.struct(inverse.alias("i"), F.when(meets, k).alias("n"))
+        )
+
+    def search(start: Column, first: Column, last: Column) -> Column:
+        return F.aggregate(F.sequence(first.cast("int"), last.cast("int")), start, step)
 
     def settle(short: Column) -> Column:
-        found = F.when(
-            short["n"].isNotNull(), short
-        ).otherwise(_search(a, aht_seconds, goal, target, F.lit(max_agents)))
-        return F.struct(
-            F.coalesce(found["n"], F.lit(max_agents)).alias("n"), found["c"].alias("c")
-        )
+        done = short["n"].isNotNull() | (near >= max_agents)
+        found = F.when(done, short).otherwise(search(short, near + 1, F.lit(max_agents)))
+        return _let(found, result)
 
-    # transform over a one-element array binds the short fold to a name, so it
-    # is evaluated once although settle() mentions it several times.
-    solved = F.transform(F.array(_search(a, aht_seconds, goal, target, near)), settle)[0]
-    return F.when(a > 0, solved).otherwise(
-        F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("c"))
-    )
+    def result(found: Column) -> Column:
+        n = F.coalesce(found["n"], F.lit(max_agents))
+        return F.struct(n.alias("n"), _waiting(found["i"], n, a).alias("c"))
+
+    start = F.struct(_inverse_blocking(a, before).alias("i"), F.lit(None).cast("int").alias("n"))
+    solved = _let(search(start, before + 1, near), settle)
+    nothing = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("c"))
+    full = F.struct(F.lit(max_agents).alias("n"), F.lit(1.0).alias("c"))
+    return F.when(a <= 0, nothing).when(a >= max_agents, full).otherwise(solved)
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once however often it is mentioned."""
+    return F.transform(F.array(value), use)[0]
 
 
 def required_agents(

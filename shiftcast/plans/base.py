@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import clock
 from ..operators import forecast, hourly
 
 Query = Callable[[SparkSession, str], DataFrame]

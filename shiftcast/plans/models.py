@@ -9,7 +9,7 @@ from ..config import FORECAST, ForecastConfig
 from ..operators import learned, models, seasonal
 from ..session import new_work_path
 from . import base
-from .base import SERIES, Catalog, cte, i, r, t
+from .base import SERIES, Catalog, cte, r, t
 
 catalog = Catalog()
 

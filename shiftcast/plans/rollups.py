@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import BUSINESS_HOURS, TASKS, VOLUME_COLUMNS
+from ..config import BUSINESS_HOURS, VOLUME_COLUMNS
 from ..functions import clock
 from ..functions.numbers import display_name
 from ..operators import capacity, hourly, leads, rollups, roster

@@ -20,7 +20,7 @@ def series(spark):
     """Makes an hourly series from values: (task, ts, volume), one row per hour."""
     from pyspark.sql import functions as F
 
-    from shiftcast.functions.clock import hour_index, hours, ntz
+    from shiftcast.functions.clock import hours, ntz
 
     def make(values, start="2024-01-01 00:00:00", task="calls"):
         rows = [(task, i, None if v is None else float(v)) for i, v in enumerate(values)]

@@ -158,3 +158,21 @@ def test_request_overrides(spark, series):
     easy = capacity.summary(capacity.hourly_plan(df, [], CAPACITY.override(service_level=0.5))).head()
     hard = capacity.summary(capacity.hourly_plan(df, [], CAPACITY.override(service_level=0.95, wait_seconds=5.0))).head()
     assert easy["total_fte_hours"] < hard["total_fte_hours"]
+
+
+def test_search_beyond_the_usual_range(spark):
+    # A wait target of zero and a level near 1 need far more agents than the load.
+    for a, goal in ((20.0, 0.999999), (3.0, 1.0), (0.01, 0.99), (498.5, 0.8)):
+        n = one(spark, n=erlang.required_agents(lit(a), lit(300), goal, 0.0))["n"]
+
+        def level(k):
+            return 1 - exact_wait_by_recursion(k, a)
+
+        def exact_wait_by_recursion(k, load):
+            b = 1.0
+            for j in range(1, k + 1):
+                b = load * b / (j + load * b)
+            return k * b / (k - load * (1 - b))
+
+        expected = next((k for k in range(math.ceil(a), 501) if k > a and level(k) >= goal), 500)
+        assert n == expected, (a, goal)
