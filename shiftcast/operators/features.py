@@ -122,7 +122,10 @@ def add_holidays(
 
 
 def add_event_flags(df: DataFrame, events: DataFrame, names: list[str], ts: str = "ts") -> DataFrame:
-    """One 0/1 column per named event of ``events(date, name)``."""
+    """One 0/1 column per named event of ``events(date, name)``.
+
+    The joined side is reduced to one row per calendar day before the broadcast.
+    """
     flags = events.groupBy(F.col("date").alias("_date")).agg(
         *[F.max(_flag(F.col("name") == n)).alias(event_column(n)) for n in names]
     )

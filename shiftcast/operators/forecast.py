@@ -137,10 +137,10 @@ def week_profile(
 def adjust(df: DataFrame, factors: DataFrame, value: str = "yhat") -> DataFrame:
     """Scales by percent per task; tasks without a factor stay as they are.
 
-    ``factors`` is ``(task, pct)`` with one row per task, hence broadcast.
+    ``factors`` is ``(task, pct)`` with one row per task.
     """
     scaled = F.col(value) * (1 + F.coalesce(F.col("pct"), F.lit(0.0)) / 100)
-    return df.join(F.broadcast(factors), "task", "left").withColumn(value, scaled).drop("pct")
+    return df.join(factors, "task", "left").withColumn(value, scaled).drop("pct")
 
 
 # Which adjustment a column family takes. Every outbound family

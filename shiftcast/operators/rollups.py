@@ -55,7 +55,7 @@ def weekday_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     spark = df.sparkSession
     spine = spark.createDataFrame(list(enumerate(DAY_NAMES)), "day_of_week int, day_name string")
     means = df.groupBy(F.weekday("ts").alias("day_of_week")).agg(*[F.avg(c).alias(c) for c in columns])
-    return F.broadcast(spine).join(means, "day_of_week", "left")
+    return spine.join(F.broadcast(means), "day_of_week", "left")  # seven rows each
 
 
 def hour_column(hour: int) -> str:
@@ -253,7 +253,7 @@ def histogram(df: DataFrame, keys: list[str], column: str, bins: int = 50) -> Da
         F.min(column).alias("_lo"), F.max(column).alias("_hi"), F.avg(column).alias("_mean"),
         F.stddev_pop(column).alias("_std"), F.count(column).alias("_n"),
     )
-    joined = df.join(F.broadcast(stats) if not keys else stats, keys) if keys else df.crossJoin(F.broadcast(stats))
+    joined = df.join(stats, keys) if keys else df.crossJoin(F.broadcast(stats))  # one row without keys
     width = (F.col("_hi") - F.col("_lo")) / bins
     step = F.coalesce(F.floor(ratio(F.col(column) - F.col("_lo"), width)), F.lit(0))  # all values equal: one bin
     number = F.least(step, F.lit(bins - 1)).cast("int")
