@@ -231,3 +231,16 @@ def test_audit_lines(spark):
              '{"timestamp": "2024-01-01T11:00:00Z", "level": "INFO", "user": "x", "action": "login"}']
     out = sessions.audit_counts(sessions.audit_records(spark.createDataFrame([(x,) for x in lines], "value string"))).collect()
     assert sorted((r["outcome"], r["n"]) for r in out) == [("failure", 1), ("success", 1)]
+
+
+@pytest.mark.parametrize("master", ["local[2]", "spark://host:7077"])
+def test_folder_without_setting(master):
+    from types import SimpleNamespace
+
+    bare = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+    if master.startswith("local"):
+        assert shared_dir(bare) == shared_dir(bare)
+    else:
+        # A machine-local folder would be wrong on a cluster.
+        with pytest.raises(RuntimeError):
+            shared_dir(bare)
