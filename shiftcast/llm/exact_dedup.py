@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..session import persist_to_shared
 from .common import documents, query, text_of
 
-#: Up to so many (length, prefix) groups go to the executors as a broadcast, 16 bytes each.
+#: Up to so many lengths or (length, prefix) groups go to the executors as a broadcast, 16 bytes each.
 BROADCAST_GROUPS = 500_000
 
 
@@ -51,9 +51,12 @@ def mark_copies(
         persisted = persist_to_shared(rows.drop("digest"), "prefixes")
     slim = (rows if digest_all else persisted).select(*keys)
 
-    same_length = slim.groupBy("n_bytes").count().where("count > 1").select("n_bytes")
+    same_length = persist_to_shared(
+        slim.groupBy("n_bytes").count().where("count > 1").select("n_bytes"), "same-length"
+    )
+    few = same_length.count() <= BROADCAST_GROUPS
     same_prefix = persist_to_shared(
-        slim.join(same_length, "n_bytes", "left_semi")
+        slim.join(F.broadcast(same_length) if few else same_length, "n_bytes", "left_semi")
         .groupBy(*keys)
         .count()
         .where("count > 1")
