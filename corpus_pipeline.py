@@ -1,26 +1,56 @@
-"""The training-data pipeline over ``documents``: one operator after another."""
+"""The training-data pipeline over ``documents``: one operator after another.
+
+Each stage works on all rows its predecessor kept. ``run`` writes the rows between the
+stages to the shared folder, so a lost executor repeats one stage at most.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shiftcast.llm import exact_dedup
+from shiftcast.llm import bpe, exact_dedup, minhash, mixing, quality
 from shiftcast.session import persist_to_shared
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return quality.keep_good(docs)
+
+
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id."""
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("exact dedup", without_copies)]
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a similarity of 0.8 on five-word shingles."""
+    return minhash.drop_near_copies(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many words as came in, shared out by weight; a document may come in two epochs."""
+    return mixing.mix(docs, mixing.production_plan())
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded text of each row."""
+    return bpe.encode(docs, bpe.word_vocabulary())
+
+
+STAGES = [
+    ("quality rules", good_documents),
+    ("exact dedup", without_copies),
+    ("minhash near-dedup", without_near_copies),
+    ("source mixing", mixed),
+    ("bpe encoding", encoded),
+]
 
 # Hash signatures and the tokenizer's merges are not expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table; each one's rows are written before the next reads them."""
+    """All stages over the whole table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for label, stage in STAGES[:-1]:
         docs = persist_to_shared(stage(spark, docs, sf_dir), label.replace(" ", "-"))

@@ -192,7 +192,9 @@ def mix(docs: DataFrame, plan: Plan, total: float | None = None, id_col: str = "
     carry = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")]
     picked = _chosen(docs, plan, total, id_col, text_col, None, carry)
     text = F.col(f"__row.`{text_col}`")
-    head = F.regexp_extract(text, F.concat(F.lit(r"\A(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){"), F.col("taken"), F.lit("}")), 0)
+    # Possessive, so that the match runs in a loop however many words there are.
+    start = F.concat(F.lit(r"\A(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("taken"), F.lit("}+"))
+    head = F.call_function("regexp_extract", text, start, F.lit(0))
     cut = F.when(F.col("taken") < F.col("tokens"), head).otherwise(text)
     return picked.select(*[cut.alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
 
