@@ -117,8 +117,9 @@ def select(
     which a leaf's prefix ends. The budgets are met to the token. ``total`` defaults to
     all tokens there are. Documents without tokens (null or empty texts) are taken in
     every whole epoch. Nulls of a level are a value of their own. Ties of the seeded
-    order (rows that repeat a doc_id) fall by their tokens; rows equal in both are cut
-    alike. An empty table gives an empty result.
+    order (rows that repeat a doc_id) fall by their tokens; rows equal in both share what
+    is left for them, short of their number of tokens at most. An empty table gives an
+    empty result.
     """
     values = [F.when(F.col(k) != "null", F.substring(k, 2, 2**31 - 1)).alias(k) for k in plan.levels]
     return _chosen(docs, plan, total, id_col, text_col, tokens, []).select(
@@ -173,12 +174,18 @@ def _cuts(slim: DataFrame, shares: DataFrame, plan: Plan) -> DataFrame:
         *names, "bucket", (F.col("rest") - F.col("upto") + F.col("held")).alias("wanted")
     )
     inside = placed.join(last, [*names, "bucket"])
+    # Rows equal in all of this share what is left for them.
     order = Window.partitionBy(*names).orderBy("o", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumn("upto", F.sum("tokens").over(order))
-    ends = inside.where("upto >= wanted and upto - tokens < wanted").select(
+    inside = (
+        inside.groupBy(*names, "o", "doc_id", "tokens", "wanted")
+        .agg(F.count("*").alias("alike"))
+        .withColumn("upto", F.sum(F.col("tokens") * F.col("alike")).over(order))
+        .withColumn("left", F.col("wanted") - F.col("upto") + F.col("tokens") * F.col("alike"))
+    )
+    ends = inside.where("upto >= wanted and left > 0").select(
         *names,
         F.struct(F.col("o"), F.col("doc_id").alias("i"), F.col("tokens").alias("t")).alias("cut"),
-        (F.col("wanted") - F.col("upto") + F.col("tokens")).alias("cut_taken"),
+        F.expr("left div alike").alias("cut_taken"),
     )
     return shares.join(ends, names, "left")
 
