@@ -62,6 +62,16 @@ def _years(spark: SparkSession, first: int, last: int) -> DataFrame:
     return spark.range(first, last + 1, 1, 1).select(F.col("id").cast("int").alias("y"))
 
 
+def years_between(span: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """The years ``y`` that a one-row table of two dates or times spans."""
+    return span.select(F.explode(F.sequence(F.year(lo), F.year(hi))).alias("y"))
+
+
+def years_of(df: DataFrame, day: str = "date") -> DataFrame:
+    """The years from the first to the last day of a table."""
+    return years_between(df.agg(F.min(day).alias("lo"), F.max(day).alias("hi")))
+
+
 def _entry(day: Column, name: str) -> Column:
     return F.struct(day.alias("date"), F.lit(name).alias("name"))
 
@@ -70,6 +80,11 @@ def holidays(
     spark: SparkSession, first_year: int, last_year: int, bavaria: bool = True, assumption: bool = True
 ) -> DataFrame:
     """``(date, name)`` of every holiday in the years given, both ends included."""
+    return holidays_in(_years(spark, first_year, last_year), bavaria, assumption)
+
+
+def holidays_in(years: DataFrame, bavaria: bool = True, assumption: bool = True) -> DataFrame:
+    """``(date, name)`` of every holiday of a table of years ``y``."""
     y, easter = F.col("y"), F.col("easter")
     rows = []
     for (month, day), name, since, regional in FIXED_DAYS:
@@ -86,7 +101,7 @@ def holidays(
     repentance = F.next_day(F.make_date(y, F.lit(11), F.lit(15)), "Wed")
     rows.append(_entry(F.when((y >= 1990) & (y <= 1994), repentance), "Repentance Day"))
     return (
-        with_easter(_years(spark, first_year, last_year))
+        with_easter(years)
         .select(F.explode(F.array(*rows)).alias("h"))
         .select("h.date", "h.name")
         .filter("date IS NOT NULL")
@@ -101,6 +116,11 @@ def retail_events(
     ``fourth_friday`` takes the fourth Friday of November;
     ``after_thanksgiving`` the day after the fourth Thursday.
     """
+    return retail_events_in(_years(spark, first_year, last_year), rule)
+
+
+def retail_events_in(years: DataFrame, rule: str = "fourth_friday") -> DataFrame:
+    """The retail events of a table of years ``y``."""
     october_end = F.make_date(F.col("y"), F.lit(10), F.lit(31))
     if rule == "fourth_friday":
         friday = F.date_add(F.next_day(october_end, "Fri"), 21)
@@ -116,14 +136,12 @@ def retail_events(
         for d in range(15, 24)
     ]
     return (
-        _years(spark, first_year, last_year)
+        years
         .select(F.explode(F.array(*named)).alias("e"))
         .select("e.date", "e.name")
     )
 
 
-def holiday_and_event_days(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
+def holiday_and_event_days(years: DataFrame) -> DataFrame:
     """Nationwide and Bavarian holidays followed by the retail events."""
-    return holidays(spark, first_year, last_year).unionByName(
-        retail_events(spark, first_year, last_year)
-    )
+    return holidays_in(years).unionByName(retail_events_in(years))

@@ -109,8 +109,7 @@ def add_holidays(
     """
     span = bounds if bounds is not None else df.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
     if holidays is None:
-        # Rules cost nothing to evaluate for years nobody asks for.
-        holidays = calendar.holidays(df.sparkSession, 1970, 2100)
+        holidays = calendar.holidays_in(calendar.years_between(span))
     table = holiday_distances(span, holidays).withColumnRenamed("date", "_date")
     return (
         df.withColumn("_date", F.to_date(ts))

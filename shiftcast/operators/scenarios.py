@@ -22,7 +22,6 @@ DEFAULT_COST = 25.0
 @dataclass(frozen=True)
 class Scenario:
     name: str
-    description: str = ""
     volume_multiplier: float = 1.0
     aht_multiplier: float = 1.0
     service_level: float = 0.80
@@ -30,20 +29,20 @@ class Scenario:
     custom: dict[str, float] = field(default_factory=dict)
 
     @classmethod
-    def from_pct(cls, name: str, description: str = "", volume_pct: float = 0, aht_pct: float = 0, **rest) -> "Scenario":
-        return cls(name, description, 1 + volume_pct / 100, 1 + aht_pct / 100, **rest)
+    def from_pct(cls, name: str, volume_pct: float = 0, aht_pct: float = 0, **rest) -> "Scenario":
+        return cls(name, 1 + volume_pct / 100, 1 + aht_pct / 100, **rest)
 
 
-BASE = Scenario("Base", "Current forecast without modifications")
+BASE = Scenario("Base")
 
-# The scenario templates.
+# Names and factors of the scenario templates.
 PREDEFINED = (
-    Scenario.from_pct("Peak Season (+30%)", "30% increase in all volumes (holiday season, promotions)", 30),
-    Scenario.from_pct("Low Season (-20%)", "20% decrease in volumes (summer, quiet period)", -20),
-    Scenario.from_pct("New Product Launch", "50% more calls, 20% longer handle time", 50, 20),
-    Scenario.from_pct("Efficiency Improvement", "10% reduction in handle time through training/tools", 0, -10),
-    Scenario.from_pct("Crisis Response", "Double volume, 50% longer calls", 100, 50),
-    Scenario.from_pct("Email Shift", "20% more emails, 20% fewer calls", custom={"calls": 0.8, "emails": 1.2}),
+    Scenario.from_pct("Peak Season (+30%)", 30),
+    Scenario.from_pct("Low Season (-20%)", -20),
+    Scenario.from_pct("New Product Launch", 50, 20),
+    Scenario.from_pct("Efficiency Improvement", 0, -10),
+    Scenario.from_pct("Crisis Response", 100, 50),
+    Scenario.from_pct("Email Shift", custom={"calls": 0.8, "emails": 1.2}),
 )
 
 
@@ -117,12 +116,18 @@ def results(
     )
 
 
-def compare(result: DataFrame, base: str = "Base") -> DataFrame:
-    """Each scenario beside the base, differences in percent."""
+def compare(result: DataFrame, base: str = "Base", keys: list[str] | None = None) -> DataFrame:
+    """Each scenario beside the base of its keys, differences in percent.
+
+    A key without the base has NULL differences.
+    """
+    keys = keys or []
     reference = result.filter(F.col("scenario") == base).select(
-        F.col("total_fte").alias("_fte"), F.col("cost").alias("_cost")
+        *keys, F.col("total_fte").alias("_fte"), F.col("cost").alias("_cost")
     )
-    return result.crossJoin(F.broadcast(reference)).select(
+    # Without keys the reference is one row.
+    beside = result.join(reference, keys, "left") if keys else result.crossJoin(F.broadcast(reference))
+    return beside.select(
         *result.columns,
         ((ratio(F.col("total_fte"), F.col("_fte")) - 1) * 100).alias("fte_vs_base_pct"),
         ((ratio(F.col("cost"), F.col("_cost")) - 1) * 100).alias("cost_vs_base_pct"),
@@ -132,7 +137,7 @@ def compare(result: DataFrame, base: str = "Base") -> DataFrame:
 def sweep(parameter: str, values: list[float]) -> list[Scenario]:
     """One scenario per value: percent changes for volume and aht, shares for the rest."""
     def one(v: float) -> Scenario:
-        named = replace(BASE, name=f"{v:g}", description=f"{parameter} {v:g}")
+        named = replace(BASE, name=f"{v:g}")
         if parameter == "volume":
             return replace(named, volume_multiplier=1 + v / 100)
         if parameter == "aht":
@@ -158,10 +163,12 @@ def sensitivity(
     return out.withColumn("value", F.col("scenario").cast("double")).drop("scenario")
 
 
-def nearest_to(swept: DataFrame, base_value: float) -> DataFrame:
-    """The sweep point next to the base value; the first of several."""
+def nearest_to(swept: DataFrame, base_value: float, keys: list[str] | None = None) -> DataFrame:
+    """The sweep point next to the base value, per key; the first of several."""
+    keys = keys or []
     distance = F.struct(F.abs(F.col("value") - base_value), F.col("value"))
-    return swept.agg(F.min_by(F.struct("value", "total_fte", "cost"), distance).alias("_p")).select("_p.*")
+    nearest = F.min_by(F.struct("value", "total_fte", "cost"), distance).alias("_p")
+    return swept.groupBy(*keys).agg(nearest).select(*keys, "_p.*")
 
 
 def pattern(planned: DataFrame, part: str = "hour") -> DataFrame:

@@ -76,23 +76,35 @@ def points_from_json(documents: DataFrame, column: str = "json") -> DataFrame:
     zipped = F.explode(F.arrays_zip(F.col("timestamps").alias("ts"), F.col("_values").alias("yhat")))
     return per_task.withColumn("_z", zipped).select(
         "forecast_id", "created_at", "model_version", "task", F.col("_z.ts").alias("ts"), F.col("_z.yhat").alias("yhat")
-    )
+    ).filter("yhat IS NOT NULL")
 
 
 def points_to_json(points: DataFrame) -> DataFrame:
     """One ``(forecast_id, json)`` record per forecast. A record holds one
-    forecast's horizon, which its length in hours bounds."""
-    per_task = points.groupBy("forecast_id", "created_at", "model_version", "task").agg(
-        F.array_sort(F.collect_list(F.struct("ts", "yhat"))).alias("_p")
+    forecast's horizon, which its length in hours bounds.
+
+    The times are those of all tasks together; where a task has none of them its
+    value is NULL, so that tasks with other horizons keep their times.
+    """
+    record = points.groupBy("forecast_id", "created_at", "model_version").agg(
+        F.array_sort(F.collect_set("ts")).alias("timestamps"),
+        F.collect_set("task").alias("_tasks"),
+        F.map_from_entries(F.collect_list(F.struct(F.struct("task", "ts"), "yhat"))).alias("_at"),
     )
-    record = per_task.groupBy("forecast_id", "created_at", "model_version").agg(
-        F.map_from_entries(F.collect_list(F.struct("task", F.col("_p.yhat")))).alias("predictions"),
-        F.max(F.col("_p.ts")).alias("timestamps"),
+    values = F.transform(
+        "_tasks",
+        lambda task: F.struct(
+            task.alias("task"),
+            F.transform(
+                "timestamps",
+                lambda ts: F.try_element_at("_at", F.struct(task.alias("task"), ts.alias("ts"))),
+            ).alias("values"),
+        ),
     )
     body = F.struct(
         "forecast_id", "created_at", "model_version",
         F.array_min("timestamps").alias("forecast_start"), F.array_max("timestamps").alias("forecast_end"),
-        "predictions", "timestamps",
+        F.map_from_entries(values).alias("predictions"), "timestamps",
     )
     return record.select("forecast_id", F.to_json(F.create_map("forecast_id", body)).alias("json"))
 

@@ -216,10 +216,9 @@ def duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @catalog.query(
     "unseen_hours",
-    cte("hourly", hh="SELECT site, task, h FROM (SELECT DISTINCT site, task FROM hourly WHERE ts < TIMESTAMP '2024-01-08'), range(24) x(h)")
-    + f"SELECT site, task, {i('h', 'hour')} FROM hh ANTI JOIN (SELECT DISTINCT site, task, hour(ts) AS h FROM hourly WHERE ts < TIMESTAMP '2024-01-08') s USING (site, task, h)",
+    cte("hourly", hh="SELECT site, task, h FROM (SELECT DISTINCT site, task FROM hourly), range(24) x(h)")
+    + f"SELECT site, task, {i('h', 'hour')} FROM hh ANTI JOIN (SELECT DISTINCT site, task, hour(ts) AS h FROM hourly) s USING (site, task, h)",
 )
 def unseen_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours of the day in which a series had no record during the first week."""
-    week = base.records(spark, sf_dir).filter(F.col("ts") < F.lit("2024-01-08 00:00:00").cast("timestamp_ntz"))
-    return features.unseen_hours(week, SERIES)
+    """Hours of the day in which a series never had a record."""
+    return features.unseen_hours(base.records(spark, sf_dir), SERIES)

@@ -82,8 +82,9 @@ def holiday_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def holiday_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders on each holiday of the generated calendar."""
-    held = calendar.holidays(spark, 1990, 2030)
-    return base.daily_orders(spark, sf_dir).join(F.broadcast(held), "date").select("date", "name", "n")
+    daily = base.daily_orders(spark, sf_dir)
+    held = calendar.holidays_in(calendar.years_of(daily))
+    return daily.join(F.broadcast(held), "date").select("date", "name", "n")
 
 
 _RETAIL = (
@@ -98,8 +99,9 @@ _RETAIL = (
     cte("daily", events_r=_RETAIL) + f"SELECT {d('daily.date')}, name, {r('n', 'n')} FROM daily JOIN events_r ON events_r.date = daily.date",
 )
 def retail_event_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = calendar.retail_events(spark, 1990, 2030)
-    return base.daily_orders(spark, sf_dir).join(F.broadcast(events), "date").select("date", "name", "n")
+    daily = base.daily_orders(spark, sf_dir)
+    events = calendar.retail_events_in(calendar.years_of(daily))
+    return daily.join(F.broadcast(events), "date").select("date", "name", "n")
 
 
 @catalog.query(
@@ -113,8 +115,9 @@ def retail_event_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holidays and retail events as 0/1 regressor columns."""
     named = ["Black Friday", "Pre-Christmas Peak", "Good Friday"]
-    events = calendar.holiday_and_event_days(spark, 1990, 2030)
-    return features.add_event_flags(days(spark, sf_dir), events, named).drop("n", "total", "ts")
+    daily = days(spark, sf_dir)
+    events = calendar.holiday_and_event_days(calendar.years_of(daily))
+    return features.add_event_flags(daily, events, named).drop("n", "total", "ts")
 
 
 _W = "OVER (PARTITION BY site, task ORDER BY ts)"

@@ -62,15 +62,15 @@ def _hourly(spark: SparkSession, records: list[DataFrame]) -> DataFrame:
     )
 
 
-def load_calls(spark: SparkSession, base: str, pattern: str = "*call*") -> DataFrame:
+def load_calls(spark: SparkSession, base: str, pattern: str = "*call*.csv") -> DataFrame:
     return _hourly(spark, _records(spark, base, pattern, "calls", files.CALL_NAMES))
 
 
-def load_emails(spark: SparkSession, base: str, pattern: str = "*email*") -> DataFrame:
+def load_emails(spark: SparkSession, base: str, pattern: str = "*email*.csv") -> DataFrame:
     return _hourly(spark, _records(spark, base, pattern, "emails", files.EMAIL_NAMES))
 
 
-def load_outbound(spark: SparkSession, base: str, pattern: str = "*outbound*") -> DataFrame:
+def load_outbound(spark: SparkSession, base: str, pattern: str = "*outbound*.csv") -> DataFrame:
     """Hourly volume per outbound type; rows without a type value are dropped, a
     missing type column counts as ``outbound_unknown``."""
     return _hourly(spark, _outbound_records(spark, base, pattern))
@@ -79,8 +79,8 @@ def load_outbound(spark: SparkSession, base: str, pattern: str = "*outbound*") -
 def load_all(spark: SparkSession, base: str) -> DataFrame:
     """The three kinds of files in one hourly table; kinds without files are absent."""
     records = [
-        *_records(spark, base, "*call*", "calls", files.CALL_NAMES),
-        *_records(spark, base, "*email*", "emails", files.EMAIL_NAMES),
-        *_outbound_records(spark, base, "*outbound*"),
+        *_records(spark, base, "*call*.csv", "calls", files.CALL_NAMES),
+        *_records(spark, base, "*email*.csv", "emails", files.EMAIL_NAMES),
+        *_outbound_records(spark, base, "*outbound*.csv"),
     ]
     return _hourly(spark, records)

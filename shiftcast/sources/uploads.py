@@ -12,6 +12,18 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, "\r", ""), "\n"), lambda x: F.trim(x) != "")
 
 
+def _fields(line: Column, sep: Column) -> Column:
+    """Fields of a CSV line; a separator between quotes does not split."""
+    outside = F.concat(sep, F.lit(r'(?=(?:[^"]*"[^"]*")*[^"]*$)'))
+    parts = F.split(line, outside)
+
+    def plain(field: Column) -> Column:
+        inner = F.replace(F.substring(F.trim(field), F.lit(2), F.length(F.trim(field)) - 2), F.lit('""'), F.lit('"'))
+        return F.when(F.trim(field).rlike('^".*"$'), inner).otherwise(field)
+
+    return F.transform(parts, plain)
+
+
 def decode(payloads: DataFrame) -> DataFrame:
     """``(name, type, columns, lines, error)`` of ``(name, type, content)``.
 
@@ -22,7 +34,7 @@ def decode(payloads: DataFrame) -> DataFrame:
     decoded = payloads.withColumn("_text", usable.cast("string")).withColumn("_lines", _lines(F.col("_text")))
     header = F.col("_lines")[0]
     sep = F.when(header.contains(";"), F.lit(";")).otherwise(F.lit(","))
-    names = F.transform(F.split(header, sep), lambda c: F.regexp_replace(F.lower(F.trim(c)), " ", "_"))
+    names = F.transform(_fields(header, sep), lambda c: F.regexp_replace(F.lower(F.trim(c)), " ", "_"))
     error = (
         F.when(F.col("_text").isNull(), "NOT_BASE64")
         .when(F.size("_lines") == 0, "EMPTY_FILE")
@@ -61,7 +73,11 @@ def totals(summary: DataFrame) -> DataFrame:
 
 
 def rows(decoded: DataFrame) -> DataFrame:
-    """``(name, type, values)``: one map of column to text per line."""
-    return decoded.filter("error IS NULL").select("name", "type", "sep", "columns", F.explode("lines").alias("_l")).select(
-        "name", "type", F.map_from_arrays("columns", F.split("_l", F.col("sep"), F.size("columns"))).alias("values")
-    )
+    """``(name, type, values)``: one map of column to text per line.
+
+    A short line has NULL in its last columns; what a long one has more is left out.
+    """
+    lines = decoded.filter("error IS NULL").select("name", "type", "sep", "columns", F.explode("lines").alias("_l"))
+    split = lines.withColumn("_f", _fields(F.col("_l"), F.col("sep")))
+    padded = F.transform("columns", lambda _, i: F.get("_f", i))
+    return split.select("name", "type", F.map_from_arrays("columns", padded).alias("values"))
