@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import hourly
-from ..session import new_work_path
+from ..session import new_work_path, persist_to_shared
 from ..sources import files, loaders, stores, uploads
 from ..streaming import live, lockout, sessions
 from . import base, staffing
@@ -174,27 +176,39 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", "user_id", "event_type", (F.col("user_id") % 10).alias("site"), mapping[F.col("event_type")].alias("task"), "ts", "value")
 
 
-_FINAL = "ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR"
+def _closing(spark: SparkSession, sf_dir: str, label: str) -> tuple[DataFrame, Callable[[], None]]:
+    """The stream and what closes it, two days after the last record."""
+    closing = live.Closing(_stream(spark, sf_dir), label)
 
+    def close() -> None:
+        last = base.table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+        closing.close(last + timedelta(days=2))
 
-@catalog.query("live_hourly", cte("hourly") + f"SELECT site, task, {t()}, {r('volume', 'volume')} FROM hourly WHERE {_FINAL}")
+    return closing.stream, close
+
+
+@catalog.query("live_hourly", cte("hourly") + f"SELECT site, task, {t()}, {r('volume', 'volume')} FROM hourly")
 def live_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly counts of a stream; hours the watermark has not passed are not final yet."""
-    path = live.write_available(live.live_hourly(_stream(spark, sf_dir), SERIES), "live-hourly")
+    """Hourly counts of a stream up to its last hour: the same as in one batch."""
+    stream, close = _closing(spark, sf_dir, "live-hourly")
+    path = live.write_available(live.live_hourly(stream, SERIES), "live-hourly", close=close)
     return spark.read.parquet(path)
 
 
 @catalog.query(
     "live_monitor",
-    cte("compared", "hourly_all", fin=f"SELECT c.task, yhat, h.volume AS y FROM compared c JOIN hourly_all h ON h.task = c.task AND h.ts = c.ts WHERE {_FINAL.replace('ts + ', 'h.ts + ')}")
+    cte("compared", "hourly_all", fin="SELECT c.task, yhat, h.volume AS y FROM compared c JOIN hourly_all h ON h.task = c.task AND h.ts = c.ts")
     + f"SELECT task, {i('count(*)', 'n')}, {r('avg(abs(yhat-y))', 'mae')}, {r('avg(yhat-y)', 'bias')} FROM fin GROUP BY task",
 )
 def live_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors of the stored forecast against final hours, batch by batch."""
+    """Errors of the stored forecast against all hours, batch by batch."""
     path = new_work_path(spark, "monitor")
-    stored = base.compared(spark, sf_dir).select("task", "ts", "yhat")
-    query = live.monitor(live.live_hourly(_stream(spark, sf_dir), ["task"]), stored, ["task"], path, f"{path}-progress")
-    query.awaitTermination()
+    stored = persist_to_shared(base.compared(spark, sf_dir).select("task", "ts", "yhat"), "stored-forecast")
+    stream, close = _closing(spark, sf_dir, "monitor")
+    for before in (lambda: None, close):
+        before()
+        hours = live.live_hourly(stream, ["task"])
+        live.monitor(hours, stored, ["task"], path, f"{path}-progress").awaitTermination()
     return live.monitor_totals(spark, path, ["task"])
 
 
@@ -219,6 +233,17 @@ def lockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lockout.lockouts(_attempts(spark, sf_dir), order="event_id", max_attempts=2)
 
 
+@catalog.query(
+    "lockout_rule",
+    cte(att=_ATT.replace("user_id % 3", "user_id % 1"), ep=_EPOCH, fl=_FAILS.format("'899.999999 seconds'"))
+    + f"SELECT u AS user, {t()}, f AS failures, {t('ts + INTERVAL 15 MINUTE', 'locked_until')} FROM fl WHERE f >= 5",
+)
+def lockout_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule as it is, five failures in 15 minutes, on one account with all attempts."""
+    attempts = _attempts(spark, sf_dir).withColumn("user", F.col("user") * 0)
+    return lockout.lockouts(attempts, order="event_id")
+
+
 @catalog.query(
     "failure_bursts",
     cte(att=_ATT, ep=_EPOCH, fl=_FAILS.format("'86399.999999 seconds'"))
@@ -264,10 +289,11 @@ def activity_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.sessions(base.table(spark, sf_dir, "events"), "user_id")
 
 
-@catalog.query("live_sessions", cte(**_session_sql(">=")) + _SES + " WHERE b + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR")
+@catalog.query("live_sessions", cte(**_session_sql(">")) + _SES)
 def live_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of a stream that the watermark has closed."""
-    path = live.write_available(sessions.live_sessions(_stream(spark, sf_dir), "user_id"), "live-sessions")
+    """Sessions of a stream, also those open at its end: the same as in one batch."""
+    stream, close = _closing(spark, sf_dir, "live-sessions")
+    path = live.write_available(sessions.live_sessions(stream, "user_id"), "live-sessions", close=close)
     return spark.read.parquet(path)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +33,34 @@ def live_hourly(stream: DataFrame, keys: list[str], ts: str = "ts", lateness: st
     )
 
 
-def write_available(stream: DataFrame, label: str, partition_by: list[str] | None = None) -> str:
-    """Runs the stream over everything present into a new Parquet folder; returns its path."""
+class Closing:
+    """Lets a stream that is to end give out its last, still open windows.
+
+    The watermark follows the newest record, so nothing after it ever closes what is
+    open at the end. ``stream`` is the records together with a folder that is empty
+    while they arrive; ``close`` puts one row there whose time lies past all of them
+    and whose other columns are NULL. Its own window stays open and is never given out.
+    """
+
+    def __init__(self, records: DataFrame, label: str, ts: str = "ts") -> None:
+        self.spark, self.schema, self.ts = records.sparkSession, records.schema, ts
+        self.path = new_work_path(self.spark, f"{label}-closing")
+        self.spark.createDataFrame([], self.schema).write.parquet(self.path)
+        self.stream = records.unionByName(self.spark.readStream.schema(self.schema).parquet(self.path))
+
+    def close(self, at) -> None:
+        row = [at if f.name == self.ts else None for f in self.schema.fields]
+        loose = T.StructType([T.StructField(f.name, f.dataType, True) for f in self.schema.fields])
+        self.spark.createDataFrame([row], loose).write.mode("append").parquet(self.path)
+
+
+def write_available(
+    stream: DataFrame, label: str, partition_by: list[str] | None = None, close: Callable[[], None] | None = None
+) -> str:
+    """Runs the stream over everything present into a new Parquet folder; returns its path.
+
+    With ``close`` the stream goes on once more after it, to give out what was open.
+    """
     spark = stream.sparkSession
     path = new_work_path(spark, label)
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", path).option(
@@ -40,8 +68,10 @@ def write_available(stream: DataFrame, label: str, partition_by: list[str] | Non
     )
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    query = writer.trigger(availableNow=True).start()
-    query.awaitTermination()
+    for before in (None, close) if close else (None,):
+        if before:
+            before()
+        writer.trigger(availableNow=True).start().awaitTermination()
     return path
 
 

@@ -39,7 +39,7 @@ def sessions(events: DataFrame, user: str = "user", ts: str = "ts", gap_minutes:
 def live_sessions(
     stream: DataFrame, user: str = "user", ts: str = "ts", gap_minutes: int = GAP_MINUTES, lateness: str = "2 hours"
 ) -> DataFrame:
-    """Sessions on a stream; a gap of exactly ``gap_minutes`` already ends one here.
+    """Sessions on a stream, ended like those of ``sessions`` by a longer gap only.
 
     ``end`` is the last activity: the session window's end less the gap.
     """
