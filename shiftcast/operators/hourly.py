@@ -120,6 +120,18 @@ def time_bounds(df: DataFrame, ts: str = "ts") -> DataFrame:
     )
 
 
+def hour_bounds(hourly: DataFrame, *values: str) -> DataFrame:
+    """``time_bounds`` of an hourly table that is aggregated from the records.
+
+    The values take part, so that both readers of the table need the same columns
+    and Spark runs its aggregation, and the scan below, once for both.
+    """
+    both = F.struct("ts", *values)
+    return hourly.agg(F.min(both).alias("lo"), F.max(both).alias("hi")).select(
+        F.col("lo.ts").alias("lo"), F.col("hi.ts").alias("hi")
+    )
+
+
 def densify(
     df: DataFrame,
     keys: list[str],
@@ -163,14 +175,15 @@ def dense_hourly(
 ) -> DataFrame:
     """Raw records to dense zero-filled series in one go."""
     hourly = aggregate_hourly(records, keys, ts, value, how)
-    bounds = time_bounds(records, ts) if common_span else None
+    bounds = hour_bounds(hourly, "volume") if common_span else None
     return densify(hourly, keys, ["volume"], bounds)
 
 
 def combine(records: DataFrame, keys: list[str], ts: str = "ts", task: str = "task") -> DataFrame:
     """Dense wide hourly table of all tasks with the outbound total."""
     wide = wide_hourly(records, keys, ts, task)
-    return densify(wide, keys, [*VOLUME_COLUMNS, TOTAL_COLUMN], time_bounds(records, ts))
+    values = [*VOLUME_COLUMNS, TOTAL_COLUMN]
+    return densify(wide, keys, values, hour_bounds(wide, *values))
 
 
 def missing_hours(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -38,8 +38,8 @@ class SeasonalSpec:
     changepoint_range: float = 0.8
     changepoint_scale: float = 0.05
     seasonal_scale: float = 10.0
-    # Day number since 1970 -> index of its regressor; names in regressor order.
-    event_days: dict[int, int] = field(default_factory=dict)
+    # Day number since 1970 -> indexes of its regressors; names in regressor order.
+    event_days: dict[int, tuple[int, ...]] = field(default_factory=dict)
     event_names: tuple[str, ...] = ()
 
 
@@ -59,7 +59,10 @@ def spec_with_calendar(
         table = table.unionByName(events.select(F.to_date("date").alias("date"), "name"))
     rows = table.select(F.unix_date("date").alias("d"), "name").collect()
     names = tuple(sorted({r["name"] for r in rows}))
-    return replace(spec, event_days={r["d"]: names.index(r["name"]) for r in rows}, event_names=names)
+    held: dict[int, set[int]] = {}
+    for r in rows:
+        held.setdefault(r["d"], set()).add(names.index(r["name"]))
+    return replace(spec, event_days={d: tuple(sorted(on)) for d, on in held.items()}, event_names=names)
 
 
 def _design(hours: np.ndarray, start: float, span: float, spec: SeasonalSpec) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -83,9 +86,11 @@ def _design(hours: np.ndarray, start: float, span: float, spec: SeasonalSpec) ->
             blocks += [block] * 2
             weights += [1 / spec.seasonal_scale**2] * 2
     if spec.event_names:
-        index = np.array([spec.event_days.get(d, -1) for d in dates])
+        held = np.zeros((len(dates), len(spec.event_names)))
+        for at, day in enumerate(dates):
+            held[at, list(spec.event_days.get(day, ()))] = 1.0
         for j in range(len(spec.event_names)):
-            columns.append((index == j).astype(float))
+            columns.append(held[:, j])
             blocks.append("events")
             weights.append(1 / spec.seasonal_scale**2)
     return np.column_stack(columns), blocks, np.array(weights)

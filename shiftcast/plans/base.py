@@ -118,17 +118,20 @@ def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def split_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def with_origin(bounds: DataFrame) -> DataFrame:
     """One row ``(lo, hi, origin)``: the origin is midnight eight days before the last day."""
-    return hourly.time_bounds(records(spark, sf_dir)).withColumn(
-        "origin", F.date_sub(F.to_date("hi"), 8).cast("timestamp_ntz")
-    )
+    return bounds.withColumn("origin", F.date_sub(F.to_date("hi"), 8).cast("timestamp_ntz"))
+
+
+def split_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_origin(hourly.time_bounds(records(spark, sf_dir)))
 
 
 def workload_with_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``workload_all`` with the origin beside every row; the bounds are scanned once."""
+    """``workload_all`` with the origin beside every row; the records are scanned once."""
     counts = hourly.aggregate_hourly(records(spark, sf_dir), ["task"])
-    return hourly.densify(counts, ["task"], ["volume"], split_bounds(spark, sf_dir), carry=("origin",))
+    bounds = with_origin(hourly.hour_bounds(counts, "volume"))
+    return hourly.densify(counts, ["task"], ["volume"], bounds, carry=("origin",))
 
 
 def history_and_actuals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
