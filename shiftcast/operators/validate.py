@@ -238,10 +238,15 @@ def severity_counts(issues: DataFrame) -> DataFrame:
 def statistics(df: DataFrame) -> DataFrame:
     """Mean, median, deviation, minimum and maximum per workload column."""
     roles = value_columns(df)
-    parts = {"mean": F.avg, "median": F.median, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    one = df.agg(*[fn(c).cast("double").alias(f"{role}__{p}") for role, c in roles.items() for p, fn in parts.items()])
-    entries = ", ".join(f"'{role}', " + ", ".join(f"`{role}__{p}`" for p in parts) for role in roles)
-    return one.select(F.expr(f"stack({len(roles)}, {entries}) as (column, {', '.join(parts)})"))
+    pairs = ", ".join(f"'{role}', cast(`{c}` as double)" for role, c in roles.items())
+    long = df.select(F.expr(f"stack({len(roles)}, {pairs}) as (column, value)"))
+    plain = long.groupBy("column").agg(
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"),
+    )
+    # Spark's own median would keep every distinct value of a column in one task.
+    medians = quantiles.exact_quantiles(long, ["column"], "value", {"median": 0.5}).select("column", "median")
+    return plain.join(medians, "column", "left").select("column", "mean", "median", "std", "min", "max")
 
 
 def offending_rows(df: DataFrame, rules: dict[str, Column], order: list[str], k: int = 10) -> DataFrame:

@@ -387,8 +387,8 @@ def growth_applied_to_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roster_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as agents, nations as centres, through the nested JSON form."""
-    s = base.table(spark, sf_dir, "supplier").select(
+    """Suppliers as agents, nations as centres."""
+    return base.table(spark, sf_dir, "supplier").select(
         F.col("s_nationkey").cast("string").alias("centre"),
         F.concat(F.lit("Centre "), F.col("s_nationkey")).alias("centre_name"),
         (F.lit(20.0) + F.col("s_nationkey") % 5).alias("cost"),
@@ -397,7 +397,6 @@ def roster_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(0.5) + F.lit(0.1) * (F.col("s_suppkey") % 6)).alias("fte"),
         (F.col("s_suppkey") % 7 != 0).alias("active"),
     )
-    return roster.from_json(roster.to_json(s))
 
 
 _ROSTER = "SELECT s_nationkey::VARCHAR AS centre, 20.0::DOUBLE + s_nationkey % 5 AS cost, s_suppkey AS agent, 0.5::DOUBLE + 0.1::DOUBLE*(s_suppkey%6) AS fte, s_suppkey%7<>0 AS active FROM supplier"

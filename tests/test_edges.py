@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shiftcast.functions import calendar
 from shiftcast.functions.clock import ntz
-from shiftcast.operators import features, scenarios, seasonal, tracking
+from shiftcast.operators import features, roster, scenarios, seasonal, tracking
 from shiftcast.session import new_work_path
 from shiftcast.sources import loaders, uploads
 from shiftcast.streaming import live, sessions
@@ -99,3 +99,9 @@ def test_last_hour_of_a_stream_is_given_out(spark):
     path = live.write_available(live.live_hourly(closing.stream, ["site"]), "hours-out", close=lambda: closing.close(datetime(2024, 1, 5)))
     assert [(str(r["ts"]), r["volume"]) for r in spark.read.parquet(path).orderBy("ts").collect()] == [
         ("2024-01-01 00:00:00", 1.0), ("2024-01-01 05:00:00", 1.0), ("2024-01-01 10:00:00", 1.0)]
+
+
+def test_roster_through_its_document(spark):
+    rows = [("1", "North", 20.0, "a", "Ann", 0.5, True), ("1", "North", 20.0, "b", "Bo", 1.0, False), ("2", "South", 30.0, "c", "Cy", 0.8, True)]
+    flat = spark.createDataFrame(rows, "centre string, centre_name string, cost double, agent string, agent_name string, fte double, active boolean")
+    assert sorted(tuple(r) for r in roster.from_json(roster.to_json(flat)).select(*flat.columns).collect()) == rows
