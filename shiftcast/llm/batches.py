@@ -16,15 +16,22 @@ BATCH_ROWS = 500
 CHUNK_CHARS = 2_000_000
 
 
+def slim_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+
+
 def map_documents(docs: DataFrame, work, schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``work`` over (doc_id, text) frames; a null text arrives as the empty one.
 
     doc_id arrives and leaves as it is, nulls included, so it must be an integer.
     The batch size of the session is lowered for it: it bounds the workers' memory.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return slim.mapInPandas(work, schema)
+    return map_frames(slim_documents(docs, id_col, text_col), work, schema)
+
+
+def map_frames(rows: DataFrame, work, schema: str) -> DataFrame:
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return rows.mapInPandas(work, schema)
 
 
 def chunks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[list, list[str]]]:

@@ -12,7 +12,9 @@ agree on a whole band are candidates.
   outside the main component are compared with the rest of the bucket inside tasks, in
   blocks of a bounded number of members, which emit confirmed links only. So in the
   end every pair of a bucket has been compared or is connected.
-* A link is confirmed on the full shingle sets, whatever the signature says.
+* A link is confirmed on the full shingle sets, whatever the signature says. Sets are
+  made a second time, for one document of each node that shares a bucket, so that only
+  slim signatures are written for all documents.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import persist_to_shared
-from .batches import chunks, id_series, map_documents
+from .batches import map_frames, slim_documents
 from .common import documents, query
 from .components import components
 
@@ -35,7 +37,8 @@ LEADER_ROUNDS = 2
 #: Members outside and inside the main component that one task compares at once.
 QUERY_BLOCK, MEMBER_BLOCK = 256, 1024
 
-SCHEMA = "doc_id long, n_shingles long, node string, shingles array<long>, bands array<long>"
+#: Up to so many candidates are looked up in the documents by a broadcast, 16 bytes each.
+BROADCAST_KEYS = 1_000_000
 
 
 class Signer:
@@ -91,24 +94,51 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sign(docs, words, bands, rows, id_col, text_col) -> DataFrame:
-    """doc_id, n_shingles, node (names the shingle set), shingles, bands."""
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and what finds a document again."""
+    rows = slim_documents(docs, id_col, text_col)
+    return rows.withColumns({"text_key": F.xxhash64("text"), "id_key": F.coalesce("doc_id", F.lit(0))})
+
+
+def node_name(shingles: np.ndarray) -> bytes:
+    """Names a shingle set."""
+    return xxhash.xxh3_128_digest(shingles.tobytes())
+
+
+def sign(rows: DataFrame, words: int, bands: int, per_band: int) -> DataFrame:
+    """Of keyed rows: doc_id, text_key, id_key, n_shingles, node (names the set), bands."""
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signer = Signer(words, bands, per_band)
+        for frame in frames:
+            sets = [signer.shingles(t) for t in frame["text"]]
+            frame["doc_id"] = frame["doc_id"].astype("Int64")
+            yield frame.drop(columns="text").assign(
+                n_shingles=[len(s) for s in sets],
+                node=[node_name(s) for s in sets],
+                bands=[signer.band_keys(s).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets],
+            )
+
+    schema = "doc_id long, text_key long, id_key long, n_shingles long, node binary, bands array<long>"
+    return map_frames(rows, work, schema)
+
+
+def full_sets(rows: DataFrame, words: int, bands: int, per_band: int) -> DataFrame:
+    """Of keyed rows: node, shingles, bands."""
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        signer = Signer(words, bands, rows)
-        for doc_ids, texts in chunks(frames):
-            sets = [signer.shingles(t) for t in texts]
+        signer = Signer(words, bands, per_band)
+        for frame in frames:
+            sets = [signer.shingles(t) for t in frame["text"]]
             yield pd.DataFrame(
                 {
-                    "doc_id": id_series(doc_ids),
-                    "n_shingles": [len(s) for s in sets],
-                    "node": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets],
+                    "node": [node_name(s) for s in sets],
                     "shingles": [s.view(np.int64) for s in sets],
                     "bands": [signer.band_keys(s).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets],
                 }
             )
 
-    return map_documents(docs, work, SCHEMA, id_col, text_col)
+    return map_frames(rows.select("text"), work, "node binary, shingles array<long>, bands array<long>")
 
 
 def near_duplicates(
@@ -135,8 +165,18 @@ def near_duplicates(
     and keeps its rows. Rows that repeat a doc_id share its verdict. An empty table
     gives an empty result.
     """
-    signed = persist_to_shared(sign(docs, words, bands, rows, id_col, text_col), "signatures")
-    roots = _connected(_buckets(signed), signed, percent)
+    source = keyed(docs, id_col, text_col)
+    signed = persist_to_shared(sign(source, words, bands, rows), "signatures")
+    buckets = _buckets(signed)
+    # One document of each node that shares a bucket.
+    place = F.min(F.struct("text_key", "id_key")).alias("place")
+    nodes = buckets.select("node").distinct()
+    places = signed.select("node", "text_key", "id_key").join(nodes, "node").groupBy("node").agg(place)
+    places = persist_to_shared(places.select("place.*"), "candidates")
+    small = places.count() <= BROADCAST_KEYS
+    picked = source.join(F.broadcast(places) if small else places, ["text_key", "id_key"], "left_semi")
+    full = persist_to_shared(full_sets(picked, words, bands, rows).dropDuplicates(["node"]), "full-sets")
+    roots = _connected(buckets, full, percent)
     least = (
         signed.where("n_shingles > 0")
         .groupBy("node")
@@ -162,19 +202,21 @@ def _buckets(signed: DataFrame) -> DataFrame:
     """
     members = signed.select(
         F.explode("bands").alias("bucket"), "node", F.col("n_shingles").cast("int").alias("n")
-    ).distinct()
-    several = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    held = persist_to_shared(members.join(several, "bucket"), "members")
-    fame = held.groupBy("node").agg(F.sum("size").alias("fame"))
+    )
+    # A bucket has several nodes if their hashes differ.
+    other = F.xxhash64("node")
+    several = members.groupBy("bucket").agg(F.min(other).alias("x"), F.max(other).alias("y")).where("x <> y")
+    held = persist_to_shared(members.join(several.select("bucket"), "bucket").distinct(), "members")
+    sizes = held.groupBy("bucket").agg(F.count("*").alias("size"))
+    fame = held.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("fame"))
     return persist_to_shared(held.join(fame, "node").select("bucket", "node", "n", "fame"), "buckets")
 
 
-def _connected(buckets: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+def _connected(buckets: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """(node, root) of all nodes that are linked with another."""
     spark = buckets.sparkSession
-    links = spark.createDataFrame([], "a string, b string")
-    roots = spark.createDataFrame([], "node string, root string")
-    sets = signed.select("node", "shingles")
+    links = spark.createDataFrame([], "a binary, b binary")
+    roots = spark.createDataFrame([], "node binary, root binary")
     for _ in range(LEADER_ROUNDS):
         here, open_ = _unsettled(buckets, roots)
         pairs = (
@@ -184,7 +226,7 @@ def _connected(buckets: DataFrame, signed: DataFrame, percent: int) -> DataFrame
             .select(F.least("node", "led_by.node").alias("a"), F.greatest("node", "led_by.node").alias("b"))
             .distinct()
         )
-        found = persist_to_shared(_confirmed(persist_to_shared(pairs, "pairs"), sets, percent), "confirmed")
+        found = persist_to_shared(_confirmed(persist_to_shared(pairs, "pairs"), full, percent), "confirmed")
         if not found.isEmpty():
             links = persist_to_shared(links.unionByName(found), "links")
             roots = persist_to_shared(components(links), "roots")
@@ -194,11 +236,11 @@ def _connected(buckets: DataFrame, signed: DataFrame, percent: int) -> DataFrame
         buckets = persist_to_shared(buckets, "buckets")
         if buckets.isEmpty():
             return roots
-    found = persist_to_shared(_in_blocks(buckets, roots, signed, percent), "confirmed")
+    found = persist_to_shared(_in_blocks(buckets, roots, full, percent), "confirmed")
     return roots if found.isEmpty() else components(links.unionByName(found))
 
 
-def _in_blocks(buckets: DataFrame, roots: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+def _in_blocks(buckets: DataFrame, roots: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links between the components that meet in a bucket, by comparison in blocks."""
     here, open_ = _unsettled(buckets, roots)
     here = here.join(open_, "bucket").withColumn("asks", F.col("root") != F.col("led_by.root"))
@@ -207,8 +249,6 @@ def _in_blocks(buckets: DataFrame, roots: DataFrame, signed: DataFrame, percent:
         F.ceil(F.count("*") / MEMBER_BLOCK).alias("member_blocks"),
     ).where("query_blocks > 0")
     here = persist_to_shared(here.join(sizes, "bucket").drop("led_by", "fame"), "open-members")
-    nodes = here.select("node").distinct()
-    full = signed.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", "shingles", "bands")
     spot = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     columns = ["bucket", "node", "root"]
@@ -216,7 +256,7 @@ def _in_blocks(buckets: DataFrame, roots: DataFrame, signed: DataFrame, percent:
     queries = here.where("asks").select(*columns, "asks", every("member_blocks").alias("m"), spot("query_blocks").alias("q"))
     blocks = members.unionByName(queries).join(full, "node")
     compare = lambda frame: compare_block(frame, percent)
-    return blocks.groupBy("bucket", "q", "m").applyInPandas(compare, "a string, b string").distinct()
+    return blocks.groupBy("bucket", "q", "m").applyInPandas(compare, "a binary, b binary").distinct()
 
 
 def compare_block(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -264,17 +304,12 @@ def _unsettled(buckets: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFra
     return here, found.where("least <> most").select("bucket", "led_by")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = persist_to_shared(
-        sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets"
-    )
-    left = wanted.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = wanted.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    left = full.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = full.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.withColumn("n", shared).where(
+    return both.withColumn("n", F.size(F.array_intersect("x", "y"))).where(
         100 * F.col("n") >= percent * (F.size("x") + F.size("y") - F.col("n"))
     ).select("a", "b")
 
