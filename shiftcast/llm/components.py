@@ -15,20 +15,22 @@ def components(links: DataFrame) -> DataFrame:
     logarithm of the number of nodes in steps. Both are aggregations to the least
     neighbour and a join back, so no node's neighbours are gathered in one task.
     """
-    pairs = links.select("a", "b").where("a <> b").distinct()
-    pairs = persist_to_shared(pairs, "links")
-    while True:
-        large = _star(pairs, large=True)
-        small = persist_to_shared(_star(large, large=False).distinct(), "stars")
-        # Stars: every node points to a root that points nowhere.
-        same = small.join(pairs, ["a", "b"], "left_anti").isEmpty() and pairs.join(small, ["a", "b"], "left_anti").isEmpty()
-        pairs = small
-        if same:
-            break
+    pairs = persist_to_shared(links.select("a", "b").where("a <> b").distinct(), "links")
+    before = None
+    while (now := _digest(pairs)) != before:
+        # Stars in the end: every node points to a root that points nowhere.
+        before = now
+        pairs = persist_to_shared(_star(_star(pairs, large=True), large=False).distinct(), "stars")
     roots = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _digest(pairs: DataFrame) -> tuple:
+    """Number of the pairs, all of them different, and two hashes of the set of them."""
+    one, two = F.xxhash64("a", "b"), F.xxhash64("b", F.lit(1), "a")
+    return tuple(pairs.agg(F.count("*"), F.bit_xor(one), F.bit_xor(two)).first())
+
+
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """Links (a, b) with a > b. large: of each node, the neighbours above it are linked to
     the least of its neighbourhood; small: those below it and the node itself."""
