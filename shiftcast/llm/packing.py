@@ -10,7 +10,7 @@ no text or token is shuffled, and a lost task repeats its own rows only.
 
 from __future__ import annotations
 
-import re
+import base64
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,18 +24,6 @@ from .batches import chunks, map_documents
 from .common import documents, query
 
 GROUP_PIECES = 4096
-CACHED_UNITS = 400_000
-# White space and the coarse splitting of the vocabulary's tokenizer. A
-# unit is a run of other characters with the one space before it, or white space; the
-# tokenizer never joins characters of two units.
-SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-UNITS = 400_000
-# White space and the coarse splitting of the vocabulary's tokenizer. A
-# unit is a run of other characters with the one space before it, or white space; the
-# tokenizer never joins characters of two units.
-SPACE = "\t\n\x0b\f\r \x85\xa0  -     　"
-UNITS = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-
 
 class RoomTree:
     """A segment tree over room sizes 0..width: which sizes some open row has."""
@@ -84,25 +72,13 @@ def best_fit(lengths: list[int], width: int) -> list[int]:
     return out
 
 
-class UnitEncoder:
-    """Ids of texts by a tokenizer file whose pre-tokens lie inside units."""
-
-    def __init__(self, vocabulary: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+def tokenizer(vocabulary: str, pattern: str):
+    """A byte-level tokenizer from a file of ranks; strings of special tokens are ordinary text."""
+    import tiktoken
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHED_UNITS:
-            self.known.clear()
-        split = [UNITS.findall(t) for t in texts]
-        new = list({u for units in split for u in units if u not in self.known})
-        for unit, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[unit] = np.array(e.ids, "<u4").tobytes()
-        known = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(known, units)), "<u4") for units in split]
+    with open(vocabulary, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 @dataclass
@@ -141,6 +117,7 @@ SCHEMA = (
 def pack(
     docs: DataFrame,
     vocabulary: str,
+    pattern: str,
     width: int = 2048,
     end_id: int = 50256,
     id_col: str = "doc_id",
@@ -159,8 +136,8 @@ def pack(
     """
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = UnitEncoder(vocabulary)
-        kind = np.dtype("<u2" if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
+        encoder = tokenizer(vocabulary, pattern)
+        kind = np.dtype("<u2" if max(encoder.n_vocab, end_id + 1) <= 1 << 16 else "<u4")
         base, made = TaskContext.get().partitionId() << 40, 0
         rest: list[tuple] = []
 
@@ -179,7 +156,8 @@ def pack(
 
         for doc_ids, texts in chunks(frames):
             full: list[Row] = []
-            for doc_id, found in zip(doc_ids, encoder.encode(texts)):
+            for doc_id, text in zip(doc_ids, texts):
+                found = encoder.encode_to_numpy(text, disallowed_special=())
                 ids = np.append(found.astype(kind), kind.type(end_id))
                 for start in range(0, len(ids), width):
                     piece = ids[start : start + width]
@@ -237,16 +215,17 @@ def position_ids(borders, width: int) -> np.ndarray:
     return np.pad(used, (0, width - borders[-1]))
 
 
-def byte_vocabulary() -> str:
+def byte_vocabulary() -> tuple[str, str]:
+    """Path of the ranks and the pattern that splits texts."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 @query("op3_packed_token_ids")
 def op3(spark, sf_dir):
     """Packed rows with the digest of their ids in place of the ids."""
-    return pack(documents(spark, sf_dir), byte_vocabulary()).select(
+    return pack(documents(spark, sf_dir), *byte_vocabulary()).select(
         "pack_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
