@@ -39,7 +39,7 @@ NOT_SPACE = re.compile(rf"[^{SPACE}]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 CACHED_PAIRS = 2_000_000
-CACHED_WORDS = 200_000
+CACHED_WORDS = 500_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -71,9 +71,9 @@ class TrieEncoder:
         self.number = {i: str(i) for i in self.token}
         self.size = {i: len(t.removesuffix(END)) for i, t in self.token.items()}
         self.bytes = byte_symbols()
-        self.ascii = {k: v for k, v in self.bytes.items() if k < 128}
         self.apart: dict[int, bool] = {}  # by left * 2^32 + right
         self.words: dict[str, tuple[int, str, str]] = {}
+        self.pieces: dict[str, tuple[int, str, str]] = {}
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether both tokens stay whole when they stand side by side.
@@ -135,16 +135,25 @@ class TrieEncoder:
         pieces = {}
         for word in wanted:
             low = word.replace("Σ", "σ").lower()  # no final sigma: each character alone
-            found = PIECES.findall(low)
-            pieces[word] = [
-                p.translate(self.ascii) if p.isascii() else "".join(map(self.bytes.__getitem__, p.encode()))
-                for p in found
-            ]
-        encoded = self.encode_words({p for found in pieces.values() for p in found})
+            pieces[word] = [low] if low.isalpha() else PIECES.findall(low)
+        known = self.pieces
+        symbols = {p: self.as_symbols(p) for found in pieces.values() for p in found if p not in known}
+        encoded = self.encode_words(set(symbols.values()))
         number, token = self.number.__getitem__, self.token.__getitem__
+        for piece, word in symbols.items():
+            tokens = encoded[word]
+            known[piece] = (len(tokens), " ".join(map(number, tokens)), " ".join(map(token, tokens)))
         for word, found in pieces.items():
-            tokens = encoded[found[0]] if len(found) == 1 else [t for p in found for t in encoded[p]]
-            self.words[word] = (len(tokens), " ".join(map(number, tokens)), " ".join(map(token, tokens)))
+            if len(found) == 1:
+                self.words[word] = known[found[0]]
+            else:
+                counts, ids, tokens = zip(*map(known.__getitem__, found))
+                self.words[word] = (sum(counts), " ".join(ids), " ".join(tokens))
+
+    def as_symbols(self, piece: str) -> str:
+        if piece.isascii() and piece.isprintable():
+            return piece
+        return piece.encode().decode("latin-1").translate(self.bytes)
 
     def split(self, text: str) -> list[str]:
         """Words and special tokens of a text, in order."""
@@ -160,16 +169,17 @@ class TrieEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Number of tokens, ids and decoded text of each text."""
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        known = self.words
         split = [self.split(t) for t in texts]
+        if len(self.words) > CACHED_WORDS:  # this chunk's words stay
+            self.words = {w: self.words[w] for words in split for w in words if w in self.words}
+            self.pieces = {}
+        known = self.words
         self.learn({w for words in split for w in words if w not in known and w not in self.special})
         for word, number in self.special.items():
             known[word] = (1, str(number), word)
         for words in split:
-            found = [f for f in map(known.__getitem__, words) if f[0]]
-            yield sum(f[0] for f in found), " ".join([f[1] for f in found]), " ".join([f[2] for f in found])
+            counts, ids, tokens = zip(*map(known.__getitem__, words)) if words else ((), (), ())
+            yield sum(counts), " ".join(ids), " ".join(tokens)
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
