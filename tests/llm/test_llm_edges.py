@@ -244,6 +244,26 @@ def test_passages_inside_other_text(spark):
         assert (r["start_word"], r["end_word"]) == spot[r["doc_id"]]
 
 
+def test_compact_windows_hold_each_long_range_once():
+    rng = np.random.default_rng(4)
+    for n in (0, 3, 4, 5, 40):
+        hashes = rng.integers(0, 30, n).astype(np.uint64)
+        windows = passages.compact_windows(hashes, 4)
+        for low in range(n):
+            for high in range(low + 3, n):
+                holding = [c for a, c, b in windows if a <= low <= c <= high <= b]
+                assert len(holding) == 1 and hashes[holding[0]] == hashes[low : high + 1].min()
+
+
+def test_passage_whose_halves_lie_apart_in_the_other_text():
+    a = np.concatenate([np.arange(50), np.arange(1000, 1400), np.arange(50, 100)])
+    row = type("Row", (), {})()
+    row.a_shingles, row.b_shingles, row.a_at, row.b_at = a, np.arange(100), 0, 0
+    row.hits = [{"f": f, "al": 0, "ar": 499, "bl": 0, "br": 99} for f in range(2)]
+    found = passages.verified_passages(row, 46, 5, 80)
+    assert sorted(found) == [(0, 54, 0, 54, 1.0), (50, 104, 450, 504, 1.0)]
+
+
 def test_chain_equals_forward_backward():
     rng = np.random.default_rng(0)
     e, starts = rng.normal(size=150) * 3, np.array([0, 10, 11, 100])
