@@ -74,6 +74,8 @@ def fit_boosted(
     trees = GBTRegressor(
         labelCol=column, featuresCol="features", maxIter=config.max_iter, stepSize=config.step_size,
         maxDepth=config.max_depth, seed=config.seed, validationIndicatorCol="_check",
+        # By default a round must gain a hundredth of the error, which small steps seldom do.
+        validationTol=0.0,
     )
     # The fits are independent job sequences; a few threads keep the cluster busy.
     with ThreadPoolExecutor(max_workers=min(8, len(names))) as pool:

@@ -38,6 +38,8 @@ class SeasonalSpec:
     changepoint_range: float = 0.8
     changepoint_scale: float = 0.05
     seasonal_scale: float = 10.0
+    # Hours from one value of a series to the next: 24 for daily series.
+    step: int = 1
     # Day number since 1970 -> indexes of its regressors; names in regressor order.
     event_days: dict[int, tuple[int, ...]] = field(default_factory=dict)
     event_names: tuple[str, ...] = ()
@@ -160,8 +162,8 @@ def predict(
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                begin = int(row["start"]) if include_history else row["last_hour"] + 1
-                hours = np.arange(begin, row["last_hour"] + horizon + 1)
+                begin = int(row["start"]) if include_history else row["last_hour"] + spec.step
+                hours = np.arange(begin, row["last_hour"] + horizon + 1, spec.step)
                 if first is not None:
                     hours = hours[hours >= first]
                 if not len(hours):
@@ -188,9 +190,11 @@ def forecast(
     return bounded.withColumns({c: non_negative(c) for c in ("yhat", "upper")})
 
 
-def cross_validate(df: DataFrame, keys: list[str], spec: SeasonalSpec = SeasonalSpec(), days: int = 14) -> DataFrame:
+def cross_validate(
+    df: DataFrame, keys: list[str], spec: SeasonalSpec = SeasonalSpec(), days: int = 14, min_valid: int = 24
+) -> DataFrame:
     """Accuracy on the last days after a fit on the rest; in-sample for short series."""
-    split = features.holdout_split(df, keys, days)
+    split = features.holdout_split(df, keys, days, min_valid)
     models = fit(split.filter("split <> 'valid'"), keys, spec)
     # A fit without its holdout ends ``days`` early; an in-sample one ends with the series.
     said = predict(models, keys, spec, days * 24, include_history=True).select(*keys, "ts", non_negative("yhat").alias("yhat"))

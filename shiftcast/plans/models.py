@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import FORECAST, ForecastConfig
+from ..config import FORECAST
+from ..functions import clock
 from ..operators import learned, models, seasonal
 from ..session import new_work_path
 from . import base
@@ -13,34 +14,56 @@ from .base import SERIES, Catalog, cte, r, t
 
 catalog = Catalog()
 
-# The data span one month: no yearly block, few changepoints.
-SPEC = seasonal.SeasonalSpec(yearly=0, monthly=0, changepoints=5)
-ADDITIVE = seasonal.SeasonalSpec(multiplicative=False, yearly=0, monthly=0, changepoints=5)
-FEW_TREES = ForecastConfig(max_iter=5, max_depth=4, test_days=7)
+SPEC = seasonal.SeasonalSpec()
+ADDITIVE = seasonal.SeasonalSpec(multiplicative=False)
+# One value a day has no pattern inside the day.
+DAILY = seasonal.SeasonalSpec(multiplicative=False, daily=0, weekday_daily=0, weekend_daily=0, step=24)
 
 
-def _spec(spark: SparkSession, spec: seasonal.SeasonalSpec) -> seasonal.SeasonalSpec:
-    return seasonal.spec_with_calendar(spark, spec, 2023, 2025)
+def _spec(df: DataFrame, spec: seasonal.SeasonalSpec, horizon: int) -> seasonal.SeasonalSpec:
+    """With the holidays of all years of the series and of ``horizon`` hours after them."""
+    years = df.agg(F.year(F.min("ts")).alias("first"), F.year(F.max("ts") + clock.hours(horizon)).alias("last")).head()
+    if years["first"] is None:
+        return spec
+    return seasonal.spec_with_calendar(df.sparkSession, spec, years["first"], years["last"])
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(task, ts, volume)``: orders per day, whose years the yearly terms need; days without any are 0."""
+    days = base.daily_orders(spark, sf_dir)
+    span = days.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).where("lo IS NOT NULL")
+    every = span.select(F.explode(F.sequence("lo", "hi")).alias("date"))
+    filled = every.join(days, "date", "left")
+    return filled.select(
+        F.lit("orders").alias("task"), F.col("date").cast("timestamp_ntz").alias("ts"), F.coalesce("n", F.lit(0.0)).alias("volume")
+    )
 
 
 @catalog.query("seasonal_regression_forecast")
 def seasonal_regression_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Next two days of every site and task with bounds and components."""
-    return seasonal.forecast(base.workload(spark, sf_dir), SERIES, 48, _spec(spark, SPEC))
+    w = base.workload(spark, sf_dir)
+    return seasonal.forecast(w, SERIES, 48, _spec(w, SPEC, 48))
 
 
 @catalog.query("seasonal_regression_accuracy")
 def seasonal_regression_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Holdout accuracy over the last seven days."""
-    return seasonal.cross_validate(base.workload_all(spark, sf_dir), ["task"], _spec(spark, ADDITIVE), days=7)
+    """Holdout accuracy over the last fourteen days, per task by hour and of all orders by day."""
+    w, orders = base.workload_all(spark, sf_dir), _orders(spark, sf_dir)
+    hourly = seasonal.cross_validate(w, ["task"], _spec(w, ADDITIVE, 0), FORECAST.test_days)
+    daily = seasonal.cross_validate(orders, ["task"], _spec(orders, DAILY, 0), FORECAST.test_days, min_valid=1)
+    return hourly.unionByName(daily)
 
 
 @catalog.query("seasonal_components")
 def seasonal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fitted history and one further week, split into its parts."""
-    w = base.workload_all(spark, sf_dir)
-    spec = _spec(spark, ADDITIVE)
-    return seasonal.predict(seasonal.fit(w, ["task"], spec), ["task"], spec, 168, include_history=True).drop("sigma")
+    """Fitted history and one further week, split into its parts; the orders by day."""
+    parts = []
+    for series, spec in ((base.workload_all(spark, sf_dir), ADDITIVE), (_orders(spark, sf_dir), DAILY)):
+        spec = _spec(series, spec, 168)
+        fitted = seasonal.fit(series, ["task"], spec)
+        parts.append(seasonal.predict(fitted, ["task"], spec, 168, include_history=True).drop("sigma"))
+    return parts[0].unionByName(parts[1])
 
 
 @catalog.query("weekly_effect")
@@ -57,13 +80,13 @@ def recursive_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.query("boosted_forecast")
 def boosted_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Next day per task from boosted trees, the whole horizon in one batch."""
-    return learned.forecast_boosted(base.workload_all(spark, sf_dir), ["task"], 24, FEW_TREES)
+    return learned.forecast_boosted(base.workload_all(spark, sf_dir), ["task"], 24, FORECAST)
 
 
 @catalog.query("boosted_accuracy")
 def boosted_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     table, columns = learned.direct_features(base.workload_all(spark, sf_dir), ["task"], 24)
-    return learned.fit_boosted(table, columns, ["task"], config=FEW_TREES).metrics
+    return learned.fit_boosted(table, columns, ["task"], config=FORECAST).metrics
 
 
 @catalog.query("feature_importance")
@@ -71,7 +94,7 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifteen most important features on average over the tasks; the models
     go through their saved form first."""
     table, columns = learned.direct_features(base.workload_all(spark, sf_dir), ["task"], 24)
-    fitted = learned.fit_boosted(table, columns, ["task"], config=FEW_TREES)
+    fitted = learned.fit_boosted(table, columns, ["task"], config=FORECAST)
     path = new_work_path(spark, "models")
     learned.save_boosted(fitted, path)
     loaded = learned.load_boosted(spark, path, list(fitted.models), columns, ["task"])
