@@ -167,30 +167,35 @@ def forecast_recursive(
 
     A ridge autoregression per series on short lags, daily and weekly waves and
     running means. The loop keeps one growing buffer of values, so a step costs
-    the same whatever the history; a group is one hourly series.
+    the same whatever the history; a group is one hourly series. The lags are those of
+    the configuration for every series; one that is no longer than the longest lag has
+    no forecast but the reason ``too_short``.
     """
     types = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "h_index bigint, h int, yhat double, sigma double"])
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "h_index bigint, h int, yhat double, sigma double, reason string"])
+    names = [*keys, "h_index", "h", "yhat", "sigma", "reason"]
     compact = df.filter("volume IS NOT NULL").select(*keys, clock.hour_index("ts").alias("_h"), "volume")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_h")
         y, hours = pdf["volume"].to_numpy(dtype=float), pdf["_h"].to_numpy()
-        lags = tuple(k for k in config.lag_hours if k <= len(y) // 3) or (1,)
-        warm = max(lags)
+        lags, warm = config.lag_hours, max(config.lag_hours)
+        ahead = hours[-1] + np.arange(1, horizon + 1)
+        out = pd.DataFrame({"h_index": ahead, "h": np.arange(1, horizon + 1, dtype="int32")})
+        for k in keys:
+            out[k] = pdf[k].iloc[0]
+        if len(y) <= warm:
+            return out.assign(yhat=np.nan, sigma=np.nan, reason="too_short")[names]
         design = np.array([_row(y, at, hours[at], lags) for at in range(warm, len(y))])
         gram = design.T @ design + ridge * np.eye(design.shape[1])
         beta = np.linalg.solve(gram, design.T @ y[warm:])
         sigma = float(np.std(y[warm:] - np.maximum(0, design @ beta)))
         buffer = np.concatenate([y, np.empty(horizon)])
-        ahead = hours[-1] + np.arange(1, horizon + 1)
         for step, hour in enumerate(ahead):
             at = len(y) + step
             buffer[at] = max(0.0, float(_row(buffer, at, hour, lags) @ beta))
-        out = pd.DataFrame({"h_index": ahead, "h": np.arange(1, horizon + 1, dtype="int32"), "yhat": buffer[len(y):], "sigma": sigma})
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "h_index", "h", "yhat", "sigma"]]
+        return out.assign(yhat=buffer[len(y):], sigma=sigma, reason=None)[names]
 
     raw = compact.groupBy(*keys).applyInPandas(run, schema).withColumn("ts", clock.from_hour_index("h_index"))
-    return forecast.bounds(raw.drop("h_index"), confidence)
+    bounded = forecast.bounds(raw.drop("h_index"), confidence)
+    return bounded.withColumns({c: F.when(F.col("yhat").isNotNull(), F.col(c)) for c in ("lower", "upper")})
