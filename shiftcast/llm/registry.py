@@ -6,7 +6,19 @@ from importlib import import_module
 
 from .common import QUERIES, SQL
 
-MODULES = ["exact_dedup", "quality", "bpe", "token_counts", "packing", "mixing", "sharding", "minhash", "toxicity", "passages"]
+MODULES = [
+    "exact_dedup",
+    "quality",
+    "bpe",
+    "token_counts",
+    "packing",
+    "mixing",
+    "sharding",
+    "minhash",
+    "toxicity",
+    "passages",
+    "chat",
+]
 
 for _name in MODULES:
     import_module(f".{_name}", __package__)
