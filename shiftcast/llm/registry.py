@@ -18,6 +18,7 @@ MODULES = [
     "toxicity",
     "passages",
     "chat",
+    "alignment",
 ]
 
 for _name in MODULES:
