@@ -29,8 +29,8 @@ def map_documents(docs: DataFrame, work, schema: str, id_col: str = "doc_id", te
     return map_frames(slim_documents(docs, id_col, text_col), work, schema)
 
 
-def map_frames(rows: DataFrame, work, schema: str) -> DataFrame:
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def map_frames(rows: DataFrame, work, schema: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     return rows.mapInPandas(work, schema)
 
 

@@ -19,6 +19,7 @@ MODULES = [
     "passages",
     "chat",
     "alignment",
+    "spelling",
 ]
 
 for _name in MODULES:

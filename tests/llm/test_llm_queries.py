@@ -39,7 +39,7 @@ def test_entry_names_all_queries():
     import __spark_entry__ as contract
 
     numbers = {int(n[2:].split("_")[0]) for n in contract.queries() if re.match(r"op\d", n)}
-    assert numbers == set(range(1, 11)) and "pipeline" in contract.queries()
+    assert numbers == set(range(1, 14)) and "pipeline" in contract.queries()
 
 
 def test_packing_is_a_round_trip(spark, texts):
