@@ -54,6 +54,7 @@ class ForecastConfig:
     rolling_windows: tuple[int, ...] = (24, 48, 168)
     confidence: float = 0.95
     max_iter: int = 500
+    patience: int = 50
     step_size: float = 0.05
     max_depth: int = 5
     seed: int = 42

@@ -1,10 +1,11 @@
 """Seasonal Fourier regression per series: trend with changepoints, yearly,
 monthly, weekly and daily terms, weekday and weekend day patterns, holidays.
 
-Each series is hourly and as long as the calendar span, so one series per
-grouped-map call is bounded. Only the hour number and the value travel to
-Python; the fitted model is one small row per series, and forecasting expands
-that row without any join.
+The fit solves the normal equations of a ridge regression. Their sums (X'X and X'y,
+a bounded number per series) add up over any split of the rows: tasks sum what they
+hold, batch by batch, and Spark sums the tasks, so no task sees a series whole. What
+is solved is one small matrix per series. The fitted model is one row per series, and
+forecasting expands that row without any join.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, clock
 from ..functions.numbers import non_negative
+from ..session import persist_to_shared
 from . import features, metrics
 from . import forecast as pattern
 
@@ -40,6 +42,8 @@ class SeasonalSpec:
     seasonal_scale: float = 10.0
     # Hours from one value of a series to the next: 24 for daily series.
     step: int = 1
+    # A multiplicative model's exponents end here, far above any volume.
+    max_exponent: float = 50.0
     # Day number since 1970 -> indexes of its regressors; names in regressor order.
     event_days: dict[int, tuple[int, ...]] = field(default_factory=dict)
     event_names: tuple[str, ...] = ()
@@ -67,57 +71,54 @@ def spec_with_calendar(
     return replace(spec, event_days={d: tuple(sorted(on)) for d, on in held.items()}, event_names=names)
 
 
-def _design(hours: np.ndarray, start: float, span: float, spec: SeasonalSpec) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Design matrix of hour numbers, the block of each column, and its ridge weight."""
+def column_names(spec: SeasonalSpec) -> list[tuple[str, str, float]]:
+    """(block, name, ridge weight) of the columns of the design, in order."""
+    knot, wave = 1 / spec.changepoint_scale**2, 1 / spec.seasonal_scale**2
+    out = [("trend", "one", 0.0), ("trend", "time", 0.0)]
+    out += [("trend", f"knot_{k}", knot) for k in range(1, spec.changepoints + 1)]
+    for block in PERIODS:
+        for k in range(1, getattr(spec, block) + 1):
+            out += [(block, f"{block}_{k}_{f}", wave) for f in ("sin", "cos")]
+    return out + [("events", f"event_{n}", wave) for n in spec.event_names]
+
+
+#: Added to every ridge weight, so that columns which do not occur leave the matrix regular.
+LEAST_WEIGHT = 1e-6
+
+
+def _design(hours: np.ndarray, start: np.ndarray, span: np.ndarray, spec: SeasonalSpec) -> np.ndarray:
+    """Design matrix of hour numbers; time runs from 0 to 1 over the span of the series."""
     days = hours / HOURS_PER_DAY
-    scaled = (hours - start) / max(span, 1.0)
+    scaled = (hours - start) / np.maximum(span, 1.0)
     dates = np.floor(days).astype(int)
     weekday = (dates + 3) % 7 < 5  # 1970-01-01 was a Thursday
     columns = [np.ones(len(hours)), scaled]
-    blocks, weights = ["trend", "trend"], [0.0, 0.0]
     knots = np.linspace(0, spec.changepoint_range, spec.changepoints + 1)[1:]
-    for knot in knots:
-        columns.append(np.maximum(0.0, scaled - knot))
-        blocks.append("trend")
-        weights.append(1 / spec.changepoint_scale**2)
+    columns += [np.maximum(0.0, scaled - knot) for knot in knots]
     for block, period in PERIODS.items():
         mask = {"weekday_daily": weekday, "weekend_daily": ~weekday}.get(block, np.ones(len(hours)))
         for k in range(1, getattr(spec, block) + 1):
             angle = 2 * np.pi * k * days / period
             columns += [np.sin(angle) * mask, np.cos(angle) * mask]
-            blocks += [block] * 2
-            weights += [1 / spec.seasonal_scale**2] * 2
     if spec.event_names:
         held = np.zeros((len(dates), len(spec.event_names)))
         for at, day in enumerate(dates):
             held[at, list(spec.event_days.get(day, ()))] = 1.0
-        for j in range(len(spec.event_names)):
-            columns.append(held[:, j])
-            blocks.append("events")
-            weights.append(1 / spec.seasonal_scale**2)
-    return np.column_stack(columns), blocks, np.array(weights)
-
-
-def _fit_one(hours: np.ndarray, y: np.ndarray, spec: SeasonalSpec) -> tuple[np.ndarray, float, float]:
-    start, span = float(hours.min()), float(np.ptp(hours))
-    design, _, weights = _design(hours, start, span, spec)
-    target = np.log1p(np.maximum(y, 0)) if spec.multiplicative else y
-    scale = max(float(np.abs(target).max()), 1e-9)
-    gram = design.T @ design + np.diag(weights + 1e-6)
-    return np.linalg.solve(gram, design.T @ (target / scale)) * scale, start, span
-
-
-def _evaluate(hours: np.ndarray, beta: np.ndarray, start: float, span: float, spec: SeasonalSpec) -> pd.DataFrame:
-    design, blocks, _ = _design(hours, start, span, spec)
-    terms = design * beta
-    kind = np.array(blocks)
+        columns += list(held.T)
+    return np.column_stack(columns)
+
+
+def _evaluate(hours: np.ndarray, beta: np.ndarray, start, span, spec: SeasonalSpec) -> pd.DataFrame:
+    """Components and total; ``beta`` is one row of coefficients, or one for each hour."""
+    terms = _design(hours, start, span, spec) * beta
+    kind = np.array([block for block, _, _ in column_names(spec)])
     part = {b: terms[:, kind == b].sum(axis=1) for b in ("trend", "yearly", "weekly")}
     total = terms.sum(axis=1)
     part["other"] = total - part["trend"] - part["yearly"] - part["weekly"]
     if spec.multiplicative:
         # Effects multiply: trend is a level, the others are factors minus one.
-        out = {k: np.expm1(np.minimum(v, 50)) for k, v in part.items()}
-        yhat = np.expm1(np.minimum(total, 50))
+        out = {k: np.expm1(np.minimum(v, spec.max_exponent)) for k, v in part.items()}
+        yhat = np.expm1(np.minimum(total, spec.max_exponent))
     else:
         out, yhat = part, total
     return pd.DataFrame({"h_index": hours, **out, "yhat": yhat})
@@ -128,27 +129,113 @@ def _types(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"{k} {types[k]}" for k in keys)
 
 
+def _positioned(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, h, y, start, span): each value with the time scale of its series."""
+    rows = df.filter(F.col(column).isNotNull()).select(
+        *keys, clock.hour_index("ts").cast("double").alias("h"), F.col(column).cast("double").alias("y")
+    )
+    whole = Window.partitionBy(*keys)
+    start = F.min("h").over(whole)
+    return rows.withColumns({"start": start, "span": F.max("h").over(whole) - start})
+
+
+#: Series whose sums a task holds before it gives them out.
+SERIES_AT_ONCE = 64
+
+
+def normal_equations(df: DataFrame, keys: list[str], spec: SeasonalSpec, column: str = "volume") -> DataFrame:
+    """One row per series: start, span, last_hour, n and ``sums``, the lower triangle of X'X
+    row by row followed by X'y.
+
+    Partial sums of the tasks meet in two steps, so that a series spread over many tasks
+    is never a long list of them.
+    """
+    width = len(column_names(spec))
+    lower = np.tril_indices(width)
+    names = [*keys, "start", "span"]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+
+        def given_out() -> pd.DataFrame:
+            rows = [(*key, hour, n, gram[lower].tolist() + moment.tolist()) for key, (hour, n, gram, moment) in held.items()]
+            return pd.DataFrame(rows, columns=[*names, "last_hour", "n", "sums"])
+
+        for pdf in batches:
+            for key, rows in pdf.groupby(names, dropna=False, sort=False):
+                hours, y = rows["h"].to_numpy(), rows["y"].to_numpy()
+                x = _design(hours, key[-2], key[-1], spec)
+                target = np.log1p(np.maximum(y, 0)) if spec.multiplicative else y
+                last, n, gram, moment = held.get(key, (-np.inf, 0, 0.0, 0.0))
+                held[key] = (max(last, hours.max()), n + len(y), gram + x.T @ x, moment + x.T @ target)
+                if len(held) >= SERIES_AT_ONCE:
+                    yield given_out()
+                    held.clear()
+        if held:
+            yield given_out()
+
+    schema = f"{_types(df, keys)}{', ' if keys else ''}start double, span double, last_hour double, n bigint, sums array<double>"
+    found = _positioned(df, keys, column).mapInPandas(partial, schema).withColumn("_part", F.spark_partition_id() % 64)
+    for by in ([*names, "_part"], names):
+        found = found.groupBy(*by).agg(
+            F.max("last_hour").alias("last_hour"), F.sum("n").alias("n"),
+            F.aggregate(F.collect_list("sums"), F.array_repeat(F.lit(0.0), width * (width + 1) // 2 + width), _add).alias("sums"),
+        )
+    return found
+
+
+def _add(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
 def fit(df: DataFrame, keys: list[str], spec: SeasonalSpec, column: str = "volume") -> DataFrame:
     """One row per series: coefficients, time scale, last hour and in-sample spread."""
-    compact = df.filter(F.col(column).isNotNull()).select(
-        *keys, clock.hour_index("ts").alias("h"), F.col(column).cast("double").alias("y")
+    types = f"{_types(df, keys)}{', ' if keys else ''}"
+    schema = f"{types}beta array<double>, start double, span double, last_hour bigint, n bigint"
+    width = len(column_names(spec))
+    lower = np.tril_indices(width)
+    weights = np.array([w for _, _, w in column_names(spec)]) + LEAST_WEIGHT
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            solved = []
+            for sums in pdf["sums"]:
+                gram = np.zeros((width, width))
+                gram[lower] = sums[: len(lower[0])]
+                full = gram + np.tril(gram, -1).T + np.diag(weights)
+                solved.append(np.linalg.solve(full, sums[len(lower[0]) :]))
+            if solved:
+                out = pdf.drop(columns="sums").assign(beta=solved, last_hour=pdf["last_hour"].astype("int64"))
+                yield out[[*keys, "beta", "start", "span", "last_hour", "n"]]
+
+    models = persist_to_shared(normal_equations(df, keys, spec, column).mapInPandas(solve, schema), "seasonal-models")
+    return models.join(_spread(df, keys, models, spec, column), keys) if keys else models.crossJoin(
+        F.broadcast(_spread(df, keys, models, spec, column))
+    )
+
+
+def _spread(df: DataFrame, keys: list[str], models: DataFrame, spec: SeasonalSpec, column: str) -> DataFrame:
+    """(keys, sigma): deviation of the values from what the models say of them, never below zero."""
+    rows = df.filter(F.col(column).isNotNull()).select(
+        *keys, clock.hour_index("ts").cast("double").alias("h"), F.col(column).cast("double").alias("y")
     )
-    out = ["beta array<double>", "start double", "span double", "last_hour bigint", "n bigint", "sigma double"]
-    schema = ", ".join([_types(df, keys), *out])
-    names = [*keys, *[o.split()[0] for o in out]]
+    small = models.select(*keys, "beta", "start", "span")
+    with_model = rows.join(small, keys) if keys else rows.crossJoin(F.broadcast(small))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        hours, y = pdf["h"].to_numpy(dtype=float), pdf["y"].to_numpy(dtype=float)
-        beta, start, span = _fit_one(hours, y, spec)
-        fitted = _evaluate(hours, beta, start, span, spec)["yhat"].to_numpy()
-        row = [*(pdf[k].iloc[0] for k in keys), beta, start, span, int(hours.max()), len(y),
-               float(np.std(y - np.maximum(fitted, 0)))]
-        return pd.DataFrame([row], columns=names)
+    def residual(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                hours, start, span = (pdf[c].to_numpy() for c in ("h", "start", "span"))
+                said = _evaluate(hours, np.stack(pdf["beta"]), start, span, spec)["yhat"].to_numpy()
+                yield pdf[keys].assign(residual=pdf["y"].to_numpy() - np.maximum(said, 0))
 
-    return compact.groupBy(*keys).applyInPandas(one, schema)
+    schema = f"{_types(df, keys)}{', ' if keys else ''}residual double"
+    return with_model.mapInPandas(residual, schema).groupBy(*keys).agg(F.stddev_pop("residual").alias("sigma"))
 
 
 COMPONENTS = ["trend", "yearly", "weekly", "other"]
+#: Hours of a series that are evaluated at once.
+HOURS_AT_ONCE = 20_000
 
 
 def predict(
@@ -168,13 +255,14 @@ def predict(
                     hours = hours[hours >= first]
                 if not len(hours):
                     continue
-                part = _evaluate(hours.astype(float), np.asarray(row["beta"]), row["start"], row["span"], spec)
-                part["h_index"] = hours
-                part["h"] = (hours - row["last_hour"]).astype("int32")
-                part["sigma"] = row["sigma"]
-                for k in keys:
-                    part[k] = row[k]
-                yield part[[*keys, "h_index", "h", *COMPONENTS, "yhat", "sigma"]]
+                for some in np.array_split(hours, -(-len(hours) // HOURS_AT_ONCE)):
+                    part = _evaluate(some.astype(float), np.asarray(row["beta"]), row["start"], row["span"], spec)
+                    part["h_index"] = some
+                    part["h"] = (some - row["last_hour"]).astype("int32")
+                    part["sigma"] = row["sigma"]
+                    for k in keys:
+                        part[k] = row[k]
+                    yield part[[*keys, "h_index", "h", *COMPONENTS, "yhat", "sigma"]]
 
     out = models.mapInPandas(expand, schema)
     return out.withColumn("ts", clock.from_hour_index("h_index")).drop("h_index")

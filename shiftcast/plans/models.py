@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import FORECAST
 from ..functions import clock
 from ..operators import learned, models, seasonal
-from ..session import new_work_path
+from ..session import new_work_path, persist_to_shared
 from . import base
 from .base import SERIES, Catalog, cte, r, t
 
@@ -66,6 +66,89 @@ def seasonal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+# --- the fitted models against the conditions that define them -------------------
+
+
+def _design_sql(spec: seasonal.SeasonalSpec) -> dict[str, str]:
+    """Each column of the design but the events over ``hour``, ``start`` and ``span``, as both engines read it."""
+    scaled, days = "((hour - start) / greatest(span, 1.0))", "(hour / 24.0)"
+    weekday = f"(floor({days}) + 3) % 7 < 5"
+    out = {"one": "1.0", "time": scaled}
+    for k in range(1, spec.changepoints + 1):
+        out[f"knot_{k}"] = f"greatest(0.0, {scaled} - {spec.changepoint_range * k / spec.changepoints!r})"
+    mask = {"weekday_daily": weekday, "weekend_daily": f"NOT ({weekday})"}
+    for block, period in seasonal.PERIODS.items():
+        for k in range(1, getattr(spec, block) + 1):
+            for f in ("sin", "cos"):
+                wave = f"{f}(2 * pi() * {k} * {days} / {period!r})"
+                out[f"{block}_{k}_{f}"] = f"(CASE WHEN {mask[block]} THEN {wave} ELSE 0.0 END)" if block in mask else wave
+    return out
+
+
+def _moments_sql(spec: seasonal.SeasonalSpec, source: str) -> str:
+    """Mean of each column times the value, per task of ``source``."""
+    columns = _design_sql(spec)
+    shares = ", ".join(f"avg({x} * y) AS {name}" for name, x in columns.items())
+    return (
+        f"SELECT task, column_name, {r('moment', 'moment')} FROM (SELECT task, {shares} FROM (SELECT *, min(hour) OVER (PARTITION BY task) AS start, "
+        f"max(hour) OVER (PARTITION BY task) - min(hour) OVER (PARTITION BY task) AS span FROM (SELECT task, epoch(ts) / 3600 AS hour, volume AS y FROM {source})) "
+        f"GROUP BY task) UNPIVOT (moment FOR column_name IN ({', '.join(columns)}))"
+    )
+
+
+_EVERY_DAY = (
+    "SELECT 'orders' AS task, s.ts, coalesce(n, 0) AS volume FROM (SELECT unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 DAY)) AS ts FROM daily) s "
+    "LEFT JOIN daily ON daily.date = s.ts::DATE"
+)
+
+
+@catalog.query(
+    "seasonal_normal_equations",
+    cte("workload_all", "daily", every_day=_EVERY_DAY) + f"{_moments_sql(ADDITIVE, 'workload_all')} UNION ALL {_moments_sql(DAILY, 'every_day')}",
+)
+def seasonal_normal_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the fit is the one solution of: each column's product with the fitted values, and its
+    ridge term, gives its product with the values themselves."""
+    found = []
+    for series, spec in ((base.workload_all(spark, sf_dir), ADDITIVE), (_orders(spark, sf_dir), DAILY)):
+        spec = _spec(series, spec, 0)
+        fitted = seasonal.fit(series, ["task"], spec)
+        said = seasonal.predict(fitted, ["task"], spec, 0, include_history=True)
+        rows = said.select("task", (clock.hour_index("ts")).cast("double").alias("hour"), "yhat").join(fitted.drop("sigma"), "task")
+        columns = _design_sql(spec)
+        means = rows.groupBy("task").agg(
+            F.first("beta").alias("beta"), F.first("n").alias("n"), *[F.avg(F.expr(f"{x} * yhat")).alias(name) for name, x in columns.items()]
+        )
+        weights = {name: w + seasonal.LEAST_WEIGHT for _, name, w in seasonal.column_names(spec)}
+        terms = [
+            F.struct(F.lit(name).alias("column_name"), (F.col(name) + F.col("beta")[j] * weights[name] / F.col("n")).alias("moment"))
+            for j, name in enumerate(columns)
+        ]
+        found.append(means.select("task", F.explode(F.array(*terms)).alias("t")).select("task", "t.*"))
+    return found[0].unionByName(found[1])
+
+
+@catalog.query(
+    "seasonal_forecast_checks",
+    cte("workload")
+    + f"SELECT site, task, 48 AS hours, 48 AS within_bounds, 48 AS numbered, {t('max(ts) + INTERVAL 1 HOUR', 'first_ts')}, "
+    f"{t('max(ts) + INTERVAL 48 HOUR', 'last_ts')} FROM workload GROUP BY ALL",
+)
+def seasonal_forecast_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hours forecast for each series, their bounds, and that the parts make up the whole."""
+    w = base.workload(spark, sf_dir)
+    last = w.groupBy(*SERIES).agg(F.max("ts").alias("last"))
+    said = seasonal.forecast(w, SERIES, 48, _spec(w, SPEC, 48)).join(last, SERIES)
+    whole = F.expr("(1 + trend) * (1 + yearly) * (1 + weekly) * (1 + other) - 1")
+    inside = (F.col("lower") >= 0) & (F.col("lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("upper"))
+    adds_up = F.abs(F.greatest(whole, F.lit(0.0)) - F.col("yhat")) < 1e-6 * (1 + F.col("yhat"))
+    numbered = F.col("ts") == F.col("last") + clock.hours(F.col("h"))
+    return said.groupBy(*SERIES).agg(
+        F.count("yhat").alias("hours"), F.count_if(inside & adds_up).alias("within_bounds"), F.count_if(numbered).alias("numbered"),
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+    )
+
+
 @catalog.query("weekly_effect")
 def weekly_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seasonal.weekly_effect(seasonal_components(spark, sf_dir), ["task"])
@@ -73,8 +156,34 @@ def weekly_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @catalog.query("recursive_forecast")
 def recursive_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Next day of every site and task, hour after hour."""
-    return learned.forecast_recursive(base.workload(spark, sf_dir), SERIES, 24, FORECAST)
+    """Next two days per task, each day's predictions feeding the features of the next."""
+    return learned.forecast_recursive(base.workload_all(spark, sf_dir), ["task"], 48, FORECAST)
+
+
+@catalog.query(
+    "recursive_forecast_checks",
+    cte("workload_all")
+    + f"SELECT task, 48 AS hours, 24 AS as_direct, 24 AS as_restarted, 48 AS within_bounds, {t('max(ts) + INTERVAL 1 HOUR', 'first_ts')}, "
+    f"{t('max(ts) + INTERVAL 48 HOUR', 'last_ts')} FROM workload_all GROUP BY task",
+)
+def recursive_forecast_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first day of the recursion is the direct forecast of the same trees, and the second
+    that of a history which ends with the first."""
+    w, keys = base.workload_all(spark, sf_dir), ["task"]
+    span = persist_to_shared(learned.holiday_span(w, 48), "span")
+    fitted = {"model": learned.fit_for_block(w, keys, 24, span, FORECAST, "task"), "span": span}
+    said = persist_to_shared(learned.forecast_recursive(w, keys, 48, FORECAST, **fitted), "said")
+    grown = w.unionByName(said.filter("h <= 24").select("task", "ts", F.col("yhat").alias("volume")))
+    others = {"direct": w, "restarted": grown}
+    for name, history in others.items():
+        other = learned.forecast_boosted(history, keys, 24, FORECAST, **fitted)
+        said = said.join(other.select("task", "ts", F.col("yhat").alias(name)), ["task", "ts"], "left")
+    same = {n: F.count_if(F.abs(F.col("yhat") - F.col(n)) < 1e-9) for n in others}
+    return said.groupBy("task").agg(
+        F.count("yhat").alias("hours"), same["direct"].alias("as_direct"), same["restarted"].alias("as_restarted"),
+        F.count_if(F.expr("yhat >= 0 AND lower <= yhat AND yhat <= upper")).alias("within_bounds"),
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+    )
 
 
 @catalog.query("boosted_forecast")
@@ -83,21 +192,24 @@ def boosted_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learned.forecast_boosted(base.workload_all(spark, sf_dir), ["task"], 24, FORECAST)
 
 
+def _fitted(spark: SparkSession, sf_dir: str) -> learned.BoostedModel:
+    w = base.workload_all(spark, sf_dir)
+    return learned.fit_for_block(w, ["task"], 24, persist_to_shared(learned.holiday_span(w, 24), "span"), FORECAST, "task")
+
+
 @catalog.query("boosted_accuracy")
 def boosted_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table, columns = learned.direct_features(base.workload_all(spark, sf_dir), ["task"], 24)
-    return learned.fit_boosted(table, columns, ["task"], config=FORECAST).metrics
+    return _fitted(spark, sf_dir).metrics
 
 
 @catalog.query("feature_importance")
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifteen most important features on average over the tasks; the models
     go through their saved form first."""
-    table, columns = learned.direct_features(base.workload_all(spark, sf_dir), ["task"], 24)
-    fitted = learned.fit_boosted(table, columns, ["task"], config=FORECAST)
+    fitted = _fitted(spark, sf_dir)
     path = new_work_path(spark, "models")
     learned.save_boosted(fitted, path)
-    loaded = learned.load_boosted(spark, path, list(fitted.models), columns, ["task"])
+    loaded = learned.load_boosted(spark, path, list(fitted.models), fitted.columns, ["task"])
     return learned.importance(loaded, spark, 15)
 
 

@@ -1,11 +1,13 @@
 """Accuracy, stores, quality and diagnostics on hand-made cases."""
 
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shiftcast.config import FORECAST
 from shiftcast.operators import diagnostics, learned, leads, metrics, models, quality, roster, seasonal, tracking
 
 
@@ -256,7 +258,9 @@ def test_seasonal_start_and_events(spark, series):
 
 
 def test_recursive_forecast_follows_the_wave(spark, series):
-    out = learned.forecast_recursive(series([daily(i) for i in range(24 * 28)]), ["task"], 30).orderBy("h").collect()
+    config = replace(FORECAST, step_size=0.3, max_iter=24, patience=8)
+    df = series([daily(i) for i in range(24 * 28)])
+    out = learned.forecast_recursive(df, ["task"], 30, config).orderBy("h").collect()
     assert len(out) == 30
     assert max(abs(r["yhat"] - daily(24 * 28 - 1 + r["h"])) for r in out) < 1.0
 
@@ -265,8 +269,9 @@ def test_recursive_forecast_of_a_short_series(spark, series):
     assert learned.forecast_recursive(series([1, 2, 3, 4, 5, 6]), ["task"], 3).count() == 3
 
 
-def test_boosted_direct_features_know_only_the_past(spark, series):
-    table, columns = learned.direct_features(series(range(100)), ["task"], 30)
+def test_boosted_features_know_only_the_past(spark, series):
+    df = series(range(100))
+    table, columns = learned.model_features(df, ["task"], 30, learned.holiday_span(df, 30))
     lags = [int(c.split("_")[-1][:-1]) for c in columns if "_lag_" in c]
     assert min(lags) >= 30 and "volume" not in columns
 

@@ -13,18 +13,24 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_boosted_queries_use_the_whole_configuration(spark, monkeypatch):
     seen = []
-    real = learned.GBTRegressor
-    monkeypatch.setattr(learned, "GBTRegressor", lambda **k: seen.append(k) or real(**k | {"maxIter": 2}))
+    real = learned._fit_one
+
+    def few_rounds(rows, column, config):
+        seen.append(config)
+        return real(rows, column, replace(config, max_iter=2))
+
+    monkeypatch.setattr(learned, "_fit_one", few_rounds)
     accuracy = all_queries()["boosted_accuracy"](spark, SF_DIR).collect()
-    assert (seen[0]["maxIter"], seen[0]["maxDepth"], seen[0]["stepSize"]) == (500, 5, 0.05)
+    assert {(c.max_iter, c.patience, c.max_depth, c.step_size) for c in seen} == {(500, 50, 5, 0.05)}
     assert {r["n"] for r in accuracy} == {FORECAST.test_days * 24}
 
 
 def test_boosting_goes_on_while_it_gains(spark, series):
     values = [10 + 5 * math.sin(i / 24 * 2 * math.pi) + (i % 168) / 20 for i in range(24 * 42)]
-    table, columns = learned.direct_features(series(values), ["task"], 24)
-    config = replace(FORECAST, max_iter=80)
-    assert learned.fit_boosted(table, columns, ["task"], config=config).models["calls"].getNumTrees == 80
+    df = series(values)
+    config = replace(FORECAST, max_iter=45, patience=10)
+    model = learned.fit_for_block(df, ["task"], 24, learned.holiday_span(df, 24), config, "task")
+    assert model.models["calls"].getNumTrees > 40  # the first try has twenty rounds
 
 
 def test_seasonal_queries_have_all_terms_and_years(spark, series):
