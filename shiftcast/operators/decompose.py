@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import clock
 from ..functions.numbers import ratio
+from ..functions.special import bind
 from .features import interpolate
+from .moments import cross_products, matrix, sweep, types_of
 
 
 def decompose(
@@ -130,36 +132,44 @@ def acf(df: DataFrame, keys: list[str], column: str = "volume", lags: int = 48)
     )
 
 
-def _levinson(r: np.ndarray) -> np.ndarray:
-    """Partial autocorrelations from autocovariances r[0..m] (Durbin–Levinson)."""
-    out = np.ones(len(r))
-    phi = np.zeros(0)
-    v = r[0]
-    for k in range(1, len(r)):
-        a = (r[k] - phi @ r[k - 1:0:-1]) / v if v else np.nan
-        phi = np.append(phi - a * phi[::-1], a)
-        v *= 1 - a * a
-        out[k] = a
-    return out
+def _levinson(r: Column) -> Column:
+    """Partial autocorrelations of lags 0, 1, … from autocovariances (Durbin–Levinson).
+
+    A fold over the lags; its state are the coefficients of the last order, the variance
+    they leave, and the results so far. NULL from where no variance is left.
+    """
+    nothing = F.struct(
+        F.array().cast("array<double>").alias("phi"), F.get(r, F.lit(0)).alias("left"), F.array(F.lit(1.0)).alias("found")
+    )
+
+    def step(state: Column, k: Column) -> Column:
+        phi = state["phi"]
+        pairs = F.zip_with(phi, F.reverse(F.slice(r, F.lit(2), k - 1)), lambda p, q: p * q)
+        explained = F.aggregate(pairs, F.lit(0.0), lambda x, y: x + y)
+
+        def grown(a: Column) -> Column:
+            return F.struct(
+                F.array_append(F.zip_with(phi, F.reverse(phi), lambda p, q: p - a * q), a).alias("phi"),
+                (state["left"] * (1 - a * a)).alias("left"),
+                F.array_append(state["found"], a).alias("found"),
+            )
+
+        return bind(ratio(F.get(r, k) - explained, state["left"]), grown)
+
+    orders = F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda k: k > 0)
+    return F.aggregate(orders, nothing, step, lambda state: state["found"])
 
 
 def pacf(df: DataFrame, keys: list[str], column: str = "volume", lags: int = 48) -> DataFrame:
     """Partial autocorrelation by lag from bias-adjusted autocovariances.
 
-    The sums over the series are built by Spark; the recursion sees one row of
-    at most ``lags + 1`` numbers per series.
+    The sums over the series are built by Spark; the recursion is an expression over
+    at most ``lags + 1`` of them per series.
     """
     sums = _autocovariance_sums(df, keys, column, lags)
-
-    @F.pandas_udf("array<double>")
-    def recursion(s: pd.Series, n: pd.Series) -> pd.Series:
-        out = []
-        for values, count in zip(s, n):
-            known = np.array([v for v in values if v is not None and not np.isnan(v)], dtype=float)
-            out.append(_levinson(known / (count - np.arange(len(known)))))
-        return pd.Series(out)
-
-    solved = sums.select(*keys, "n", recursion("_sums", "n").alias("_p"))
+    known = F.filter("_sums", lambda s: s.isNotNull() & ~F.isnan(s))
+    adjusted = F.transform(known, lambda s, k: s / (F.col("n") - k))
+    solved = sums.select(*keys, "n", adjusted.alias("_r")).select(*keys, "n", _levinson(F.col("_r")).alias("_p"))
     return solved.select(
         *keys, (F.lit(1.96) / F.sqrt("n")).alias("band"), F.posexplode("_p").alias("lag", "pacf")
     ).select(*keys, "lag", "pacf", "band")
@@ -191,59 +201,89 @@ def df_p_value(stat: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
-def _df_regression(x: np.ndarray, lags: int, drop: int) -> tuple[float, float, int]:
-    """t statistic of the level, AIC and observations of Δx on level, ``lags`` differences, constant."""
-    dx = np.diff(x)
-    rows = np.arange(drop, len(dx))
-    design = np.column_stack([x[rows], *[dx[rows - k] for k in range(1, lags + 1)], np.ones(len(rows))])
-    y = dx[rows]
-    beta, _, rank, _ = np.linalg.lstsq(design, y, rcond=None)
-    res = y - design @ beta
-    ssr, nobs = float(res @ res), len(rows)
-    if rank < design.shape[1] or ssr <= 0:
-        return np.nan, np.inf, nobs
-    cov = np.linalg.inv(design.T @ design) * ssr / (nobs - rank)
-    log_likelihood = -nobs / 2 * (np.log(2 * np.pi) + np.log(ssr / nobs) + 1)
-    return float(beta[0] / np.sqrt(cov[0, 0])), -2 * log_likelihood + 2 * rank, nobs
-
-
-def _stationarity_of(x: np.ndarray, max_lags: int | None) -> dict | None:
-    n = len(x)
-    limit = max_lags if max_lags is not None else int(np.ceil(12 * (n / 100) ** 0.25))
-    limit = min(limit, n // 2 - 2)
-    if limit < 0 or np.ptp(x) == 0:
-        return None
-    lags = min(range(limit + 1), key=lambda k: _df_regression(x, k, limit)[1])
-    stat, _, nobs = _df_regression(x, lags, lags)
-    p = df_p_value(stat)
-    return {
-        "statistic": stat, "p_value": p, "n_lags": lags, "n": n,
-        **{f"critical_{k.rstrip('%')}": critical_value(k, nobs) for k in CRITICAL},
-        "is_stationary": bool(p < 0.05),
-    }
+def longest_lag(n: Column, max_lags: int | None) -> Column:
+    """The most lags a series of n values is tested with; below 0 it is not tested."""
+    rule = F.ceil(12 * F.pow(n / 100.0, F.lit(0.25))) if max_lags is None else F.lit(max_lags)
+    return F.least(rule, F.floor(n / 2) - 2).cast("int")
+
+
+def _chosen_lag(products: np.ndarray, n: int, limit: int) -> int:
+    """Number of lags of least AIC, all on the same rows: one sweep per further lag."""
+    best, chosen = np.inf, 0
+    a = products
+    for k in range(limit + 2):  # constant, level, and one lag after the other
+        if a[k, k] <= 1e-10 * max(products[k, k], 1e-300):
+            break  # this variable, and so each longer regression, adds nothing
+        a = sweep(a, k)
+        left = a[-1, -1]
+        if k >= 1 and left > 0:
+            aic = n * (np.log(2 * np.pi) + np.log(left / n) + 1) + 2 * (k + 1)
+            if aic < best:
+                best, chosen = aic, k - 1
+    return chosen
+
+
+def _level_statistic(products: np.ndarray, n: int, lags: int) -> float:
+    """t statistic of the level in the regression with so many lags."""
+    a = products
+    for k in range(lags + 2):
+        if a[k, k] <= 1e-10 * max(products[k, k], 1e-300):
+            return np.nan
+        a = sweep(a, k)
+    left = a[-1, -1] / (n - lags - 2) if n > lags + 2 else 0.0
+    return float(a[-1, 1] / np.sqrt(-a[1, 1] * left)) if left > 0 else np.nan
 
 
 def stationarity(df: DataFrame, keys: list[str], column: str = "volume", max_lags: int | None = None) -> DataFrame:
     """Augmented Dickey–Fuller test per series, lag count by AIC.
 
-    Each group is one hourly series, as long as the calendar span; only the hour
-    number and the value travel to Python.
+    All regressions of a series come from one matrix of products of the level, the lagged
+    differences and the next difference, which Spark sums over the rows; the few rows at its
+    begin, which only the regressions of fewer lags have, are kept apart. Series that are
+    constant or too short have no row.
     """
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join(
-        [f"{k} {types[k]}" for k in keys]
-        + ["statistic double", "p_value double", "n_lags int", "n int", "critical_1 double", "critical_5 double",
-           "critical_10 double", "is_stationary boolean"]
+    whole = Window.partitionBy(*keys)
+    w = whole.orderBy("ts")
+    x = F.col("_x")
+    known = df.filter(F.col(column).isNotNull()).select(*keys, "ts", F.col(column).cast("double").alias("_x"))
+    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.agg(F.max(longest_lag(F.col("n"), max_lags))).first()[0]  # as wide as the longest series needs
+    most = max(0, most or 0)
+    shifted = {f"_{k}": F.lag("_x", k).over(w) for k in range(1, most + 1)} | {"_next": F.lead("_x").over(w)}
+    rows = known.withColumns(
+        shifted | {"_t": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(whole), "_varied": F.min("_x").over(whole) < F.max("_x").over(whole)}
     )
-    columns = [f.split()[0] for f in schema.split(", ")]
-    compact = df.filter(F.col(column).isNotNull()).select(
-        *keys, clock.hour_index("ts").alias("_h"), F.col(column).alias("_x")
+    at = [x, *(F.col(f"_{k}") for k in range(1, most + 1))]
+    differences = [F.coalesce(a - b, F.lit(0.0)) for a, b in zip(at, at[1:])]
+    vector = F.array(F.lit(1.0), x, *differences, F.col("_next") - x)
+    limit = longest_lag(F.col("_n"), max_lags)
+    placed = rows.filter(F.col("_next").isNotNull() & F.col("_varied") & (limit >= 0)).select(
+        *keys, F.col("_n").alias("size"), limit.alias("limit"), F.col("_t").alias("t"), vector.alias("v")
     )
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _stationarity_of(pdf.sort_values("_h")["_x"].to_numpy(dtype=float), max_lags)
-        if found is None:
-            return pd.DataFrame(columns=columns)
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, **found}])[columns]
-
-    return compact.groupBy(*keys).applyInPandas(test, schema)
+    by = [*keys, "size", "limit"]
+    width = most + 3
+    sums = cross_products(placed.filter("t >= limit").select(*by, "v"), by, width, lambda rows: np.stack(rows["v"]))
+    begin = placed.filter("t < limit").groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias("begin"))
+    met = sums.join(begin.select(*keys, "begin"), keys, "left") if keys else sums.crossJoin(F.broadcast(begin.select("begin")))
+    names = ["statistic", "p_value", "n_lags", "n", "critical_1", "critical_5", "critical_10", "is_stationary"]
+    kinds = ["double", "double", "int", "int", "double", "double", "double", "boolean"]
+    schema = types_of(df, keys, *(f"{n} {k}" for n, k in zip(names, kinds)))
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                products, n, limit = matrix(np.asarray(row["sums"])), row["n"], row["limit"]
+                used = [0, 1, *range(2, limit + 2), width - 1]
+                lags = _chosen_lag(products[np.ix_(used, used)], n, limit)
+                early = row["begin"] if row["begin"] is not None else []
+                more = np.array([b["v"] for b in early if b["t"] >= lags]).reshape(-1, width)
+                used = [0, 1, *range(2, lags + 2), width - 1]
+                stat = _level_statistic((products + more.T @ more)[np.ix_(used, used)], n + len(more), lags)
+                p = df_p_value(stat)
+                values = [stat, p, lags, row["size"], *(critical_value(k, n + len(more)) for k in CRITICAL), bool(p < 0.05)]
+                out.append([*(row[k] for k in keys), *values])
+            if out:
+                yield pd.DataFrame(out, columns=[*keys, *names])
+
+    return met.mapInPandas(test, schema)

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clock
 from ..functions.numbers import normal_quantile, ratio
+from ..functions.special import f_survival
 from .metrics import mape
 
 
@@ -75,45 +74,10 @@ def spread_test(res: DataFrame, keys: list[str], min_rows: int = 10) -> DataFram
     return total.select(*keys, "n", F.when(enough, f).alias("statistic"))
 
 
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 / max(abs(1 - (a + b) * x / (a + 1)), tiny)
-    out = d
-    for m in range(1, 300):
-        for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + term * d
-            c = 1 + term / c
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = c if abs(c) > tiny else tiny
-            out *= c * d
-        if abs(c * d - 1) < 1e-14:
-            break
-    return out
-
-
-def f_survival(f: float, d1: float, d2: float) -> float:
-    """P(F > f) for an F distribution."""
-    from math import exp, lgamma, log
-
-    if f <= 0:
-        return 1.0
-    x, a, b = d2 / (d2 + d1 * f), d2 / 2, d1 / 2
-    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x))
-    if x < (a + 1) / (a + b + 2):
-        return front * _beta_fraction(a, b, x) / a
-    return 1 - front * _beta_fraction(b, a, 1 - x) / b
-
-
 def heteroscedasticity(res: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFrame:
-    """The spread test with its p-value and verdict; one small row per series."""
-
-    @F.pandas_udf("double")
-    def p_value(f: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([None if np.isnan(x) else f_survival(x, 1, m - 2) for x, m in zip(f, n)], dtype="float64")
-
-    return spread_test(res, keys).withColumn("p_value", p_value("statistic", "n")).withColumn(
+    """The spread test with its p-value and verdict."""
+    p = f_survival(F.col("statistic"), F.lit(1.0), (F.col("n") - 2).cast("double"))
+    return spread_test(res, keys).withColumn("p_value", p).withColumn(
         "is_heteroscedastic", F.when(F.col("statistic").isNotNull(), F.col("p_value") < alpha)
     )
 

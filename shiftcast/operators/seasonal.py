@@ -15,7 +15,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar, clock
@@ -23,6 +23,7 @@ from ..functions.numbers import non_negative
 from ..session import persist_to_shared
 from . import features, metrics
 from . import forecast as pattern
+from .moments import cross_products, matrix, types_of
 
 HOURS_PER_DAY = 24.0
 
@@ -124,11 +125,6 @@ def _evaluate(hours: np.ndarray, beta: np.ndarray, start, span, spec: SeasonalSp
     return pd.DataFrame({"h_index": hours, **out, "yhat": yhat})
 
 
-def _types(df: DataFrame, keys: list[str]) -> str:
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
-    return ", ".join(f"{k} {types[k]}" for k in keys)
-
-
 def _positioned(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """(keys, h, y, start, span): each value with the time scale of its series."""
     rows = df.filter(F.col(column).isNotNull()).select(
@@ -139,79 +135,34 @@ def _positioned(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     return rows.withColumns({"start": start, "span": F.max("h").over(whole) - start})
 
 
-#: Series whose sums a task holds before it gives them out.
-SERIES_AT_ONCE = 64
-
-
 def normal_equations(df: DataFrame, keys: list[str], spec: SeasonalSpec, column: str = "volume") -> DataFrame:
-    """One row per series: start, span, last_hour, n and ``sums``, the lower triangle of X'X
-    row by row followed by X'y.
+    """One row per series: start, span, n and ``sums``, the products of the design's columns
+    and, in the last row, of the values with them."""
 
-    Partial sums of the tasks meet in two steps, so that a series spread over many tasks
-    is never a long list of them.
-    """
-    width = len(column_names(spec))
-    lower = np.tril_indices(width)
-    names = [*keys, "start", "span"]
+    def vectors(rows: pd.DataFrame) -> np.ndarray:
+        hours, y = rows["h"].to_numpy(), rows["y"].to_numpy()
+        target = np.log1p(np.maximum(y, 0)) if spec.multiplicative else y
+        return np.column_stack([_design(hours, rows["start"].to_numpy(), rows["span"].to_numpy(), spec), target])
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, list] = {}
-
-        def given_out() -> pd.DataFrame:
-            rows = [(*key, hour, n, gram[lower].tolist() + moment.tolist()) for key, (hour, n, gram, moment) in held.items()]
-            return pd.DataFrame(rows, columns=[*names, "last_hour", "n", "sums"])
-
-        for pdf in batches:
-            for key, rows in pdf.groupby(names, dropna=False, sort=False):
-                hours, y = rows["h"].to_numpy(), rows["y"].to_numpy()
-                x = _design(hours, key[-2], key[-1], spec)
-                target = np.log1p(np.maximum(y, 0)) if spec.multiplicative else y
-                last, n, gram, moment = held.get(key, (-np.inf, 0, 0.0, 0.0))
-                held[key] = (max(last, hours.max()), n + len(y), gram + x.T @ x, moment + x.T @ target)
-                if len(held) >= SERIES_AT_ONCE:
-                    yield given_out()
-                    held.clear()
-        if held:
-            yield given_out()
-
-    schema = f"{_types(df, keys)}{', ' if keys else ''}start double, span double, last_hour double, n bigint, sums array<double>"
-    found = _positioned(df, keys, column).mapInPandas(partial, schema).withColumn("_part", F.spark_partition_id() % 64)
-    for by in ([*names, "_part"], names):
-        found = found.groupBy(*by).agg(
-            F.max("last_hour").alias("last_hour"), F.sum("n").alias("n"),
-            F.aggregate(F.collect_list("sums"), F.array_repeat(F.lit(0.0), width * (width + 1) // 2 + width), _add).alias("sums"),
-        )
-    return found
-
-
-def _add(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
+    return cross_products(_positioned(df, keys, column), [*keys, "start", "span"], len(column_names(spec)) + 1, vectors)
 
 
 def fit(df: DataFrame, keys: list[str], spec: SeasonalSpec, column: str = "volume") -> DataFrame:
     """One row per series: coefficients, time scale, last hour and in-sample spread."""
-    types = f"{_types(df, keys)}{', ' if keys else ''}"
-    schema = f"{types}beta array<double>, start double, span double, last_hour bigint, n bigint"
-    width = len(column_names(spec))
-    lower = np.tril_indices(width)
-    weights = np.array([w for _, _, w in column_names(spec)]) + LEAST_WEIGHT
+    schema = types_of(df, keys, "beta array<double>", "start double", "span double", "last_hour bigint", "n bigint")
+    weights = np.diag([w + LEAST_WEIGHT for _, _, w in column_names(spec)])
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            solved = []
-            for sums in pdf["sums"]:
-                gram = np.zeros((width, width))
-                gram[lower] = sums[: len(lower[0])]
-                full = gram + np.tril(gram, -1).T + np.diag(weights)
-                solved.append(np.linalg.solve(full, sums[len(lower[0]) :]))
-            if solved:
-                out = pdf.drop(columns="sums").assign(beta=solved, last_hour=pdf["last_hour"].astype("int64"))
-                yield out[[*keys, "beta", "start", "span", "last_hour", "n"]]
+            whole = [matrix(np.asarray(sums)) for sums in pdf["sums"]]
+            if whole:
+                beta = [np.linalg.solve(m[:-1, :-1] + weights, m[-1, :-1]) for m in whole]
+                last = (pdf["start"] + pdf["span"]).astype("int64")
+                yield pdf.assign(beta=beta, last_hour=last)[[*keys, "beta", "start", "span", "last_hour", "n"]]
 
     models = persist_to_shared(normal_equations(df, keys, spec, column).mapInPandas(solve, schema), "seasonal-models")
-    return models.join(_spread(df, keys, models, spec, column), keys) if keys else models.crossJoin(
-        F.broadcast(_spread(df, keys, models, spec, column))
-    )
+    spread = _spread(df, keys, models, spec, column)
+    return models.join(spread, keys) if keys else models.crossJoin(F.broadcast(spread))
 
 
 def _spread(df: DataFrame, keys: list[str], models: DataFrame, spec: SeasonalSpec, column: str) -> DataFrame:
@@ -229,8 +180,7 @@ def _spread(df: DataFrame, keys: list[str], models: DataFrame, spec: SeasonalSpe
                 said = _evaluate(hours, np.stack(pdf["beta"]), start, span, spec)["yhat"].to_numpy()
                 yield pdf[keys].assign(residual=pdf["y"].to_numpy() - np.maximum(said, 0))
 
-    schema = f"{_types(df, keys)}{', ' if keys else ''}residual double"
-    return with_model.mapInPandas(residual, schema).groupBy(*keys).agg(F.stddev_pop("residual").alias("sigma"))
+    return with_model.mapInPandas(residual, types_of(df, keys, "residual double")).groupBy(*keys).agg(F.stddev_pop("residual").alias("sigma"))
 
 
 COMPONENTS = ["trend", "yearly", "weekly", "other"]
@@ -244,7 +194,8 @@ def predict(
 ) -> DataFrame:
     """``(keys, ts, h, yhat, sigma, components)``; one series at a time leaves the model row."""
     first = None if start is None else int(np.datetime64(start, "h").astype(int))
-    schema = f"{_types(models, keys)}, h_index bigint, h int, trend double, yearly double, weekly double, other double, yhat double, sigma double"
+    parts = [f"{c} double" for c in (*COMPONENTS, "yhat", "sigma")]
+    schema = types_of(models, keys, "h_index bigint", "h int", *parts)
 
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import clock
+from ..functions import clock, numbers
 from ..functions.numbers import non_negative, z_score
 from ..operators import diagnostics, forecast, hourly, metrics, quality, quantiles, rollups, tracking
 from ..session import new_work_path
@@ -497,7 +497,24 @@ def residual_spread_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.spread_test(_res(spark, sf_dir), ["task"])
 
 
-@catalog.query("heteroscedasticity")
+# The F distribution with one degree of freedom is that of Student's t squared, whose share inside has a finite
+# series in the cosine of the angle atan(t / sqrt(nu)), one for odd and one for even nu.
+_STUDENT = _SPREAD | {
+    "f": "SELECT b.task, b.n, CASE WHEN k = 2 AND small > 10 THEN (b.n-2)*btw/within END AS f FROM b JOIN w ON w.task = b.task",
+    "a": "SELECT *, n - 2 AS nu, atan(sqrt(f / (n - 2))) AS angle FROM f",
+    "terms": "SELECT task, unnest(range(0, CASE WHEN nu % 2 = 1 THEN (nu - 1) // 2 ELSE nu // 2 END)) AS j, nu, angle FROM a",
+    "logs": "SELECT task, nu, angle, sum(CASE WHEN j = 0 THEN 0 WHEN nu % 2 = 1 THEN ln(2 * j / (2 * j + 1.0)) ELSE ln((2 * j - 1) / (2.0 * j)) END + "
+    "CASE WHEN j = 0 THEN 0 ELSE 2 * ln(cos(angle)) END) OVER (PARTITION BY task ORDER BY j) AS l FROM terms",
+    "inside": "SELECT task, CASE WHEN any_value(nu) % 2 = 1 THEN 2 / pi() * (any_value(angle) + sin(any_value(angle)) * cos(any_value(angle)) * sum(exp(l))) "
+    "ELSE sin(any_value(angle)) * sum(exp(l)) END AS share FROM logs GROUP BY task",
+}
+
+
+@catalog.query(
+    "heteroscedasticity",
+    cte("compared", **_STUDENT) + f"SELECT f.task, f.n, {r('f', 'statistic')}, {r('1 - share', 'p_value')}, CASE WHEN f IS NOT NULL THEN 1 - share < 0.05 END AS is_heteroscedastic "
+    "FROM f JOIN inside USING (task)",
+)
 def heteroscedasticity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spread test with the p-value of its F distribution."""
     return diagnostics.heteroscedasticity(_res(spark, sf_dir), ["task"])
@@ -526,7 +543,23 @@ def diagnostic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.summary(_res(spark, sf_dir), ["task"])
 
 
-@catalog.query("residual_qq_pairs")
+def _poly_sql(x: str, coefs: tuple[float, ...]) -> str:
+    return " + ".join(f"({c!r}) * pow({x}, {len(coefs) - 1 - k})" for k, c in enumerate(coefs))
+
+
+_QUANTILE = (
+    "CASE WHEN least(share, 1 - share) >= 0.02425 THEN "
+    f"({_poly_sql('pow(share - 0.5, 2)', numbers._ACKLAM_A)}) * (share - 0.5) / (({_poly_sql('pow(share - 0.5, 2)', numbers._ACKLAM_B)}) * pow(share - 0.5, 2) + 1) "
+    f"ELSE sign(0.5 - share) * ({_poly_sql('tt', numbers._ACKLAM_C)}) / (({_poly_sql('tt', numbers._ACKLAM_D)}) * tt + 1) END"
+)
+
+
+@catalog.query(
+    "residual_qq_pairs",
+    cte("compared", res=_RES, ranked="SELECT task, residual, row_number() OVER (PARTITION BY task ORDER BY residual, ts) AS rank, count(*) OVER (PARTITION BY task) AS n FROM res",
+        q="SELECT *, 0.01 + 0.98 * (rank - 1) / (n - 1) AS share FROM ranked", qt="SELECT *, sqrt(-2 * ln(least(share, 1 - share))) AS tt FROM q")
+    + f"SELECT task, rank, {r('share', 'share')}, {r(_QUANTILE, 'theoretical')}, {r('residual', 'sample')} FROM qt",
+)
 def residual_qq_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnostics.qq_pairs(_res(spark, sf_dir), ["task"])
 

@@ -100,12 +100,80 @@ def autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decompose.acf(base.workload_all(spark, sf_dir), ["task"])
 
 
-@catalog.query("partial_autocorrelation")
+_LAGS = {
+    "c": "SELECT task, volume - avg(volume) OVER (PARTITION BY task) AS x, row_number() OVER (PARTITION BY task ORDER BY ts) AS i, count(*) OVER (PARTITION BY task) AS n FROM workload_all",
+    "lagged": "SELECT a.task, b.i - a.i AS k, any_value(a.n) AS n, sum(a.x * b.x) / (any_value(a.n) - (b.i - a.i)) AS r FROM c a JOIN c b ON a.task = b.task AND b.i BETWEEN a.i AND a.i + 48 GROUP BY 1, 2",
+    "listed": "SELECT task, any_value(n) AS n, list(r ORDER BY k) AS r FROM lagged GROUP BY task",
+    "p": "SELECT task, n, r, 0 AS k, []::DOUBLE[] AS phi, r[1] AS v, 1.0::DOUBLE AS a FROM listed UNION ALL "
+    "SELECT task, n, r, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - a2 * phi[k + 1 - j]), a2), v * (1 - a2 * a2), a2 FROM "
+    "(SELECT *, (r[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * r[k + 2 - j])), 0)) / v AS a2 FROM p WHERE k < 48)",
+}
+
+
+@catalog.query(
+    "partial_autocorrelation",
+    cte("workload_all", **_LAGS).replace("WITH ", "WITH RECURSIVE ", 1) + f"SELECT task, k AS lag, {r('a', 'pacf')}, {r('1.96 / sqrt(n)', 'band')} FROM p",
+)
 def partial_autocorrelation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decompose.pacf(base.workload_all(spark, sf_dir), ["task"])
 
 
-@catalog.query("stationarity")
+# The regressions in SQL: one matrix of products per sample of rows, from which the sweep operator takes
+# one variable after the other (1 constant, 2 level, then lags; the last one is explained).
+_SWEPT = (
+    "list_transform(range(1, w + 1), lambda i: list_transform(range(1, w + 1), lambda j: CASE WHEN i = k AND j = k THEN -1 / m[k][k] "
+    "WHEN i = k OR j = k THEN m[i][j] / m[k][k] ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END))"
+)
+
+
+def _products(rows: str, on: str, width: str) -> str:
+    """The matrix of summed products of ``v`` over rows ``on`` a condition, per task."""
+    return (
+        f"SELECT task, w, n, list(line ORDER BY i) AS m FROM (SELECT task, i, any_value(w) AS w, any_value(n) AS n, list(x ORDER BY j) AS line FROM "
+        f"(SELECT task, i, j, any_value(w) AS w, count(*) AS n, sum(v[i] * v[j]) AS x FROM (SELECT task, t, {width} AS w, v, unnest(range(1, {width} + 1)) AS i FROM {rows} WHERE {on}) a, "
+        f"LATERAL (SELECT unnest(range(1, w + 1)) AS j) GROUP BY task, i, j) GROUP BY task, i) GROUP BY task, w, n"
+    )
+
+
+_ADF = {
+    "x": "SELECT site || ':' || task AS task, row_number() OVER (PARTITION BY site, task ORDER BY ts) - 1 AS t, volume AS x, count(*) OVER (PARTITION BY site, task) AS size FROM workload",
+    "series": "SELECT task, size, list(x ORDER BY t) AS xs, least(ceil(12 * pow(size / 100, 0.25)), size // 2 - 2)::BIGINT AS lim FROM x GROUP BY ALL HAVING min(x) < max(x)",
+    "v": "SELECT task, size, lim, t, list_concat(list_concat([1.0, xs[t + 1]], list_transform(range(1, lim + 1), lambda d: coalesce(xs[t - d + 2] - xs[t - d + 1], 0))), [xs[t + 2] - xs[t + 1]]) AS v "
+    "FROM (SELECT *, unnest(range(0, size - 1)) AS t FROM series)",
+    "g": _products("v", "t >= lim", "lim + 3"),
+    "s": f"SELECT task, n, w, m, 1 AS k FROM g UNION ALL SELECT task, n, w, {_SWEPT}, k + 1 FROM s WHERE k < w",
+    "aic": "SELECT task, k - 3 AS lags, n * (ln(2 * pi()) + ln(m[w][w] / n) + 1) + 2 * (k - 1) AS aic FROM s WHERE k >= 3",
+    "best": "SELECT task, arg_min(lags, aic) AS lags FROM aic GROUP BY task",
+    "v2": "SELECT v.task, size, t, best.lags, list_append(v[1:best.lags + 2], v[lim + 3]) AS v FROM v JOIN best USING (task)",
+    "g2": _products("v2", "t >= lags", "lags + 3"),
+    "s2": f"SELECT task, n, w, m, 1 AS k FROM g2 UNION ALL SELECT task, n, w, {_SWEPT}, k + 1 FROM s2 WHERE k < w",
+    "found": "SELECT task, n, w - 3 AS n_lags, m[w][2] / sqrt(-m[2][2] * m[w][w] / (n - w + 1)) AS stat FROM s2 WHERE k = w",
+}
+
+
+def _poly_sql(coefs) -> str:
+    return " + ".join(f"({c!r}) * pow(stat, {k})" for k, c in enumerate(coefs))
+
+
+_ADF |= {
+    "z": f"SELECT *, CASE WHEN stat <= {decompose.P_STAR} THEN {_poly_sql(decompose.P_SMALL)} ELSE {_poly_sql(decompose.P_LARGE)} END AS z FROM found",
+    # The normal distribution from the middle to z by Simpson's rule.
+    "p": f"SELECT task, n, n_lags, stat, CASE WHEN stat > {decompose.P_MAX} THEN 1.0 WHEN stat < {decompose.P_MIN} THEN 0.0 ELSE 0.5 + z / 6000 / sqrt(2 * pi()) * "
+    "list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(z * i / 2000, 2) / 2))) END AS p FROM z",
+}
+
+
+def _critical_sql(level: str) -> str:
+    return " + ".join(f"({b!r}) / pow(p.n, {k})" for k, b in enumerate(decompose.CRITICAL[level]))
+
+
+@catalog.query(
+    "stationarity",
+    cte("workload", **_ADF).replace("WITH ", "WITH RECURSIVE ", 1)
+    + f"SELECT split_part(p.task, ':', 1)::BIGINT AS site, split_part(p.task, ':', 2) AS task, {r('stat', 'statistic')}, {r('p', 'p_value')}, n_lags, size AS n, "
+    f"{r(_critical_sql('1%'), 'critical_1')}, {r(_critical_sql('5%'), 'critical_5')}, {r(_critical_sql('10%'), 'critical_10')}, p < 0.05 AS is_stationary "
+    "FROM p JOIN series USING (task)",
+)
 def stationarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Augmented Dickey–Fuller test of every site and task."""
     return decompose.stationarity(base.workload(spark, sf_dir), SERIES)

@@ -1,5 +1,6 @@
 """Accuracy, stores, quality and diagnostics on hand-made cases."""
 
+import math
 import random
 from dataclasses import replace
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shiftcast.config import FORECAST
+from shiftcast.functions import special
 from shiftcast.operators import diagnostics, learned, leads, metrics, models, quality, roster, seasonal, tracking
 
 
@@ -144,13 +146,22 @@ def test_outlook_edges(spark):
     assert tracking.error_bands(df).head()["error_pct"] == 500
 
 
-def test_f_distribution():
+def test_f_distribution(spark):
     # Squared Student t: P(F(1, 10) > 4.9646) = 5 %, and known table values.
-    assert diagnostics.f_survival(4.964603, 1, 10) == pytest.approx(0.05, abs=1e-6)
-    assert diagnostics.f_survival(3.841459, 1, 1e7) == pytest.approx(0.05, abs=1e-5)
-    assert diagnostics.f_survival(10.044289, 1, 10) == pytest.approx(0.01, abs=1e-6)
-    assert diagnostics.f_survival(0.0, 1, 10) == 1.0
-    assert diagnostics.f_survival(0.46, 1, 5) == pytest.approx(0.5276, abs=2e-3)
+    known = [
+        (4.964603, 1.0, 10.0, 0.05, 1e-6), (3.841459, 1.0, 1e7, 0.05, 1e-5), (10.044289, 1.0, 10.0, 0.01, 1e-6),
+        (0.0, 1.0, 10.0, 1.0, 0.0), (0.46, 1.0, 5.0, 0.5276, 2e-3), (3.708265, 3.0, 10.0, 0.05, 1e-6), (1.0, 7.0, 7.0, 0.5, 1e-12),
+    ]
+    df = spark.createDataFrame([*known, (None, 1.0, 5.0, 0.0, 0.0)], "f double, d1 double, d2 double, p double, within double")
+    rows = df.withColumn("found", special.f_survival(F.col("f"), F.col("d1"), F.col("d2"))).collect()
+    assert all(abs(r["found"] - r["p"]) <= r["within"] for r in rows if r["f"] is not None)
+    assert [r["found"] for r in rows if r["f"] is None] == [None]
+
+
+def test_log_gamma(spark):
+    values = [0.5, 1.0, 1.5, 2.0, 10.0, 123.25, 5e6]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", special.log_gamma(F.col("x")).alias("g"))
+    assert all(r["g"] == pytest.approx(math.lgamma(r["x"]), rel=1e-12, abs=1e-13) for r in df.collect())
 
 
 def test_spread_growing_with_prediction(spark):

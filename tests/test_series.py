@@ -272,6 +272,30 @@ def test_stationarity(spark, series):
         assert r["is_stationary"] == (r["statistic"] < r["critical_5"])
 
 
+def full_regression(x, lags, drop):
+    """t statistic of the level and AIC of Δx on level, differences and constant, by least squares."""
+    dx = np.diff(x)
+    rows = np.arange(drop, len(dx))
+    design = np.column_stack([x[rows], *[dx[rows - k] for k in range(1, lags + 1)], np.ones(len(rows))])
+    beta = np.linalg.lstsq(design, dx[rows], rcond=None)[0]
+    left = ((dx[rows] - design @ beta) ** 2).sum()
+    error = np.sqrt(np.linalg.inv(design.T @ design)[0, 0] * left / (len(rows) - design.shape[1]))
+    return beta[0] / error, len(rows) * np.log(left / len(rows)) + 2 * design.shape[1]
+
+
+@pytest.mark.parametrize("n, max_lags", [(400, None), (90, None), (12, None), (60, 3), (60, 0)])
+def test_stationarity_equals_one_regression_per_lag(spark, series, n, max_lags):
+    rng = np.random.default_rng(n)
+    x = 100 + rng.normal(size=n + 1).cumsum() * 0.3 + rng.normal(size=n + 1) + np.sin(np.arange(n + 1))
+    other = series(rng.normal(size=700), task="longer")  # makes all vectors wider
+    df = series(x[:n]).unionByName(other).withColumn("volume", F.col("volume"))
+    (row,) = decompose.stationarity(df, ["task"], max_lags=max_lags).filter("task = 'calls'").collect()
+    limit = min(max_lags if max_lags is not None else int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2)
+    lags = min(range(limit + 1), key=lambda k: full_regression(x[:n], k, limit)[1])
+    assert row["n_lags"] == lags and row["n"] == n
+    assert row["statistic"] == pytest.approx(full_regression(x[:n], lags, lags)[0], rel=1e-7)
+
+
 def test_dickey_fuller_p_value_is_5_percent_at_its_critical_value():
     assert decompose.df_p_value(decompose.critical_value("5%", 10**9)) == pytest.approx(0.05, abs=2e-3)
     assert decompose.df_p_value(decompose.critical_value("1%", 10**9)) == pytest.approx(0.01, abs=1e-3)
