@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import persist_to_shared
 from .batches import map_frames, slim_documents
-from .common import documents, query
+from .common import documents, query, text_of
 from .components import components
 
 BANDS, ROWS = 28, 5
@@ -37,7 +37,7 @@ LEADER_ROUNDS = 2
 #: Members outside and inside the main component that one task compares at once.
 QUERY_BLOCK, MEMBER_BLOCK = 256, 1024
 
-#: Up to so many candidates are looked up in the documents by a broadcast, 16 bytes each.
+#: Up to so many candidates, buckets or dropped documents are looked up by a broadcast, 16 bytes each.
 BROADCAST_KEYS = 1_000_000
 
 
@@ -165,6 +165,16 @@ def near_duplicates(
     and keeps its rows. Rows that repeat a doc_id share its verdict. An empty table
     gives an empty result.
     """
+    marks = marked(docs, words, percent, bands, rows, id_col, text_col)
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return marks.select(
+        "doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept")
+    )
+
+
+def marked(docs: DataFrame, words: int, percent: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: doc_id, text_key, n_shingles, root (names the component, null
+    for an empty set), component_id."""
     source = keyed(docs, id_col, text_col)
     signed = persist_to_shared(sign(source, words, bands, rows), "signatures")
     buckets = _buckets(signed)
@@ -185,13 +195,10 @@ def near_duplicates(
         .withColumn("root", F.coalesce("root", "node"))
     )
     component = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = least.join(component, "root").select("node", "component_id")
+    of_node = least.join(component, "root").select("node", "root", "component_id")
     # Only sets that stand for several rows or nodes need the join.
-    out = signed.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select(
-        "doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept")
-    )
+    out = signed.select("doc_id", "text_key", "n_shingles", "node").join(of_node, "node", "left")
+    return out.select("doc_id", "text_key", "n_shingles", "root", "component_id")
 
 
 def _buckets(signed: DataFrame) -> DataFrame:
@@ -206,7 +213,10 @@ def _buckets(signed: DataFrame) -> DataFrame:
     # A bucket has several nodes if their hashes differ.
     other = F.xxhash64("node")
     several = members.groupBy("bucket").agg(F.min(other).alias("x"), F.max(other).alias("y")).where("x <> y")
-    held = persist_to_shared(members.join(several.select("bucket"), "bucket").distinct(), "members")
+    several = persist_to_shared(several.select("bucket"), "shared-buckets")
+    few = several.count() <= BROADCAST_KEYS
+    held = members.join(F.broadcast(several) if few else several, "bucket").distinct()
+    held = persist_to_shared(held, "members")
     sizes = held.groupBy("bucket").agg(F.count("*").alias("size"))
     fame = held.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("fame"))
     return persist_to_shared(held.join(fame, "node").select("bucket", "node", "n", "fame"), "buckets")
@@ -314,14 +324,38 @@ def _confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     ).select("a", "b")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The input rows whose document is kept, with all their columns.
+def drop_near_copies(
+    docs: DataFrame,
+    words: int = 5,
+    percent: int = 80,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One document of each group of near copies, and the documents without any, with all columns.
+
+    The least doc_id stays, null after all others; of several texts with this doc_id the one
+    of the least hash. Verdicts are on (doc_id, text), so another row of a dropped doc_id is
+    not touched, and rows equal in both are one document. Documents without words stay.
+    Columns of any name pass through; an empty table gives an empty result.
 
-    Rows that repeat a kept doc_id stay repeated.
+    The texts meet no shuffle up to BROADCAST_KEYS dropped documents and one beyond.
     """
-    marks = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    dropped = persist_to_shared(marks.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "near-copies")
-    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["__id"]), "left_anti")
+    marks = marked(docs, words, percent, bands, rows, id_col, text_col).where("root IS NOT NULL")
+    marks = persist_to_shared(marks.select("root", "doc_id", "text_key"), "verdicts")
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"))
+    groups = marks.groupBy("root").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
+    groups = persist_to_shared(groups.where("first <> last").select("root", "first"), "near-groups")
+    few = groups.count() <= BROADCAST_KEYS
+    left_out = marks.join(F.broadcast(groups) if few else groups, "root").where(rank != F.col("first"))
+    dropped = left_out.select(F.col("doc_id").alias("id"), "text_key").distinct()
+    dropped = persist_to_shared(dropped, "near-copies")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    tagged = docs.select(row, F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_of(text_col)).alias("text_key"))
+    small = dropped.count() <= BROADCAST_KEYS
+    same = [tagged["text_key"] == dropped["text_key"], tagged["doc_id"].eqNullSafe(dropped["id"])]
+    return tagged.join(F.broadcast(dropped) if small else dropped, same, "left_anti").select("row.*")
 
 
 @query("op9_minhash_near_dedup")

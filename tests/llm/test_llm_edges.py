@@ -294,6 +294,39 @@ def test_toxic_spans_and_odd_labels(spark, docs):
     assert len(texts) == len(marks) <= 2 and set(marks) <= {0, 1}
 
 
+def test_near_copies_are_dropped_by_row(spark):
+    """Another text of a dropped id, and a null id beside another null id, stay."""
+    more = " ".join(f"q{k}" for k in range(60))
+    other = " ".join(f"z{k}" for k in range(60))
+    rows = [(1, PROSE), (None, PROSE + " word"), (None, other), (5, PROSE + " word"), (5, other.upper() + more)]
+    schema = "doc_id long, text string, root string, text_key long, id string, `row` int, first int, digest string"
+    docs = spark.createDataFrame([(*r, "?", 0, "?", 0, 0, "?") for r in rows], schema)
+    kept = minhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([rows[0], rows[2], rows[4]])
+    only_null = spark.createDataFrame([(None, PROSE), (None, PROSE + " word"), (3, ""), (None, None)], "doc_id long, text string")
+    assert sorted(str(r["text"])[:5] for r in minhash.drop_near_copies(only_null).collect()) == ["", "None", PROSE[:5]]
+    same_id = spark.createDataFrame([(4, PROSE), (4, PROSE + " word"), (4, other)], "doc_id long, text string")
+    assert minhash.drop_near_copies(same_id).count() == 2
+    assert minhash.drop_near_copies(docs.where("false")).collect() == []
+
+
+def test_copies_beyond_the_broadcast_bound(spark, docs, monkeypatch):
+    few = [sorted(map(str, f(docs).collect())) for f in (exact_dedup.mark_copies, exact_dedup.drop_copies)]
+    near = sorted(map(str, minhash.drop_near_copies(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(minhash, "BROADCAST_KEYS", 0)
+    assert [r["kept"] for r in exact_dedup.mark_copies(docs).collect()].count(True) == sum("kept=True" in r for r in few[0])
+    assert sorted(map(str, exact_dedup.drop_copies(docs).collect())) == few[1]
+    assert sorted(map(str, minhash.drop_near_copies(docs).collect())) == near
+
+
+def test_full_hash_is_taken_above_the_join(spark, docs):
+    """Only groups that share length and prefix are hashed."""
+    plan = exact_dedup._refine(docs, "doc_id", "text", 200, False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan.split("Join")[0] and "sha2" not in plan.split("Join")[1]
+
+
 def test_pipeline_stages(spark, docs, none):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     for frame in (docs.select(*columns), none.select(*columns)):
@@ -312,3 +345,30 @@ def test_pipeline_decisions(spark, docs):
         rows = stage(spark, rows, "")
         left.append(sorted(str(r["doc_id"]) for r in rows.collect()))
     assert left == [["1", "2", "2", "3", "7", "None"], ["2", "3", "7"], ["2", "7"]]
+
+
+def test_pipeline_run_is_its_stages_and_the_library(spark, docs, tmp_path):
+    """Through run, from a folder, with clashing column names; what comes out is checked by the library."""
+    from tokenizers import Tokenizer
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    library = Tokenizer.from_file(bpe.word_vocabulary())
+    texts = {2: PROSE, 7: LONG}
+    assert {r["doc_id"] for r in out} == texts.keys()
+    for r in out:
+        whole = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        ids = whole[: r["n_tokens"]]  # mixing may cut the last document of a leaf after a word
+        assert r["ids"] == " ".join(map(str, ids)) and ids
+        assert r["decoded"] == library.decode(ids, skip_special_tokens=False)
+    docs.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_stages_pass_clashing_columns(spark, docs, none):
+    for frame in (docs, none):
+        rows = frame
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            rows = stage(spark, rows, "")
+            assert rows.columns == docs.columns
+        corpus_pipeline.STAGES[-1][1](spark, rows, "").collect()
