@@ -16,8 +16,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import persist_to_shared
 from .common import SPACES, documents, query, text_of, words_of
 
+#: Measures that the result shows.
+SHOWN = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
@@ -132,16 +136,18 @@ class Estimate:
 def estimate(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> list[Estimate]:
     """Cost and share of rejections of each rule on a sample, the worthiest first.
 
-    Without any row to sample the rules keep their order. Ties keep it too.
+    Without any row to sample the rules keep their order. Ties keep it too. The sample is
+    written to the shared folder; the texts do not pass the driver.
     """
-    spark = docs.sparkSession
     text = text_of(text_col)
-    rows = docs.where(F.octet_length(text) <= SAMPLE_BYTES).select(text.alias("text")).take(SAMPLE_ROWS)
-    if not rows:
+    short = docs.select(text.alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    # A hash chooses among all rows, whatever their order; more than four times the number never comes.
+    one_in = max(1, docs.count() // SAMPLE_ROWS)
+    chosen = short.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).limit(4 * SAMPLE_ROWS)
+    rows = persist_to_shared(chosen, "quality-sample")
+    if rows.isEmpty():
         return [Estimate(r, 1.0, 0.0) for r in rules]
-    sample = spark.createDataFrame(rows, "text string").select(
-        "text", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))).alias("n")
-    )
+    sample = rows.select("text", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))).alias("n"))
     found = measures("text")
 
     def timed(condition: Column) -> tuple[float, float]:
@@ -169,28 +175,38 @@ def cascade(rules: list[Rule], found: dict[str, Column]) -> Column:
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, the measures, base_failed, kept.
+    """One row per input row: doc_id, the measures of SHOWN, base_failed, kept.
 
     A null or empty text has no words, so it fails the base rules. Rows that repeat
     a doc_id are judged one by one; a null doc_id stays null; an empty table gives
     an empty result.
     """
     order = [e.rule for e in estimate(docs, FURTHER, text_col)]
-    found = docs.select(F.col(id_col).alias("doc_id"), *[c.alias(k) for k, c in measures(text_col).items()])
-    m = {k: F.col(k) for k in measures(text_col)}
+    slim = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    whole = measures("text")
+    # Columns of the result are measured in every row; what only the further rules read stays inside their CASE.
+    found = slim.select("doc_id", "text", *[whole[k].alias(k) for k in SHOWN])
+    m = whole | {k: F.col(k) for k in SHOWN}
     failed = BASE[0].rejects(m) | BASE[1].rejects(m)
-    return found.withColumn("base_failed", failed).withColumn(
-        "kept", F.when(failed, False).otherwise(~cascade(order, m))
+    return found.select(
+        "doc_id",
+        *SHOWN,
+        failed.alias("base_failed"),
+        F.when(failed, False).otherwise(~cascade(order, m)).alias("kept"),
     )
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
-    """The rows that no rule rejects, with all their columns. One pass, no shuffle."""
+    """The rows that no rule rejects, with all their columns. One pass, no shuffle.
+
+    A null or empty text is too short. Rows are judged one by one, whatever they repeat;
+    columns of any name pass through; an empty table gives an empty result.
+    """
     order = [e.rule for e in estimate(docs, rules or BASE + FURTHER, text_col)]
     return docs.where(~cascade(order, measures(text_col)))
 
 
-_COUNTS = "n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words"
+_COUNTS = ", ".join(SHOWN)
 
 
 @query(
