@@ -235,13 +235,14 @@ def lockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @catalog.query(
     "lockout_rule",
-    cte(att=_ATT.replace("user_id % 3", "user_id % 1"), ep=_EPOCH, fl=_FAILS.format("'899.999999 seconds'"))
-    + f"SELECT u AS user, {t()}, f AS failures, {t('ts + INTERVAL 15 MINUTE', 'locked_until')} FROM fl WHERE f >= 5",
+    cte(att=_ATT.replace("user_id % 3", "user_id"), ep=_EPOCH, fl=_FAILS.format("'86399.999999 seconds'"))
+    + f"SELECT u AS user, {t()}, f AS failures, {t('ts + INTERVAL 1440 MINUTE', 'locked_until')} FROM fl WHERE f >= 3",
 )
 def lockout_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule as it is, five failures in 15 minutes, on one account with all attempts."""
-    attempts = _attempts(spark, sf_dir).withColumn("user", F.col("user") * 0)
-    return lockout.lockouts(attempts, order="event_id")
+    """The rule on each user: three failures within a day."""
+    e = base.table(spark, sf_dir, "events").filter("event_type IN ('error', 'purchase')")
+    attempts = e.select(F.col("user_id").alias("user"), "ts", (F.col("event_type") == "purchase").alias("success"), "event_id")
+    return lockout.lockouts(attempts, order="event_id", max_attempts=3, minutes=1440)
 
 
 @catalog.query(
@@ -254,18 +255,21 @@ def failure_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lockout.lockouts(_attempts(spark, sf_dir), order="event_id", minutes=1440)
 
 
+_BURSTS = _FAILS.format("'86399.999999 seconds'")
+
+
 @catalog.query(
     "live_lockouts",
-    cte(att=_ATT, ep=_EPOCH, fl=_FAILS.format("'899.999999 seconds'"))
-    + f"SELECT u AS user, {t()}, {t('ts + INTERVAL 15 MINUTE', 'locked_until')} FROM fl WHERE f >= 2",
+    cte(att=_ATT.replace("user_id % 3", "user_id"), ep=_EPOCH, fl=_BURSTS)
+    + f"SELECT u AS user, {t()}, {t('ts + INTERVAL 1440 MINUTE', 'locked_until')} FROM fl WHERE f >= 2",
 )
 def live_lockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same bursts found on a stream with state per account."""
+    """Two failures of a user within a day, found on a stream with state per user and day."""
     stream = _stream(spark, sf_dir).filter("event_type IN ('error', 'purchase')").select(
-        (F.col("user_id") % 3).alias("user"), "ts", (F.col("event_type") == "purchase").alias("success")
+        F.col("user_id").alias("user"), "ts", (F.col("event_type") == "purchase").alias("success")
     )
-    path = live.write_available(lockout.live_lockouts(stream, max_attempts=2), "live-lockouts")
-    return spark.read.parquet(path)
+    bursts = lockout.live_lockouts(stream, max_attempts=2, minutes=1440)
+    return spark.read.parquet(live.write_available(bursts, "live-lockouts", settings=lockout.STATE_STORE))
 
 
 _SESSIONS = {

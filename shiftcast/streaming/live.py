@@ -13,9 +13,15 @@ from ..functions import clock
 from ..session import new_work_path
 
 
-def read_records(spark: SparkSession, folder: str, schema: T.StructType, glob: str | None = None) -> DataFrame:
+#: Files of a batch, unless a caller says otherwise: what bounds the work between two checkpoints.
+FILES_PER_BATCH = 64
+
+
+def read_records(
+    spark: SparkSession, folder: str, schema: T.StructType, glob: str | None = None, files_per_batch: int = FILES_PER_BATCH
+) -> DataFrame:
     """A folder of Parquet files as a stream."""
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.parquet(folder)
@@ -55,13 +61,16 @@ class Closing:
 
 
 def write_available(
-    stream: DataFrame, label: str, partition_by: list[str] | None = None, close: Callable[[], None] | None = None
+    stream: DataFrame, label: str, partition_by: list[str] | None = None, close: Callable[[], None] | None = None,
+    settings: dict[str, str] | None = None,
 ) -> str:
     """Runs the stream over everything present into a new Parquet folder; returns its path.
 
     With ``close`` the stream goes on once more after it, to give out what was open.
+    ``settings`` hold for this stream only: the session has its own again when it has started.
     """
     spark = stream.sparkSession
+    settings = settings or {}
     path = new_work_path(spark, label)
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", path).option(
         "checkpointLocation", f"{path}-progress"
@@ -71,7 +80,15 @@ def write_available(
     for before in (None, close) if close else (None,):
         if before:
             before()
-        writer.trigger(availableNow=True).start().awaitTermination()
+        own = {name: spark.conf.get(name, None) for name in settings}
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        try:
+            query = writer.trigger(availableNow=True).start()
+        finally:
+            for name, value in own.items():
+                spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+        query.awaitTermination()
     return path
 
 

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import clock
 
@@ -48,51 +48,70 @@ def lockouts(
     )
 
 
+class Recent(StatefulProcessor):
+    """Of an account's time slice: the failures since the last success, at most those that
+    still count. The state goes one window after the slice has ended."""
+
+    def __init__(self, max_attempts: int, span: int) -> None:
+        self.max_attempts, self.span = max_attempts, span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.recent = handle.getListState("recent", "micros bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        account, piece = key
+        held = [r[0] for r in self.recent.get()]
+        if not held:
+            self.handle.registerTimer((int(piece) + 2) * self.span // 1000)
+        locked = []
+        # Two windows of one account at most, of which only these numbers are held.
+        new = pd.concat([frame[["micros", "ok"]] for frame in rows]).sort_values("micros", kind="stable")
+        for at, ok in zip(new["micros"], new["ok"]):
+            held = [] if ok else [t for t in held if t > at - self.span][-(self.max_attempts - 1) :] + [int(at)]
+            if len(held) >= self.max_attempts and at // self.span == piece:
+                locked.append((account, int(at)))
+        kept = held[-(self.max_attempts - 1) :]
+        self.recent.put([(t,) for t in kept]) if kept else self.recent.clear()
+        if locked:
+            yield pd.DataFrame(locked, columns=["user", "micros"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.recent.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+#: What a session needs to run :func:`live_lockouts`: state with timers lives in this store.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+}
+
+
 def live_lockouts(
     stream: DataFrame, user: str = "user", ts: str = "ts", success: str = "success",
     max_attempts: int = MAX_ATTEMPTS, minutes: int = WINDOW_MINUTES, lateness: str = "10 minutes",
 ) -> DataFrame:
     """The same on a stream: ``(user, ts, locked_until)`` of each locking failure.
 
-    State per user is the time of at most ``max_attempts - 1`` failures and
-    expires one window after the last of them.
+    State is kept per account and time slice, as in the batch form, each slice seeing its own
+    attempts and those of the slice before. So an account with a third of all attempts spreads
+    over its slices, and a task holds two windows of it at most. Start the query with the
+    settings of ``STATE_STORE``; ``maxFilesPerTrigger`` of the source bounds a batch.
     """
     span = minutes * 60 * 1_000_000
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        recent = list(state.get[0]) if state.exists else []
-        # One user's new attempts of this batch; across batches only ``recent`` is kept.
-        rows = pd.concat(list(batches)).sort_values("micros")
-        locked = []
-        for at, ok in zip(rows["micros"], rows["ok"]):
-            if ok:
-                recent = []
-                continue
-            recent = [t for t in recent if t > at - span][-(max_attempts - 1):] + [int(at)]
-            if len(recent) >= max_attempts:
-                locked.append((key[0], int(at)))
-        if recent:
-            kept = recent[-(max_attempts - 1):]
-            state.update((kept,))
-            state.setTimeoutTimestamp(max((max(kept) + span) // 1000, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(locked, columns=["user", "micros"])
-
     user_type = stream.schema[user].dataType.simpleString()
     timed = stream.select(
         F.col(user).alias("user"), clock.as_instant(ts).alias("_at"), clock.epoch_micros(ts).alias("micros"),
         F.col(success).alias("ok"),
-    )
-    found = (
-        timed.withWatermark("_at", lateness)
-        .groupBy("user")
-        .applyInPandasWithState(
-            update, f"user {user_type}, micros bigint", "recent array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
-        )
+    ).withWatermark("_at", lateness)
+    own = F.floor(F.col("micros") / span)
+    copies = timed.withColumn("slice", F.explode(F.array(own, own + 1)))
+    found = copies.groupBy("user", "slice").transformWithStateInPandas(
+        statefulProcessor=Recent(max_attempts, span), outputStructType=f"user {user_type}, micros bigint",
+        outputMode="append", timeMode="EventTime",
     )
     at = clock.from_instant(F.timestamp_micros("micros"))
     return found.select("user", at.alias("ts"), (at + F.make_dt_interval(mins=F.lit(minutes))).alias("locked_until"))

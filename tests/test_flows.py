@@ -188,11 +188,27 @@ def test_live_lockouts_over_many_batches(spark, tmp_path):
     df = df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     write_batches(spark, df, str(tmp_path), 4)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{tmp_path}/p*")
-    out = spark.read.parquet(live.write_available(lockout.live_lockouts(stream, max_attempts=3), "t-lockouts")).collect()
+    out = spark.read.parquet(live.write_available(lockout.live_lockouts(stream, max_attempts=3), "t-lockouts", settings=lockout.STATE_STORE)).collect()
     # Files of one listing carry almost the same time; the state must bridge them in any order of arrival that keeps time order.
     assert sorted((r["user"], r["ts"]) for r in out) == [(u, at) for u, at, _ in brute_lockouts(rows, 3)]
 
 
+def test_live_lockouts_of_one_hot_account(spark, tmp_path):
+    """Nine of ten attempts are one account's; each of its slices is a group of its own."""
+    rng = random.Random(5)
+    start = datetime(2024, 1, 1)
+    rows = sorted((start + timedelta(seconds=rng.randint(0, 86_400), microseconds=k), "hot" if rng.random() < 0.9 else "cold", rng.random() < 0.2) for k in range(600))
+    df = spark.createDataFrame([(u, at.isoformat(sep=" "), ok) for at, u, ok in rows], "user string, ts string, success boolean")
+    df = df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    write_batches(spark, df, str(tmp_path), 3)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/p*")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    path = live.write_available(lockout.live_lockouts(stream), "t-hot", settings=lockout.STATE_STORE)
+    out = spark.read.parquet(path).collect()
+    assert sorted((r["user"], r["ts"]) for r in out) == [(u, at) for u, at, _ in brute_lockouts(rows)] and len(out) > 20
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
 def test_live_hourly_drops_late_rows(spark, tmp_path):
     def rows(*texts):
         return spark.createDataFrame([("calls", t) for t in texts], "task string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
