@@ -30,8 +30,11 @@ def to_points(wide: DataFrame, forecast_id: str, created_at: str, model_version:
 
 
 def save_points(points: DataFrame, path: str) -> None:
-    """Appends to a store partitioned by forecast, so lookups read one directory."""
-    points.write.mode("append").partitionBy("forecast_id").parquet(path)
+    """Appends to a store with a directory per forecast, each in ranges of task and time, so
+    that a lookup reads one directory and a span of it few row groups."""
+    order = ["forecast_id", "task", "ts"]
+    ranged = points.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.write.mode("append").partitionBy("forecast_id").parquet(path)
 
 
 def load_points(spark: SparkSession, path: str, forecast_id: str | None = None) -> DataFrame:

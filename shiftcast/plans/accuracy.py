@@ -233,9 +233,20 @@ def forecast_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     store_sql(f"SELECT forecast_id, {t('created_at', 'created_at')}, model_version, task, {t()}, {r('yhat', 'yhat')} FROM store WHERE forecast_id = 'naive_week'"),
 )
 def forecast_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One forecast out of the store; only its directory is read."""
+    path = new_work_path(spark, "forecasts")
+    tracking.save_points(store(spark, sf_dir), path)
+    return tracking.load_points(spark, path, "naive_week")
+
+
+@catalog.query(
+    "forecast_export",
+    store_sql(f"SELECT forecast_id, {t('created_at', 'created_at')}, model_version, task, {t()}, {r('yhat', 'yhat')} FROM store WHERE forecast_id = 'naive_week'"),
+)
+def forecast_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One forecast through its nested JSON record and back."""
-    documents = tracking.points_to_json(store(spark, sf_dir))
-    return tracking.points_from_json(documents).filter("forecast_id = 'naive_week'")
+    one = store(spark, sf_dir).filter("forecast_id = 'naive_week'")
+    return tracking.points_from_json(tracking.points_to_json(one))
 
 
 @catalog.query(

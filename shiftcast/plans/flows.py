@@ -64,6 +64,17 @@ def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.agg(F.sum("rows").alias("rows"))
 
 
+@catalog.query(
+    "sorted_sink",
+    cte("hourly") + f"SELECT site, task, {t()}, {r('volume', 'volume')}, row_number() OVER (ORDER BY ts, site, task) AS place FROM hourly",
+)
+def sorted_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours in total order of time: where each row lies in the files, counted from the first."""
+    path = new_work_path(spark, "sorted")
+    stores.write_sorted(hourly.aggregate_hourly(base.records(spark, sf_dir), SERIES), path, ["ts", "site", "task"])
+    return stores.read_placed(spark, path).select("site", "task", "ts", "volume", "place")
+
+
 @catalog.query(
     "hourly_store_range",
     cte("hourly") + f"SELECT site, task, {t()}, {r('volume', 'volume')} FROM hourly WHERE ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-11 23:00:00'",
@@ -141,6 +152,33 @@ def upload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("name", F.col("values")["date"].alias("date"), F.col("values")["calls"].cast("bigint").alias("calls"))
 
 
+@catalog.query(
+    "upload_quoted_rows",
+    "SELECT o_custkey % 50 AS file, o_orderkey, o_orderpriority || chr(10) || 'cust; ' || o_custkey || ', \"key\"' AS note, strftime(o_orderdate, '%Y-%m-%d') AS day, 'day' AS time_column FROM orders",
+)
+def upload_quoted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as fifty uploads whose notes hold line breaks, separators and quotes; the time column
+    has a name of no known role and is found by its values."""
+    o = base.table(spark, sf_dir, "orders")
+    note = F.concat(F.col("o_orderpriority"), F.lit('\ncust; '), F.col("o_custkey"), F.lit(', ""key""'))
+    line = F.concat(F.lit('"'), note, F.lit('",'), F.col("o_orderkey"), F.lit(","), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    parts = o.select((F.col("o_custkey") % 50).alias("file"), (F.col("o_custkey") % 4000).alias("part"), line.alias("line"))
+    # Files of a few hundred lines, so a batch grows in files and not in their length.
+    files_ = parts.groupBy("file", "part").agg(F.array_join(F.collect_list("line"), "\n").alias("body"))
+    payloads = files_.select(
+        F.concat_ws(".", "file", "part", F.lit("csv")).alias("name"), F.lit("calls").alias("type"),
+        F.base64(F.encode(F.concat(F.lit("Note,Key,Day\n"), F.col("body")), "utf-8")).alias("content"),
+    )
+    decoded = uploads.decode(payloads)
+    found = uploads.summarise(decoded).select("name", F.col("column_mapping")["timestamp"].alias("time_column"))
+    v = F.col("values")
+    read = uploads.rows(decoded).select(
+        "name", F.substring_index("name", ".", 1).cast("bigint").alias("file"), v["key"].cast("bigint").alias("o_orderkey"),
+        v["note"].alias("note"), v["day"].alias("day"),
+    )
+    return read.join(found, "name").drop("name")
+
+
 @catalog.query("upload_totals", cte("daily", m="SELECT DISTINCT year(date) AS y, month(date) AS m FROM daily")
                + "SELECT count(*) AS total_files, count(*) FILTER (m NOT IN (5,7)) AS successful, count(*) FILTER (m IN (5,7)) AS failed FROM m")
 def upload_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import capacity, rollups
@@ -13,10 +13,37 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.option("header", True).option("sep", sep).csv(path)
 
 
+def write_sorted(df: DataFrame, path: str, by: list[str], fmt: str = "parquet", **options: str) -> None:
+    """Total order over the files: their names ascend with the ranges they hold, their rows are sorted.
+
+    ``by`` goes on until it tells rows apart, so that a time with very many rows spreads
+    over several files. Statistics in Parquet files then let a range skip the others.
+    """
+    df.repartitionByRange(*by).sortWithinPartitions(*by).write.format(fmt).options(**options).save(path)
+
+
+def read_placed(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of Parquet files with ``place``: their number in the order of the files, from 1.
+
+    One row per file is what the numbers come from; the rows are not moved for it.
+    """
+    rows = spark.read.parquet(path).select(
+        "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")
+    )
+    files = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    offsets = files.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = rows.join(offsets, "_file").withColumn("place", F.col("_before") + F.col("_row") + 1)
+    return placed.drop("_file", "_row", "_before")
+
+
 def write_hourly(df: DataFrame, path: str) -> None:
-    """The hourly table partitioned by month: the usual starting point of all
-    further operators, so that raw records are read once."""
-    df.withColumn("month", F.date_format("ts", "yyyy-MM")).write.partitionBy("month").parquet(path)
+    """The hourly table partitioned by month, each month in ranges of time: the usual starting
+    point of all further operators, so that raw records are read once."""
+    rest = [c for c in df.columns if c != "ts"]
+    monthly = df.withColumn("month", F.date_format("ts", "yyyy-MM"))
+    ordered = monthly.repartitionByRange("month", "ts", *rest).sortWithinPartitions("month", "ts")
+    ordered.write.partitionBy("month").parquet(path)
 
 
 def read_hourly(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:

@@ -5,58 +5,113 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .files import UPLOAD_NAMES
+from ..functions.special import bind
+from .files import UPLOAD_NAMES, parsed
 
 
-def _lines(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(text, "\r", ""), "\n"), lambda x: F.trim(x) != "")
+# What takes the place of characters that must not split a record or a field: the escape itself and the
+# record separator used here, and inside quotes also line breaks and both field separators.
+ESCAPE, RECORD, QUOTE = "\x1d", "\x1e", "\x1f"
+ANYWHERE = {ESCAPE: ESCAPE + "0", RECORD: ESCAPE + "1", QUOTE: ESCAPE + "2"}
+INSIDE = {"\n": ESCAPE + "3", ";": ESCAPE + "4", ",": ESCAPE + "5", "\r": ESCAPE + "6"}
 
 
-def _fields(line: Column, sep: Column) -> Column:
-    """Fields of a CSV line; a separator between quotes does not split."""
-    outside = F.concat(sep, F.lit(r'(?=(?:[^"]*"[^"]*")*[^"]*$)'))
-    parts = F.split(line, outside)
+def _replaced(text: Column, table: dict[str, str]) -> Column:
+    for old, new in table.items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
+
+
+def _records(text: Column) -> Column:
+    """The records of a CSV text, in which every character between quotes is protected.
+
+    The pieces between quotes lie inside and outside by turns, so whether a line break or a
+    separator splits follows from the number of quotes before it. An empty piece outside
+    is a doubled quote. A text with an odd number of quotes has no quoting at all.
+    """
+
+    def unquoted(p: Column) -> Column:
+        return F.replace(F.replace(p, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(RECORD))
+
+    def joined(pieces: Column, last: Column) -> Column:
+        def piece(p: Column, k: Column) -> Column:
+            framed = F.concat(F.when(k > 0, QUOTE).otherwise(""), unquoted(p), F.when(k < last, QUOTE).otherwise(""))
+            doubled = (p == "") & (k > 0) & (k < last)
+            return F.when(k % 2 == 1, _replaced(p, INSIDE)).when(doubled, '"').otherwise(framed)
+
+        plain = F.array_join(F.transform(pieces, unquoted), '"')
+        return F.when(last % 2 == 0, F.array_join(F.transform(pieces, piece), "")).otherwise(plain)
+
+    # Bound values: a filter that is pushed below would otherwise evaluate them for every piece.
+    whole = bind(F.split(_replaced(text, ANYWHERE), '"'), lambda pieces: bind(F.size(pieces) - 1, lambda last: joined(pieces, last)))
+    return F.filter(F.split(whole, RECORD), lambda x: F.trim(x) != "")
+
+
+def _fields(record: Column, sep: Column) -> Column:
+    """The fields of a record; those in quotes lose them and the blanks around them."""
+    marks = {QUOTE: "", **{new: old for old, new in [*INSIDE.items(), *reversed(ANYWHERE.items())]}}
 
     def plain(field: Column) -> Column:
-        inner = F.replace(F.substring(F.trim(field), F.lit(2), F.length(F.trim(field)) - 2), F.lit('""'), F.lit('"'))
-        return F.when(F.trim(field).rlike('^".*"$'), inner).otherwise(field)
+        inner = F.when(F.contains(field, F.lit(QUOTE)), F.trim(field)).otherwise(field)
+        return _replaced(inner, marks)
 
-    return F.transform(parts, plain)
+    return F.transform(F.split(record, sep), plain)
 
 
 def decode(payloads: DataFrame) -> DataFrame:
-    """``(name, type, columns, lines, error)`` of ``(name, type, content)``.
+    """``(name, type, sep, columns, lines, error)`` of ``(name, type, content)``; a line is an array of fields.
 
     A payload that is no base64 or no table of at least one line carries an
-    error code instead of rows.
+    error code instead of rows. A line break between quotes belongs to its field.
     """
     usable = F.try_to_binary("content", F.lit("base64"))
-    decoded = payloads.withColumn("_text", usable.cast("string")).withColumn("_lines", _lines(F.col("_text")))
-    header = F.col("_lines")[0]
-    sep = F.when(header.contains(";"), F.lit(";")).otherwise(F.lit(","))
-    names = F.transform(_fields(header, sep), lambda c: F.regexp_replace(F.lower(F.trim(c)), " ", "_"))
+    decoded = payloads.withColumn("_text", usable.cast("string")).withColumn("_records", _records(F.col("_text")))
+    header = F.get("_records", F.lit(0))
+    sep = F.when(F.contains(header, F.lit(";")), F.lit(";")).otherwise(F.lit(","))
     error = (
         F.when(F.col("_text").isNull(), "NOT_BASE64")
-        .when(F.size("_lines") == 0, "EMPTY_FILE")
+        .when(F.size("_records") == 0, "EMPTY_FILE")
         .when(~F.lower("name").endswith(".csv"), "UNSUPPORTED_FORMAT")
     )
-    checked = decoded.withColumn("error", error)
-    good = F.col("error").isNull()
+    checked = decoded.withColumn("error", error).withColumn("sep", F.when(F.col("error").isNull(), sep))
+    good, rest = F.col("error").isNull(), F.slice("_records", F.lit(2), F.greatest(F.size("_records") - 1, F.lit(0)))
+    names = F.transform(_fields(header, F.col("sep")), lambda c: F.regexp_replace(F.lower(F.trim(c)), " ", "_"))
     return checked.select(
-        "name", "type", "error",
-        F.when(good, sep).alias("sep"),
+        "name", "type", "error", "sep",
         F.when(good, names).alias("columns"),
-        F.when(good, F.slice("_lines", F.lit(2), F.greatest(F.size("_lines") - 1, F.lit(0)))).alias("lines"),
+        F.when(good, F.transform(rest, lambda r: _fields(r, F.col("sep")))).alias("lines"),
     )
 
 
+#: Lines whose values tell a time column where no name does.
+SAMPLE_LINES = 10
+
+
+def _time_column() -> Column:
+    """The first column whose values in the first lines all read as times, null values aside."""
+    sample = F.slice("lines", 1, SAMPLE_LINES)
+
+    def reads(k: Column) -> Column:
+        values = F.filter(F.transform(sample, lambda line: F.get(line, k)), lambda v: F.coalesce(F.trim(v), F.lit("")) != "")
+        return (F.size(values) > 0) & F.forall(values, lambda v: parsed(v).isNotNull())
+
+    positions = F.sequence(F.lit(0), F.size("columns") - 1)
+    return F.get("columns", F.get(F.filter(positions, reads), F.lit(0)))
+
+
 def summarise(decoded: DataFrame) -> DataFrame:
-    """Rows, columns and detected roles per file."""
+    """Rows, columns and detected roles per file.
+
+    Roles go by column name; a file without a time column by name has the first whose
+    first values all read as times.
+    """
     def column_of(names: tuple[str, ...]) -> Column:
         known = F.array(*[F.lit(n) for n in names])
         return F.get(F.filter(known, lambda n: F.array_contains(F.col("columns"), n)), F.lit(0))
 
-    entries = [x for role, names in UPLOAD_NAMES.items() for x in (F.lit(role), column_of(names))]
+    named = {role: column_of(names) for role, names in UPLOAD_NAMES.items()}
+    named["timestamp"] = F.coalesce(named["timestamp"], _time_column())
+    entries = [x for role, name in named.items() for x in (F.lit(role), name)]
     roles = F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull())
     good = F.col("error").isNull()
     return decoded.select(
@@ -77,7 +132,6 @@ def rows(decoded: DataFrame) -> DataFrame:
 
     A short line has NULL in its last columns; what a long one has more is left out.
     """
-    lines = decoded.filter("error IS NULL").select("name", "type", "sep", "columns", F.explode("lines").alias("_l"))
-    split = lines.withColumn("_f", _fields(F.col("_l"), F.col("sep")))
+    lines = decoded.filter("error IS NULL").select("name", "type", "columns", F.explode("lines").alias("_f"))
     padded = F.transform("columns", lambda _, i: F.get("_f", i))
-    return split.select("name", "type", F.map_from_arrays("columns", padded).alias("values"))
+    return lines.select("name", "type", F.map_from_arrays("columns", padded).alias("values"))

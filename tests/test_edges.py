@@ -61,6 +61,49 @@ def test_upload_lines_with_quotes_and_other_lengths(spark):
     ]
 
 
+def test_upload_records_follow_the_quotes(spark):
+    """Line breaks, both separators, doubled quotes and control characters inside quotes."""
+    import base64
+    import csv
+    import io
+
+    table = [
+        ["date", "note", "calls"],
+        ["2024-01-01", 'two\nlines; a, b and "c"', "1"],
+        ["2024-01-02", "", "2"],
+        ["2024-01-03", '""', "3"],
+        ["2024-01-04", "\x1d0 \x1e \x1f4 end\r\n", "4"],
+    ]
+    for sep in ";,":
+        out = io.StringIO()
+        csv.writer(out, delimiter=sep, lineterminator="\r\n").writerows(table)
+        out.write("\r\n" + f'2024-01-05{sep} "x{sep}y" {sep}5\r\n')
+        content = base64.b64encode(out.getvalue().encode()).decode()
+        payloads = spark.createDataFrame([("a.csv", "calls", content)], "name string, type string, content string")
+        values = [r["values"] for r in uploads.rows(uploads.decode(payloads)).collect()]
+        assert [[v[c] for c in table[0]] for v in values] == [*table[1:], ["2024-01-05", f"x{sep}y", "5"]]
+
+
+def test_upload_with_an_odd_quote_splits_at_every_line(spark):
+    import base64
+
+    content = base64.b64encode(b'date,note\n2024-01-01,5" pipe\n2024-01-02,x\n').decode()
+    payloads = spark.createDataFrame([("a.csv", "calls", content)], "name string, type string, content string")
+    values = [r["values"]["note"] for r in uploads.rows(uploads.decode(payloads)).collect()]
+    assert values == ['5" pipe', "x"]
+
+
+def test_upload_finds_a_time_column_by_its_values(spark):
+    import base64
+
+    texts = ["calls,x,when\n5,a,01.02.2024 10:00\n6,,02.02.2024\n", "calls,when\n5,soon\n", "calls,when\n"]
+    rows = [(f"{k}.csv", "calls", base64.b64encode(t.encode()).decode()) for k, t in enumerate(texts)]
+    decoded = uploads.decode(spark.createDataFrame(rows, "name string, type string, content string"))
+    found = {r["name"]: r["column_mapping"] for r in uploads.summarise(decoded).collect()}
+    assert found == {
+        "0.csv": {"call_volume": "calls", "timestamp": "when"}, "1.csv": {"call_volume": "calls"}, "2.csv": {"call_volume": "calls"}}
+
+
 def test_stray_files_are_no_records(spark, tmp_path):
     (tmp_path / "calls.csv").write_text("timestamp\n2024-01-01 08:00:00\n")
     (tmp_path / "call_notes.txt").write_text("timestamp\n2024-01-01 08:00:00\n2024-01-01 08:10:00\n")
