@@ -1,94 +1,112 @@
 """Exact quantiles that stay distributed however large a group is.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer.
-That is right for hourly series, whose length the calendar bounds. For raw
-values of a group of any size the functions here cut the group's value range
-into about a thousand buckets, find the buckets that hold the wanted ranks from
-the bucket totals, and order only the values inside those.
+Spark's ``percentile`` keeps every distinct value of a group in one buffer. That is right
+for hourly series, whose length the calendar bounds. For raw values of a group of any size
+the wanted ranks are narrowed down: a round cuts the range that holds a rank into equal
+parts, sums the rows of each part, and goes on with the part that holds it. A round moves a
+bounded number of sums per group and rank, whatever the rows. What is left when a range
+holds few rows is ordered.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import persist_to_shared
 
-BITS = 10  # 2 ** BITS buckets
-ACCURACY = 20_000
-
-
-def _bucketed(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Adds ``_bucket``: how many of the group's split points lie below the value."""
-    size = 2**BITS
-    shares = F.array(*[F.lit(k / size) for k in range(1, size)])
-    splits = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, shares, ACCURACY).alias("_splits")
-    )
-    joined = counts.join(splits, keys) if keys else counts.crossJoin(F.broadcast(splits))
-    # Binary search: each step decides one bit of the bucket number.
-    steps = F.array(*[F.lit(2**b) for b in reversed(range(BITS))])
-    found = F.aggregate(
-        steps, F.lit(0),
-        lambda at, step: at + F.when(F.element_at("_splits", at + step) < F.col(value), step).otherwise(F.lit(0)),
-    )
-    spread = joined.withColumn("_bucket", found).drop("_splits")
-    # Without this exchange the rows would stay partitioned by key, which also
-    # satisfies every later grouping by (key, bucket), in one task per key.
-    return spread.repartition(*keys, "_bucket")
-
-
-def _offsets(spread: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """Per bucket: its weight, the weight before it, and the group's total. At most
-    2 ** BITS rows per key meet in a window."""
-    totals = spread.groupBy(*keys, "_bucket").agg(F.sum(weight).alias("_w"))
-    per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = per_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(
-        *keys, "_bucket", "_w",
-        F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_w").over(per_key).alias("total"),
-    )
+#: Parts of a range, and rows below which a range is ordered.
+PARTS, FEW_ROWS = 1024, 20_000
+#: Up to so many ranges go to the rows as a broadcast, some 60 bytes each; more are joined.
+BROADCAST_RANGES = 200_000
+#: Tasks over which a key's rows spread when they are joined with its ranges.
+SALTS = 32
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Linearly interpolated quantiles, one column per entry of ``shares``.
 
-    The counts per distinct value are needed three times. They are written to the
-    shared folder once, so that the records behind them are read once.
+    NULL and NaN are no values; a group without any has no row. Each round reads the rows again: what is dear to compute should be stored first.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    return quantiles_of_counts(persist_to_shared(counts, "counts"), keys, value, shares)
+    return _quantiles(df, keys, value, F.lit(1).cast("bigint"), shares)
 
 
 def quantiles_of_counts(counts: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """The same from ``(keys, value, n)`` with one row per distinct value."""
-    spread = _bucketed(counts, keys, value)
-    total, offset = F.col("total"), F.col("_offset")
+    """The same from ``(keys, value, n)``, where a row stands for n values."""
+    return _quantiles(counts, keys, value, F.col("n"), shares)
+
+
+def _quantiles(rows: DataFrame, keys: list[str], value: str, weight: Column, shares: dict[str, float]) -> DataFrame:
+    v = F.col("_v")
+    slim = rows.select(*keys, F.col(value).alias("_v"), weight.alias("_w"))
+    slim = slim.filter(v.isNotNull() & ~F.isnan(v.cast("double")))
+    whole = slim.groupBy(*keys).agg(F.sum("_w").alias("total"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    whole = whole.filter("total > 0")
 
     def ranks(q: float) -> tuple[Column, Column]:
-        position = (total - 1) * F.lit(q)
-        return F.floor(position), F.ceil(position)
-
-    wanted = [rank for q in shares.values() for rank in ranks(q)]
-    holds_one = reduce(lambda a, b: a | b, [(offset <= k) & (k < offset + F.col("_w")) for k in wanted])
-    useful = _offsets(spread, keys, "n").filter(holds_one).drop("_w")
-    inner = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = spread.join(useful, [*keys, "_bucket"]).withColumn(
-        "_below", offset + F.coalesce(F.sum("n").over(inner), F.lit(0))
+        position = (F.col("total") - 1) * F.lit(q)
+        return F.floor(position).cast("bigint"), F.ceil(position).cast("bigint")
+
+    wanted = F.explode(F.array_distinct(F.array(*[r for q in shares.values() for r in ranks(q)])))
+    ranges = whole.select(*keys, "total", wanted.alias("rank"), "lo", "hi", F.lit(0).cast("bigint").alias("below"), F.col("total").alias("held"))
+    ranges = persist_to_shared(ranges, "ranges")
+    while not (open_ := ranges.filter("lo < hi AND held > %d" % FEW_ROWS)).isEmpty():
+        narrowed = _narrowed(slim, keys, open_)
+        ranges = persist_to_shared(ranges.filter("NOT (lo < hi AND held > %d)" % FEW_ROWS).unionByName(narrowed), "ranges")
+    found = ranges.filter("lo = hi").select(*keys, "total", "rank", F.col("lo").alias("_v"))
+    found = found.unionByName(_ordered(slim, keys, ranges.filter("lo < hi")))
+    return _interpolated(persist_to_shared(found, "ranks"), keys, shares, ranks)
+
+
+def _in_ranges(slim: DataFrame, keys: list[str], ranges: DataFrame) -> DataFrame:
+    """The rows of each range, beside it; a row may lie in the ranges of several ranks."""
+    if not keys or ranges.count() <= BROADCAST_RANGES:
+        small = F.broadcast(ranges)
+        met = slim.join(small, keys) if keys else slim.crossJoin(small)  # a row per wanted rank
+    else:
+        salted = slim.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)))
+        copies = ranges.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        met = salted.join(copies, [*keys, "_salt"]).drop("_salt")
+    return met.filter((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
+
+
+def _narrowed(slim: DataFrame, keys: list[str], ranges: DataFrame) -> DataFrame:
+    """Each range cut down to the part that holds its rank, and there to the values that occur."""
+    by = [*keys, "total", "rank", "lo", "hi", "below"]
+    place = (F.col("_v").cast("double") - F.col("lo").cast("double")) / (F.col("hi").cast("double") - F.col("lo").cast("double"))
+    inner = F.least(F.floor(F.nanvl(place, F.lit(0.5)) * PARTS), F.lit(PARTS - 1))
+    # The ends are parts of their own: so a range always shrinks, also one that reaches to infinity.
+    part = F.when(F.col("_v") == F.col("lo"), -1).when(F.col("_v") == F.col("hi"), PARTS).otherwise(inner).cast("int")
+    sums = _in_ranges(slim, keys, ranges).groupBy(*by, part.alias("part")).agg(
+        F.sum("_w").alias("w"), F.min("_v").alias("least"), F.max("_v").alias("most")
+    )
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # PARTS rows at most
+    placed = sums.withColumn("start", F.col("below") + F.coalesce(F.sum("w").over(before), F.lit(0)))
+    holding = placed.filter((F.col("start") <= F.col("rank")) & (F.col("rank") < F.col("start") + F.col("w")))
+    return holding.select(
+        *keys, "total", "rank", F.col("least").alias("lo"), F.col("most").alias("hi"), F.col("start").alias("below"), F.col("w").alias("held")
     )
-    aggs: list[Column] = [F.max(total).alias("n")]
+
+
+def _ordered(slim: DataFrame, keys: list[str], ranges: DataFrame) -> DataFrame:
+    """The value at the rank of each range that holds few rows."""
+    by = [*keys, "total", "rank", "below"]
+    counts = _in_ranges(slim, keys, ranges).groupBy(*by, "_v").agg(F.sum("_w").alias("w"))
+    until = F.sum("w").over(Window.partitionBy(*by).orderBy("_v"))
+    placed = counts.withColumn("until", F.col("below") + until)
+    hit = (F.col("until") > F.col("rank")) & (F.col("until") - F.col("w") <= F.col("rank"))
+    return placed.filter(hit).select(*keys, "total", "rank", "_v")
+
+
+def _interpolated(found: DataFrame, keys: list[str], shares: dict[str, float], ranks) -> DataFrame:
+    aggs: list[Column] = [F.max("total").alias("n")]
     for name, q in shares.items():
         for side, rank in zip(("lo", "hi"), ranks(q)):
-            hit = (F.col("_below") <= rank) & (rank < F.col("_below") + F.col("n"))
-            aggs.append(F.max(F.when(hit, F.col(value))).alias(f"_{name}_{side}"))
-        position = (total - 1) * F.lit(q)
+            aggs.append(F.max(F.when(F.col("rank") == rank, F.col("_v"))).alias(f"_{name}_{side}"))
+        position = (F.col("total") - 1) * F.lit(q)
         aggs.append(F.max(position - F.floor(position)).alias(f"_{name}_f"))
-    found = ranked.groupBy(*keys).agg(*aggs)
     lerp = {
         name: F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * F.col(f"_{name}_f")
         for name in shares
     }
-    return found.withColumns(lerp).select(*keys, "n", *shares)
+    return found.groupBy(*keys).agg(*aggs).withColumns(lerp).select(*keys, "n", *shares)

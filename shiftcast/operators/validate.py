@@ -1,13 +1,18 @@
 """Data validation: one row per finding.
 
 Counts of all rules on values and times come from one aggregation. Interval
-rules need the order of the times; they sort inside (series, hour) slices and
-stitch the slices together from their first and last times, so a series that
-holds most of the records is still spread over its hours.
+rules need the order of the times; they sort inside ranges of about equal counts and
+stitch the ranges together from their first and last times, so a series that
+holds most of the records, or most of them in one hour, still spreads.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +21,7 @@ from ..functions import clock
 from ..functions.numbers import humanize_seconds, ratio
 from ..session import persist_to_shared
 from . import quantiles
+from .moments import types_of
 
 # Names under which a workload column may arrive, and the largest
 # plausible volume per hour.
@@ -74,30 +80,57 @@ def _count(condition: Column) -> Column:
     return F.count_if(F.coalesce(condition, F.lit(False)))
 
 
+#: Distances of a key that a task holds before it gives them out.
+DISTANCES_AT_ONCE = 100_000
+
+
 def interval_counts(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """``(keys, micros, n)``: how often each distance between neighbouring times occurs.
 
-    Equal times have distance 0. The window partitions are (keys, hour); the gap
-    across hours is measured between slice ends, one row per key and hour.
+    Equal times have distance 0. The times are put into ranges of about equal counts by
+    sampled split points, so a key with most of the rows, or an hour with most of a key's,
+    spreads over several. A task walks through its range in order and gives out summed
+    distances; between ranges they are those of the ranges' ends, one row per range and key.
     """
     seen = df.filter(F.col(ts).isNotNull()).groupBy(*keys, clock.epoch_micros(ts).alias("_at")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    hour = F.floor(F.col("_at") / 3_600_000_000).alias("_slice")
-    sliced = seen.select(*keys, "_at", "_n", hour)
-    inner = Window.partitionBy(*keys, "_slice").orderBy("_at")
-
-    def entry(micros: Column, n: Column) -> Column:
-        return F.struct(micros.alias("micros"), n.alias("n"))
-
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    own = F.array(entry(F.col("_at") - F.lag("_at").over(inner), one), entry(none, F.col("_n") - 1))
-    within = sliced.withColumn("_e", own).select(*keys, F.explode("_e").alias("_e")).select(*keys, "_e.*")
-    # Filtering on the count makes this branch read the same shuffled rows as the one above.
-    ends = sliced.filter("_n > 0").groupBy(*keys, "_slice").agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
-    outer = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_slice")
-    across = ends.select(*keys, (F.col("_lo") - F.lag("_hi").over(outer)).alias("micros"), one.alias("n"))
-    every = within.unionByName(across).filter("micros IS NOT NULL AND n > 0")
+    ranged = seen.repartitionByRange(*keys, "_at").sortWithinPartitions(*keys, "_at")
+    names = [*keys, "micros", "n", "first", "last"]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, first, last, held = None, None, None, Counter()
+
+        def summed(ends: bool) -> pd.DataFrame:
+            out = [(*key, m, n, None, None) for m, n in held.items()]
+            rows = pd.DataFrame(out + ([(*key, None, None, first, last)] if ends else []), columns=names)
+            held.clear()
+            return rows.astype({c: "Int64" for c in names[len(keys) :]})
+
+        for pdf in batches:
+            groups = pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)] if len(pdf) else []
+            for new, rows in groups:
+                new = tuple(None if pd.isna(k) else k for k in new)
+                at, repeats = rows["_at"].to_numpy(), int((rows["_n"] - 1).sum())
+                if new != key:
+                    if key is not None:
+                        yield summed(True)
+                    key, first, last = new, int(at[0]), int(at[0])
+                gap, n = np.unique(np.diff(at, prepend=last), return_counts=True)
+                held.update(dict(zip(gap.tolist(), n.tolist())))
+                held[0] += repeats - int(last == at[0])  # the time before the first is the first itself
+                last = int(at[-1])
+                if len(held) >= DISTANCES_AT_ONCE:
+                    yield summed(False)
+        if key is not None:
+            yield summed(True)
+
+    parts = ranged.mapInPandas(walk, types_of(df, keys, *(f"{c} bigint" for c in names[len(keys) :])))
+    parts = persist_to_shared(parts, "distances")
+    ordered = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("first")
+    ends = parts.filter("first IS NOT NULL")  # of a key as many as ranges it spreads over
+    across = ends.select(*keys, (F.col("first") - F.lag("last").over(ordered)).alias("micros"), F.lit(1).cast("bigint").alias("n"))
+    every = parts.select(*keys, "micros", "n").unionByName(across).filter("micros IS NOT NULL AND n > 0")
     return every.groupBy(*keys, "micros").agg(F.sum("n").alias("n"))
 
 

@@ -2,6 +2,8 @@
 
 import math
 import random
+from collections import Counter
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -319,6 +321,47 @@ def test_exact_quantiles(spark):
     assert total["p50"] == pytest.approx(np.median([v for _, v in data]))
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_exact_quantiles_by_narrowing(spark, monkeypatch, broadcast):
+    """Many rounds on few rows: spread over magnitudes, infinities, one value for most rows."""
+    monkeypatch.setattr(quantiles, "FEW_ROWS", 3)
+    monkeypatch.setattr(quantiles, "PARTS", 8)
+    monkeypatch.setattr(quantiles, "BROADCAST_RANGES", broadcast)
+    rng = random.Random(12)
+    data = [("wide", 10 ** rng.uniform(-12, 12)) for _ in range(150)] + [("flat", 2.0)] * 60 + [("flat", -1.0)]
+    data += [("ends", v) for v in (float("-inf"), float("inf"), 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0)]
+    df = spark.createDataFrame([*data, ("ends", None), ("ends", float("nan")), ("none", None)], "k string, v double")
+    rows = {r["k"]: r for r in quantiles.exact_quantiles(df, ["k"], "v", {"p25": 0.25, "p50": 0.5, "p90": 0.9}).collect()}
+    assert set(rows) == {"wide", "flat", "ends"}
+    for k in rows:
+        values = np.array([v for key, v in data if key == k])
+        assert rows[k]["n"] == len(values)
+        for name, q in {"p25": 0.25, "p50": 0.5, "p90": 0.9}.items():
+            if k != "ends" or name != "p90":  # between 7 and infinity
+                assert rows[k][name] == pytest.approx(np.quantile(values, q), rel=1e-9)
+
+
+def test_intervals_of_a_hot_series_spread_over_ranges(spark):
+    """70 % of the rows are one series, most of them within one hour."""
+    rng = random.Random(13)
+    start = datetime(2024, 1, 1)
+    rows = [("hot", start + timedelta(milliseconds=rng.randint(0, 3_000_000))) for _ in range(7000)]
+    rows += [(f"cold{k % 30}", start + timedelta(minutes=rng.randint(0, 50_000))) for k in range(3000)]
+    df = spark.createDataFrame([(k, str(t)) for k, t in rows], "k string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    expected = Counter()
+    for key in {k for k, _ in rows}:
+        at = sorted(t for k, t in rows if k == key)
+        expected.update((key, (b - a) // timedelta(microseconds=1)) for a, b in zip(at, at[1:]))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = validate.interval_counts(df, ["k"]).collect()
+        seen = df.distinct().repartitionByRange("k", "ts").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r["k"], r["micros"]): r["n"] for r in found} == dict(expected)
+    assert len(seen) > 2 and max(r["count"] for r in seen) < 0.5 * sum(r["count"] for r in seen)
+
+
 def test_one_gap(spark):
     hours = [h for h in range(24) if not 10 <= h < 14]
     df = stamps(spark, [(f"2024-01-01 {h:02d}:00:00", 1.0) for h in hours])
