@@ -29,8 +29,9 @@ def staff(
     config: CapacityConfig = CAPACITY,
     dedupe: bool = False,
 ) -> DataFrame:
-    """Adds intensity, raw_agents, agents, occupancy, service_level and asa.
+    """Adds intensity, raw_agents, agents, occupancy, service_level, asa and goal_met.
 
+    Where not even ``max_agents`` reach the goal they are the answer and ``goal_met`` is false.
     Expects ``volume``, ``aht_min`` and ``concurrency``. The fold that finds the
     agent count runs inside the scan's stage, row by row, because forecasts are
     real numbers and rarely repeat. ``dedupe=True`` solves each distinct load
@@ -75,6 +76,7 @@ def staff(
         .withColumn(
             "asa", F.when(busy, erlang.wait_seconds(c, n, a, F.col("_aht"))).otherwise(F.lit(0.0))
         )
+        .withColumn("goal_met", ~busy | (n < config.max_agents) | (F.col("service_level") >= F.col("_goal")))
         .drop("_aht", "_goal", "_target", "_shrink", "_sol")
     )
 

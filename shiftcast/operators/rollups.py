@@ -13,6 +13,7 @@ from ..functions import clock
 from ..functions.clock import DAY_NAMES
 from ..functions.numbers import normal_density, ratio
 from .features import numeric_columns
+from .validate import salted_join
 
 
 def between(df: DataFrame, start: Column | str, end: Column | str, ts: str = "ts") -> DataFrame:
@@ -216,13 +217,18 @@ def column_examples(df: DataFrame, n: int = 3) -> DataFrame:
 
 
 def quality_tiles(df: DataFrame, ts: str | None = None) -> DataFrame:
-    """Completeness, missing cells, duplicate rows and span in days."""
+    """Completeness, missing cells, duplicate rows and span in days.
+
+    Two hashes of 64 bits stand for a row in the search for duplicates, so no row is
+    shuffled whole; NULLs are marked, because a hash passes over them."""
+    cells_of = [F.col(f"`{c}`") for c in df.columns]
+    hashes = [F.xxhash64(F.lit(seed), *[c.isNull() for c in cells_of], *cells_of).alias(f"_h{seed}") for seed in (1, 2)]
     missing = reduce(add, [F.col(c).isNull().cast("bigint") for c in df.columns])
     span = F.datediff(F.max(ts), F.min(ts)) if ts else F.lit(None).cast("int")
     cells = df.agg(
         F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(missing), F.lit(0)).alias("missing_cells"), span.alias("span_days")
     )
-    repeated = df.groupBy(*df.columns).count().agg(
+    repeated = df.groupBy(*hashes).count().agg(
         F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows")
     )
     total = F.col("rows") * len(df.columns)
@@ -248,20 +254,23 @@ def first_last_change(df: DataFrame, keys: list[str], column: str, order: str =
 
 def histogram(df: DataFrame, keys: list[str], column: str, bins: int = 50) -> DataFrame:
     """Equal-width bins with the count a normal distribution of the same mean and
-    population deviation would give; only bins that hold rows are listed."""
-    stats = df.groupBy(*keys).agg(
-        F.min(column).alias("_lo"), F.max(column).alias("_hi"), F.avg(column).alias("_mean"),
-        F.stddev_pop(column).alias("_std"), F.count(column).alias("_n"),
-    )
-    joined = df.join(stats, keys) if keys else df.crossJoin(F.broadcast(stats))  # one row without keys
+    population deviation would give. Bins without rows have 0; if all values of a
+    key are equal it has one bin, and none without values."""
+    known = df.filter(F.col(column).isNotNull()).select(*keys, F.col(column).alias("_v"))
+    stats = known.groupBy(*keys).agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.avg("_v").alias("_mean"),
+        F.stddev_pop("_v").alias("_std"), F.count("_v").alias("_n"),
+    ).filter("_n > 0")
+    bounds = stats.select(*keys, "_lo", "_hi")
+    joined = salted_join(known, bounds, keys, "_v") if keys else known.crossJoin(F.broadcast(bounds))  # one row without keys
     width = (F.col("_hi") - F.col("_lo")) / bins
-    step = F.coalesce(F.floor(ratio(F.col(column) - F.col("_lo"), width)), F.lit(0))  # all values equal: one bin
+    step = F.coalesce(F.floor(ratio(F.col("_v") - F.col("_lo"), width)), F.lit(0))
     number = F.least(step, F.lit(bins - 1)).cast("int")
-    counted = joined.filter(F.col(column).isNotNull()).groupBy(
-        *keys, "_lo", "_hi", "_mean", "_std", "_n", number.alias("bin")
-    ).agg(F.count(F.lit(1)).alias("n"))
+    counted = joined.groupBy(*keys, number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    last = F.when(width > 0, F.lit(bins - 1)).otherwise(F.lit(0))
+    every = stats.withColumn("bin", F.explode(F.sequence(F.lit(0), last)))
     left = F.col("_lo") + F.col("bin") * width
-    return counted.select(
-        *keys, "bin", left.alias("bin_start"), (left + width).alias("bin_end"), "n",
+    return every.join(counted, [*keys, "bin"], "left").select(
+        *keys, "bin", left.alias("bin_start"), (left + width).alias("bin_end"), F.coalesce("n", F.lit(0)).alias("n"),
         (normal_density(left + width / 2, F.col("_mean"), F.col("_std")) * F.col("_n") * width).alias("normal_count"),
     )

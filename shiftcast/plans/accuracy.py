@@ -579,8 +579,8 @@ def residual_qq_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     "residual_histogram",
     cte("compared", res=_RES, s="SELECT task, min(residual) lo, max(residual) hi, avg(residual) m, stddev_pop(residual) sd, count(*) n, (max(residual)-min(residual))/50 AS w FROM res GROUP BY task",
         b="SELECT res.task, least(floor((residual-lo)/w), 49)::BIGINT AS bin, count(*) AS c FROM res JOIN s USING (task) GROUP BY ALL")
-    + f"SELECT b.task, bin, {r('lo+bin*w', 'bin_start')}, {r('lo+bin*w+w', 'bin_end')}, c AS n, "
-    f"{r('exp(-pow((lo+bin*w+w/2-m)/sd,2)/2)/(sd*sqrt(2*pi()))*s.n*w', 'normal_count')} FROM b JOIN s USING (task)",
+    + f"SELECT task, bin, {r('lo+bin*w', 'bin_start')}, {r('lo+bin*w+w', 'bin_end')}, coalesce(c, 0) AS n, "
+    f"{r('exp(-pow((lo+bin*w+w/2-m)/sd,2)/2)/(sd*sqrt(2*pi()))*s.n*w', 'normal_count')} FROM (SELECT * FROM s, range(50) k(bin)) s LEFT JOIN b USING (task, bin)",
 )
 def residual_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.histogram(_res(spark, sf_dir), ["task"], "residual")

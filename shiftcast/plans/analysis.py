@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -221,10 +223,77 @@ _DIRTY = {
 }
 
 
-@catalog.query("validation_findings", cte("hourly_all", **_DIRTY) + f"SELECT code, severity, {i('n', 'n')} FROM issues WHERE n > 0")
+# What the findings say beside their number: as numbers and as text.
+_MEASURES, _WORDS = ("median_interval", "largest_gap", "pct", "max_expected", "max_found"), ("granularity", "hours", "missing", "data_type")
+_DETAIL_COLUMNS = ", ".join([*[r(c, c) for c in _MEASURES], *_WORDS])
+_NO_DETAILS = ", ".join([*[f"NULL::DOUBLE AS {c}" for c in _MEASURES], *[f"NULL::VARCHAR AS {c}" for c in _WORDS]])
+
+
+def _with_details(issues: DataFrame, *keys: str) -> DataFrame:
+    said = F.col("details")
+    return issues.select(
+        *keys, "code", "severity", "n", *[said[c].cast("double").alias(c) for c in _MEASURES], *[said[c].alias(c) for c in _WORDS]
+    )
+
+
+_NOTES = (
+    f"SELECT NULL::VARCHAR AS code, {_NO_DETAILS} WHERE false UNION ALL BY NAME SELECT 'DATA_GAPS' AS code, md AS median_interval, mx AS largest_gap FROM dm "
+    "UNION ALL BY NAME SELECT 'TIMESTAMP_GRANULARITY' AS code, CASE WHEN mo < 60 THEN mo || ' second(s)' WHEN mo < 3600 THEN mo // 60 || ' minute(s)' "
+    "WHEN mo < 86400 THEN mo // 3600 || ' hour(s)' ELSE mo // 86400 || ' day(s)' END AS granularity FROM dm "
+    "UNION ALL BY NAME SELECT 'MISSING_HOURS' AS code, string_agg(h::VARCHAR, ',' ORDER BY h) AS hours FROM range(24) k(h) WHERE h NOT IN (SELECT hour(ts) FROM dirty) "
+    "UNION ALL BY NAME SELECT 'NULL_VALUES_' || col AS code, round(nn * 100.0::DOUBLE / n, 1) AS pct FROM nulls, ag "
+    "UNION ALL BY NAME SELECT 'HIGH_ZERO_RATIO_' || col AS code, round(z * 100.0::DOUBLE / n, 1) AS pct FROM nulls, ag "
+    "UNION ALL BY NAME SELECT 'HIGH_VALUES_CALLS' AS code, 10000 AS max_expected, max(call_volume) AS max_found FROM dirty "
+    "UNION ALL BY NAME SELECT 'HIGH_VALUES_EMAILS' AS code, 5000 AS max_expected, max(email_count) AS max_found FROM dirty "
+    "UNION ALL BY NAME SELECT 'HIGH_VALUES_OUTBOUND_OOK' AS code, 2000 AS max_expected, max(outbound_ook) AS max_found FROM dirty "
+    "UNION ALL BY NAME SELECT 'MISSING_REQUIRED_COLUMNS' AS code, 'outbound_omk,outbound_nb' AS missing, 'outbound' AS data_type"
+)
+
+
+@catalog.query(
+    "validation_findings",
+    cte("hourly_all", **_DIRTY, notes=_NOTES)
+    + f"SELECT code, severity, {i('n', 'n')}, {_DETAIL_COLUMNS} FROM issues LEFT JOIN notes USING (code) WHERE n > 0",
+)
 def validation_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every rule over a spoiled workload table."""
-    return validate.validate(_dirty(spark, sf_dir), AS_OF, data_type="outbound").drop("details")
+    """Every rule over a spoiled workload table, with all that the findings say."""
+    return _with_details(validate.validate(_dirty(spark, sf_dir), AS_OF, data_type="outbound"))
+
+
+ORDERS_AS_OF = "2002-01-01 00:00:00"
+_STRUCTURE = ("DATA_EMPTY", "MISSING_TIMESTAMP", "MISSING_VALUE_COLUMNS", "MISSING_REQUIRED_COLUMNS", "INVALID_TIMESTAMP_FORMAT", "OLD_TIMESTAMPS")
+
+
+@catalog.query(
+    "validation_structure",
+    f"WITH found AS (SELECT NULL::VARCHAR AS input, NULL::VARCHAR AS code, NULL::VARCHAR AS severity, NULL::BIGINT AS n, {_NO_DETAILS} WHERE false "
+    "UNION ALL BY NAME SELECT 'unreadable' AS input, 'INVALID_TIMESTAMP_FORMAT' AS code, 'error' AS severity, count(*) AS n FROM orders WHERE o_orderkey % 7 = 0 "
+    "UNION ALL BY NAME SELECT 'unreadable' AS input, 'MISSING_REQUIRED_COLUMNS' AS code, 'warning' AS severity, 1 AS n, 'emails' AS missing, 'emails' AS data_type "
+    "UNION ALL BY NAME SELECT 'unreadable' AS input, 'OLD_TIMESTAMPS' AS code, 'info' AS severity, count(*) AS n FROM orders "
+    f"WHERE o_orderkey % 7 <> 0 AND o_orderdate < TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 1825 DAY "
+    "UNION ALL BY NAME SELECT 'no_time' AS input, 'MISSING_TIMESTAMP' AS code, 'error' AS severity, 1 AS n "
+    "UNION ALL BY NAME SELECT 'no_time' AS input, 'MISSING_REQUIRED_COLUMNS' AS code, 'warning' AS severity, 1 AS n, 'timestamp' AS missing, 'calls' AS data_type "
+    "UNION ALL BY NAME SELECT 'no_values' AS input, 'MISSING_VALUE_COLUMNS' AS code, 'error' AS severity, 1 AS n "
+    f"UNION ALL BY NAME SELECT 'no_values' AS input, 'OLD_TIMESTAMPS' AS code, 'info' AS severity, count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '{ORDERS_AS_OF}' - INTERVAL 1825 DAY "
+    "UNION ALL BY NAME SELECT 'empty' AS input, 'DATA_EMPTY' AS code, 'error' AS severity, 0 AS n) "
+    f"SELECT input, code, severity, n, {_DETAIL_COLUMNS} FROM found WHERE n > 0 OR code = 'DATA_EMPTY'",
+)
+def validation_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules on missing columns, empty tables, unreadable and old times, over the orders spoiled for each."""
+    o = base.table(spark, sf_dir, "orders")
+    text = F.when(F.col("o_orderkey") % 7 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    calls, at = F.col("o_custkey").alias("calls"), F.col("o_orderdate").alias("ts")
+    inputs = {
+        "unreadable": (o.select(text.alias("ts"), calls), "emails"),
+        "no_time": (o.select(calls), "calls"),
+        "no_values": (o.select(at), None),
+        "empty": (o.filter("o_orderkey < 0").select(at, calls), None),
+    }
+    found = [
+        _with_details(validate.validate(df, ORDERS_AS_OF, data_type=kind).withColumn("input", F.lit(name)), "input")
+        for name, (df, kind) in inputs.items()
+    ]
+    return reduce(DataFrame.unionByName, found).filter(F.col("code").isin(*_STRUCTURE))
 
 
 @catalog.query(

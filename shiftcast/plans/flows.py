@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,11 +57,21 @@ def load_all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaders.load_all(spark, _drop_files(spark, sf_dir))
 
 
-@catalog.query("file_rows", cte("raw") + "SELECT count(*) AS rows FROM raw WHERE task LIKE 'outbound_%'")
+@catalog.query(
+    "file_rows",
+    cte("raw") + "SELECT count(*) AS rows, sum(19 + 1 + length(task) - 9 + 1 + 1 + 1)::BIGINT AS data_bytes, 0 AS wrong_names, 0 AS wrong_times FROM raw WHERE task LIKE 'outbound_%'",
+)
 def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows per file summed over one folder; the number of part files is Spark's choice."""
+    """Rows and bytes of one folder's files without their headers, and how many names and times of
+    change cannot be right; the number of part files is Spark's choice."""
+    before = datetime.now(timezone.utc) - timedelta(minutes=1)
     inventory = files.file_inventory(spark, f"{_drop_files(spark, sf_dir)}/outbound.csv")
-    return inventory.agg(F.sum("rows").alias("rows"))
+    header = len("timestamp,Typ,Anzahl\n")
+    return inventory.agg(
+        F.sum("rows").alias("rows"), F.sum(F.col("size_bytes") - header).alias("data_bytes"),
+        F.count_if(~F.col("filename").rlike(r"^part-\d+-.*\.csv$")).alias("wrong_names"),
+        F.count_if(~F.col("modified_at").between(F.lit(before), F.current_timestamp())).alias("wrong_times"),
+    )
 
 
 @catalog.query(

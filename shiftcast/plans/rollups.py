@@ -9,6 +9,7 @@ from ..config import BUSINESS_HOURS, VOLUME_COLUMNS
 from ..functions import clock
 from ..functions.numbers import display_name
 from ..operators import capacity, hourly, leads, rollups, roster
+from ..session import persist_to_shared
 from . import base, staffing
 from .base import SERIES, Catalog, cte, d, i, r, t
 from .staffing import plan_sql
@@ -268,6 +269,22 @@ def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.column_profile(base.table(spark, sf_dir, "orders"))
 
 
+@catalog.query(
+    "column_examples",
+    " UNION ALL ".join(f"SELECT '{c}' AS column, least(3, count({c})) AS examples, least(3, count({c})) AS occurring FROM orders" for c in _PROFILE),
+)
+def column_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many examples the profile shows of each column, and how many of them occur in it."""
+    o = base.table(spark, sf_dir, "orders")
+    shown = persist_to_shared(rollups.column_examples(o, 3), "examples")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("example")) for c in o.columns])
+    # Three rows a column are broadcast; what they meet is made distinct before it leaves its task.
+    met = o.select(F.explode(cells).alias("c")).select("c.*").join(F.broadcast(shown.distinct()), ["column", "example"]).distinct()
+    return shown.join(met.withColumn("_met", F.lit(1)), ["column", "example"], "left").groupBy("column").agg(
+        F.count(F.lit(1)).alias("examples"), F.count("_met").alias("occurring")
+    )
+
+
 @catalog.query(
     "quality_tiles",
     "WITH o AS (SELECT * REPLACE (CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority END AS o_orderpriority) FROM orders), "

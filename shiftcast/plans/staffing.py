@@ -106,7 +106,7 @@ _staffed_all = staffed_ctes(_all, "l.task")
     "task_staffing",
     cte("workload_all", **_staffed_all)
     + f"SELECT task, {t()}, {r('volume', 'volume')}, {r('intensity', 'intensity')}, {i('raw_agents', 'raw_agents')}, "
-    f"{i('agents', 'agents')}, {r('occupancy', 'occupancy')}, {r('service_level', 'service_level')}, {r('asa', 'asa')} FROM staffed",
+    f"{i('agents', 'agents')}, {r('occupancy', 'occupancy')}, {r('service_level', 'service_level')}, {r('asa', 'asa')}, coalesce(service_level >= 0.8, false) AS goal_met FROM staffed",
 )
 def task_staffing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load, agents, occupancy, service level and wait per task and opening hour."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clock import hour_floor
@@ -13,43 +13,26 @@ from . import files
 EMPTY = "task string, ts timestamp_ntz, volume double"
 
 
-def _timed(group: DataFrame) -> DataFrame:
-    ts = files.find_column(group, files.TIMESTAMP_NAMES)
-    if ts is None:
-        raise ValueError(f"no time column among {group.columns}")
-    return files.parse_timestamp(group.withColumnRenamed(ts, "ts"), "ts")
-
-
-def _groups(spark: SparkSession, base: str, pattern: str) -> list[DataFrame]:
+def _records(
+    spark: SparkSession, base: str, pattern: str, task: Column, roles: dict[str, tuple[str, ...]], defaults: dict[str, str]
+) -> list[DataFrame]:
+    """``(task, ts, value)`` of the files of a kind, none without such files; one scan reads them."""
     paths = files.matching_paths(spark, base, pattern)
     if not paths:
         return []
-    return [_timed(files.read_group(spark, h, p)) for h, p in files.headers(spark, paths).items()]
+    rows = files.read_roles(spark, paths, {"ts": files.TIMESTAMP_NAMES, **roles}, defaults)
+    return [rows.select(task.alias("task"), files.parsed("ts").alias("ts"), F.col("value").try_cast("double").alias("value"))]
 
 
-def _counted(group: DataFrame, names: tuple[str, ...]):
+def _counted(spark: SparkSession, base: str, pattern: str, task: str, names: tuple[str, ...]) -> list[DataFrame]:
     """The value column, or 1 per record where there is none."""
-    value = files.find_column(group, names)
-    return F.lit(1.0) if value is None else F.col(value).try_cast("double")
-
-
-def _records(spark: SparkSession, base: str, pattern: str, task: str, names: tuple[str, ...]) -> list[DataFrame]:
-    return [
-        g.select(F.lit(task).alias("task"), "ts", _counted(g, names).alias("value"))
-        for g in _groups(spark, base, pattern)
-    ]
+    return _records(spark, base, pattern, F.lit(task), {"value": names}, {"value": "1"})
 
 
-def _outbound_records(spark: SparkSession, base: str, pattern: str) -> list[DataFrame]:
-    out = []
-    for g in _groups(spark, base, pattern):
-        kind = files.find_column(g, files.TYPE_NAMES)
-        kind_value = F.lit("UNKNOWN") if kind is None else F.upper(F.trim(F.col(kind)))
-        counted = _counted(g, files.OUTBOUND_COUNT_NAMES)
-        out.append(
-            g.select(F.concat(F.lit("outbound_"), F.lower(kind_value)).alias("task"), "ts", counted.alias("value"))
-        )
-    return out
+def _outbound(spark: SparkSession, base: str, pattern: str) -> list[DataFrame]:
+    task = F.concat(F.lit("outbound_"), F.lower(F.trim("kind")))
+    roles = {"kind": files.TYPE_NAMES, "value": files.OUTBOUND_COUNT_NAMES}
+    return _records(spark, base, pattern, task, roles, {"kind": "unknown", "value": "1"})
 
 
 def _hourly(spark: SparkSession, records: list[DataFrame]) -> DataFrame:
@@ -63,24 +46,24 @@ def _hourly(spark: SparkSession, records: list[DataFrame]) -> DataFrame:
 
 
 def load_calls(spark: SparkSession, base: str, pattern: str = "*call*.csv") -> DataFrame:
-    return _hourly(spark, _records(spark, base, pattern, "calls", files.CALL_NAMES))
+    return _hourly(spark, _counted(spark, base, pattern, "calls", files.CALL_NAMES))
 
 
 def load_emails(spark: SparkSession, base: str, pattern: str = "*email*.csv") -> DataFrame:
-    return _hourly(spark, _records(spark, base, pattern, "emails", files.EMAIL_NAMES))
+    return _hourly(spark, _counted(spark, base, pattern, "emails", files.EMAIL_NAMES))
 
 
 def load_outbound(spark: SparkSession, base: str, pattern: str = "*outbound*.csv") -> DataFrame:
     """Hourly volume per outbound type; rows without a type value are dropped, a
     missing type column counts as ``outbound_unknown``."""
-    return _hourly(spark, _outbound_records(spark, base, pattern))
+    return _hourly(spark, _outbound(spark, base, pattern))
 
 
 def load_all(spark: SparkSession, base: str) -> DataFrame:
     """The three kinds of files in one hourly table; kinds without files are absent."""
     records = [
-        *_records(spark, base, "*call*.csv", "calls", files.CALL_NAMES),
-        *_records(spark, base, "*email*.csv", "emails", files.EMAIL_NAMES),
-        *_outbound_records(spark, base, "*outbound*.csv"),
+        *_counted(spark, base, "*call*.csv", "calls", files.CALL_NAMES),
+        *_counted(spark, base, "*email*.csv", "emails", files.EMAIL_NAMES),
+        *_outbound(spark, base, "*outbound*.csv"),
     ]
     return _hourly(spark, records)

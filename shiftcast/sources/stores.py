@@ -9,8 +9,8 @@ from ..operators import capacity, rollups
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    """One folder of CSV parts, each with a header."""
-    df.write.option("header", True).option("sep", sep).csv(path)
+    """One folder of CSV parts, each with a header; quotes inside values are doubled."""
+    df.write.option("header", True).option("sep", sep).option("escape", '"').csv(path)
 
 
 def write_sorted(df: DataFrame, path: str, by: list[str], fmt: str = "parquet", **options: str) -> None:

@@ -70,6 +70,7 @@ def test_overload_takes_all_agents(spark):
     full, idle = capacity.staff(df).orderBy(F.desc("volume")).collect()
     assert full["raw_agents"] == 500 and full["service_level"] == 0.0 and full["asa"] is None
     assert (idle["agents"], idle["service_level"], idle["asa"], idle["occupancy"]) == (0, 1.0, 0.0, 0.0)
+    assert idle["goal_met"] and not full["goal_met"]
 
 
 def test_shrinkage_uses_doubles(spark):

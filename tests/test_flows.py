@@ -1,6 +1,7 @@
 """Readers, uploads, stores and streams on small files."""
 
 import base64
+import gzip
 import random
 from datetime import datetime, timedelta
 
@@ -34,6 +35,44 @@ def test_files_with_different_headers(spark, tmp_path):
     assert rows == {(("a", "1"), ("b", "2"), ("c", None)), (("a", None), ("b", "3"), ("c", "4"))}
 
 
+def test_first_lines_of_files(spark, tmp_path, monkeypatch):
+    """Headers longer than what is read at once, other line ends, marks, packed and empty files."""
+    monkeypatch.setattr(files, "HEAD_BYTES", 4)
+    long = ",".join(f"column_{k}" for k in range(500))
+    put(tmp_path, "a b.csv", f"{long}\n1\n")
+    (tmp_path / "marked.csv").write_bytes("\ufeffä;b\r\n1;2\r\n".encode())
+    (tmp_path / "old.csv").write_bytes(b"x,y\r1,2\r")
+    (tmp_path / "packed.csv.gz").write_bytes(gzip.compress(b"p,q\n1,2\n"))
+    put(tmp_path, "empty.csv", "")
+    put(tmp_path, "open.csv", "only")
+    expected = {"a%20b.csv": long, "marked.csv": "ä;b", "old.csv": "x,y", "packed.csv.gz": "p,q", "open.csv": "only"}
+    for read in (files.headers, files.headers_by_scan):
+        assert {r["path"].rsplit("/", 1)[1]: r["header"] for r in read(spark, str(tmp_path)).collect()} == expected
+    assert files.first_line((tmp_path / "empty.csv").as_uri()) is None
+    # Another kind of file system, which only Spark's readers may know.
+    assert not files._readable("other://host/x.csv")
+
+
+def test_files_are_scanned_once(spark, tmp_path):
+    """Three headers in five files: one scan, records with quotes, short lines, blank and repeated header lines."""
+    put(tmp_path, "a.csv", 'a,b\n1,"x, ""y"""\n\n2\n')
+    put(tmp_path, "a2.csv", "a,b\n3,\na,b\n")
+    put(tmp_path, "b.csv", "B;c\n4;5;6\n")
+    put(tmp_path, "c.csv", "a,a\n7,8\n")
+    put(tmp_path, "d.csv", "")
+    df = files.read_delimited(spark, str(tmp_path))
+    assert df.columns == ["a", "b", "c"]
+    key = lambda t: tuple(x or "" for x in t)
+    rows = [("", "4", "5"), ("1", 'x, "y"', ""), ("2", "", ""), ("3", "", ""), ("7", "", "")]
+    assert sorted(key(r) for r in df.collect()) == rows
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_metadata" in plan and str(df._jdf.queryExecution().executedPlan()).count("FileScan text") == 1
+    with pytest.raises(ValueError):
+        files.read_roles(spark, str(tmp_path), {"c": ("c",)}, {})
+    with pytest.raises(FileNotFoundError):
+        files.read_delimited(spark, str(tmp_path / "d.csv"))
+
+
 def test_loaders(spark, tmp_path):
     put(tmp_path, "calls_jan.csv", "Datum;Anzahl\n01.02.2024 08:15;4\n01.02.2024 08:45;1\n")
     put(tmp_path, "inbound_call_log.csv", "timestamp,queue\n2024-02-01 08:59:59,a\n2024-02-01 09:00:00,b\n")
@@ -79,10 +118,10 @@ def test_leads(spark):
 
 
 def test_csv_round_trip_and_inventory(spark, tmp_path):
-    df = spark.range(10).withColumn("x", F.col("id") * 2)
+    df = spark.range(10).withColumn("x", F.col("id") * 2).withColumn("note", F.lit('say "a, b"'))
     stores.write_csv(df, str(tmp_path / "out"))
     again = files.read_delimited(spark, str(tmp_path / "out"))
-    assert sorted(int(r["x"]) for r in again.collect()) == [2 * i for i in range(10)]
+    assert sorted((int(r["x"]), r["note"]) for r in again.collect()) == [(2 * i, 'say "a, b"') for i in range(10)]
     listed = files.file_inventory(spark, str(tmp_path / "out" / "*.csv")).collect()
     assert sum(r["rows"] for r in listed) == 10 and all(r["size_bytes"] > 0 for r in listed)
 

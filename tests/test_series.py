@@ -418,9 +418,22 @@ def test_display_forms(spark):
 
 def test_histogram_counts_everything(spark, series):
     out = rollups.histogram(series([0, 0, 5, 10, 10]), ["task"], "volume", bins=5).orderBy("bin").collect()
-    assert [(r["bin"], r["n"]) for r in out] == [(0, 2), (2, 1), (4, 2)]
+    assert [(r["bin"], r["n"]) for r in out] == [(0, 2), (1, 0), (2, 1), (3, 0), (4, 2)]
     flat = rollups.histogram(series([3, 3]), ["task"], "volume").collect()
     assert [(r["bin"], r["n"]) for r in flat] == [(0, 2)]
+    assert rollups.histogram(series([3, 3, 4]), [], "volume", bins=2).count() == 2
+    none = series([3.0]).withColumn("volume", F.lit(None).cast("double"))
+    assert rollups.histogram(none, ["task"], "volume").count() == rollups.histogram(none, [], "volume").count() == 0
+
+
+def test_quality_tiles_tell_rows_apart(spark):
+    """Values that only change places with NULLs are other rows; rows of equal NULLs are the same."""
+    rows = [(None, "a", 0.0), ("a", None, 0.0), ("a", None, -0.0), (None, None, None), (None, None, None), ("", "a", 0.0)]
+    df = spark.createDataFrame(rows, "`x.y` string, b string, c double")
+    row = rollups.quality_tiles(df).head()
+    assert (row["rows"], row["duplicate_rows"], row["missing_cells"]) == (6, 2, 9)
+    empty = rollups.quality_tiles(df.limit(0)).head()
+    assert (empty["rows"], empty["duplicate_rows"], empty["completeness_pct"]) == (0, 0, None)
 
 
 def test_column_examples(spark):
