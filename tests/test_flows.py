@@ -66,7 +66,7 @@ def test_files_are_scanned_once(spark, tmp_path):
     rows = [("", "4", "5"), ("1", 'x, "y"', ""), ("2", "", ""), ("3", "", ""), ("7", "", "")]
     assert sorted(key(r) for r in df.collect()) == rows
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    assert "_metadata" in plan and str(df._jdf.queryExecution().executedPlan()).count("FileScan text") == 1
+    assert plan.count("] text") == 1
     with pytest.raises(ValueError):
         files.read_roles(spark, str(tmp_path), {"c": ("c",)}, {})
     with pytest.raises(FileNotFoundError):
