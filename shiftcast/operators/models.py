@@ -17,11 +17,14 @@ EVENT = (
 def fingerprint(df: DataFrame) -> DataFrame:
     """Rows and a 12-digit digest that depends on every row and not on their order.
 
-    Sums of two independent row hashes, kept as decimals so that they cannot overflow.
+    Sums of both halves of a row's MD5, 60 bits each and kept as decimals so that they cannot
+    overflow. A row is its values as text, each after its length, so that any engine can
+    compute the digest; a null is ``-``.
     """
     names = F.lit(",".join(df.columns))
-    one = F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))
-    two = F.sum(F.hash(*df.columns).cast("decimal(38,0)"))
+    text = [F.col(f"`{c}`").cast("string") for c in df.columns]
+    row = F.md5(F.concat(*[F.coalesce(F.concat(F.length(c), F.lit(":"), c), F.lit("-")) for c in text]))
+    one, two = (F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(20,0)")) for at in (1, 17))
     return df.agg(F.count(F.lit(1)).alias("rows"), one.alias("_a"), two.alias("_b")).select(
         "rows", F.substring(F.md5(F.concat_ws("|", F.col("rows"), names, F.col("_a"), F.col("_b"))), 1, 12).alias("data_hash")
     )

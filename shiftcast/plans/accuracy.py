@@ -289,13 +289,22 @@ def error_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     store_sql(
         f"SELECT count(*) AS rows, {r('avg(mape)', 'avg_mape')}, {r('100-avg(mape)', 'avg_accuracy')}, {r('avg(mape) FILTER (k <= 5)', 'recent_mape')}, {r('avg(mape) FILTER (k > n-5)', 'older_mape')}, "
         "CASE WHEN avg(mape) FILTER (k <= 5) < avg(mape) FILTER (k > n-5) THEN 'improving' WHEN avg(mape) FILTER (k <= 5) > 1.1*avg(mape) FILTER (k > n-5) THEN 'declining' END AS trend, 'ok' AS status, "
-        "(SELECT string_agg(task, ',' ORDER BY task) FROM (SELECT task FROM sm GROUP BY task HAVING avg(mape) > 20)) AS high_error_targets FROM rk",
+        "(SELECT count(*) FROM (SELECT task FROM sm GROUP BY task HAVING avg(mape) > 20)) AS high_error_targets FROM rk",
         sm=_SUMMARY, rk="SELECT *, row_number() OVER (ORDER BY created_at DESC, forecast_id DESC, task) AS k, count(*) OVER () AS n FROM sm"),
 )
 def learning_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = tracking.accuracy_summary(store(spark, sf_dir), base.workload_all(spark, sf_dir), ["task"], limit=20)
-    out = tracking.learning_insights(summary, ["task"])
-    return out.withColumn("high_error_targets", F.nullif(F.concat_ws(",", "high_error_targets"), F.lit("")))
+    return tracking.learning_insights(summary, ["task"])
+
+
+@catalog.query(
+    "high_error_targets",
+    store_sql(f"SELECT task, {r('avg(mape)', 'mape')} FROM sm GROUP BY task HAVING avg(mape) > 20", sm=_SUMMARY),
+)
+def high_error_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks whose forecasts miss by more than a fifth on average."""
+    summary = tracking.accuracy_summary(store(spark, sf_dir), base.workload_all(spark, sf_dir), ["task"], limit=20)
+    return tracking.high_error_targets(summary, ["task"])
 
 
 @catalog.query(

@@ -342,7 +342,7 @@ def offending_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @catalog.query(
     "duplicate_rows",
-    "SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM "
+    "SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS o_orderdate FROM "
     "(SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey) AS k FROM orders) WHERE k > 1",
 )
 def duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

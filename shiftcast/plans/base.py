@@ -18,6 +18,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 SERIES = ["site", "task"]
 
+OUTBOUND = ["outbound_ook", "outbound_omk", "outbound_nb"]
+
 # Event type -> task.
 EVENT_TASKS = {
     "click": "calls",
@@ -59,8 +61,8 @@ NUDGE = 3e-10
 
 
 def comparable(df: DataFrame) -> DataFrame:
-    """Widens integers, rounds doubles to six places and prints times as text,
-    so that both engines' results have the same representation."""
+    """Widens integers, rounds doubles to six places and prints times to the
+    microsecond, so that both engines' results have the same representation."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -69,7 +71,7 @@ def comparable(df: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, (T.FloatType, T.DoubleType)):
             c = F.round(c.cast("double") + F.lit(NUDGE), 6) + F.lit(0.0)
         elif isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         out.append(c.alias(f.name))
@@ -83,10 +85,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(site, task, ts, value)``, one row per event."""
+def records(spark: SparkSession, sf_dir: str, tasks: list[str] | None = None) -> DataFrame:
+    """``(site, task, ts, value)``, one row per event, or per event of some tasks: their
+    types are a filter that the scan takes."""
     mapping = F.create_map(*[F.lit(v) for kv in EVENT_TASKS.items() for v in kv])
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events")
+    if tasks is not None:
+        events = events.filter(F.col("event_type").isin([e for e, t in EVENT_TASKS.items() if t in tasks]))
+    return events.select(
         (F.col("user_id") % 10).alias("site"),
         mapping[F.col("event_type")].alias("task"),
         "ts",
@@ -213,7 +219,7 @@ def i(expr: str, name: str) -> str:
 
 
 def t(expr: str = "ts", name: str = "ts") -> str:
-    return f"strftime({expr}, '%Y-%m-%d %H:%M:%S') AS {name}"
+    return f"strftime({expr}, '%Y-%m-%d %H:%M:%S.%f') AS {name}"
 
 
 def d(expr: str = "date", name: str = "date") -> str:

@@ -25,18 +25,17 @@ def _drop_files(spark: SparkSession, sf_dir: str) -> str:
     """The records as a drop folder of raw files: two layouts of call files, one of
     e-mail counts, one of outbound rows."""
     path = new_work_path(spark, "drop")
-    raw = base.records(spark, sf_dir)
     first = F.dayofmonth("ts") <= 15
-    calls = raw.filter("task = 'calls'")
+    calls = base.records(spark, sf_dir, ["calls"])
     stores.write_csv(
         calls.filter(first).select(F.date_format("ts", "dd.MM.yyyy HH:mm:ss").alias("Datum"), F.col("site").alias("Queue ")), f"{path}/calls_a.csv", ";"
     )
     stores.write_csv(
         calls.filter(~first).select(F.lit(1).alias("Calls"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Timestamp")), f"{path}/calls_b.csv"
     )
-    mails = raw.filter("task = 'emails'").groupBy(F.date_format("ts", "dd/MM/yyyy HH:00").alias("date")).agg(F.count(F.lit(1)).alias("Email Count"))
+    mails = base.records(spark, sf_dir, ["emails"]).groupBy(F.date_format("ts", "dd/MM/yyyy HH:00").alias("date")).agg(F.count(F.lit(1)).alias("Email Count"))
     stores.write_csv(mails, f"{path}/email_counts.csv", ";")
-    outbound = raw.filter(F.col("task").startswith("outbound_")).select(
+    outbound = base.records(spark, sf_dir, base.OUTBOUND).select(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.concat(F.lit(" "), F.substring("task", 10, 9)).alias("Typ"), F.lit(2).alias("Anzahl")
     )
     stores.write_csv(outbound, f"{path}/outbound.csv")
@@ -214,6 +213,47 @@ def report_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, counts)
 
 
+# Sheet -> what names its rows, in both engines, and its cells.
+_SHEETS = {
+    "forecast": ("concat_ws(' ', task, date_format(ts, 'yyyy-MM-dd HH:mm'))", ["yhat", "y"]),
+    "hourly_plan": ("date_format(ts, 'yyyy-MM-dd HH:mm')", ["total_volume", "total_agents"]),
+    "daily_summary": ("date_format(date, 'yyyy-MM-dd')", ["total_volume", "peak_agents", "avg_agents"]),
+    "weekly_summary": ("concat_ws('-', iso_year, week)", ["total_volume", "peak_agents", "avg_agents"]),
+    "historical_daily": ("date_format(date, 'yyyy-MM-dd')", ["call_volume", "email_count"]),
+}
+_STAFF = "sum(total_volume) AS total_volume, max(total_agents) AS peak_agents, round_even(avg(total_agents), 1) AS avg_agents FROM plan"
+_SHEET_SQL = {
+    "forecast": "SELECT task || strftime(ts, ' %Y-%m-%d %H:%M') AS label, yhat, y FROM compared",
+    "hourly_plan": "SELECT strftime(ts, '%Y-%m-%d %H:%M') AS label, total_volume, total_agents FROM plan",
+    "daily_summary": f"SELECT strftime(ts, '%Y-%m-%d') AS label, {_STAFF} GROUP BY 1",
+    "weekly_summary": f"SELECT isoyear(ts) || '-' || weekofyear(ts) AS label, {_STAFF} GROUP BY 1",
+    "historical_daily": "SELECT strftime(ts, '%Y-%m-%d') AS label, sum(call_volume) AS call_volume, sum(email_count) AS email_count FROM wide GROUP BY 1",
+}
+
+
+@catalog.query(
+    "report_cells",
+    cte("compared", "wide", **staffing.plan_parts())
+    + " UNION ALL ".join(
+        f"SELECT '{n}' AS sheet, label, '{c}' AS measure, {r(c, 'cell')} FROM ({_SHEET_SQL[n]})" for n, (_, cells) in _SHEETS.items() for c in cells
+    ),
+)
+def report_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell of the full report's tables after writing and reading them as CSV."""
+    path = new_work_path(spark, "report-cells")
+    sheets = stores.report(
+        base.compared(spark, sf_dir), staffing.plan(spark, sf_dir), base.wide(spark, sf_dir), ["call_volume", "email_count"]
+    )
+    stores.write_report(sheets, path, "csv")
+    out = []
+    for name, (label, cells) in _SHEETS.items():
+        read = spark.read.option("header", True).option("escape", '"').schema(sheets[name].schema).csv(f"{path}/{name}")
+        long = read.select(F.expr(label).alias("label"), *[F.col(c).cast("double") for c in cells])
+        long = long.unpivot("label", cells, "measure", "cell")
+        out.append(long.select(F.lit(name).alias("sheet"), "label", "measure", "cell"))
+    return reduce(DataFrame.unionByName, out)
+
+
 # --- streams --------------------------------------------------------------------
 
 

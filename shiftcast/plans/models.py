@@ -154,6 +154,85 @@ def weekly_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seasonal.weekly_effect(seasonal_components(spark, sf_dir), ["task"])
 
 
+@catalog.query(
+    "weekly_effect_checks",
+    cte("workload_all") + "SELECT task, 7 AS weekdays, true AS balanced, 7 AS as_coefficients FROM (SELECT DISTINCT task FROM workload_all UNION ALL SELECT 'orders')",
+)
+def weekly_effect_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The effect of each weekday over one week: the mean of the fitted waves over its hours, and
+    all seven add up to nothing."""
+    found = []
+    for series, spec in ((base.workload_all(spark, sf_dir), ADDITIVE), (_orders(spark, sf_dir), DAILY)):
+        spec = _spec(series, spec, 168)
+        fitted = seasonal.fit(series, ["task"], spec)
+        said = persist_to_shared(seasonal.predict(fitted, ["task"], spec, 168), "one-week")
+        effect = seasonal.weekly_effect(said, ["task"])
+        place = [j for j, (block, _, _) in enumerate(seasonal.column_names(spec)) if block == "weekly"]
+        waves = [x for name, x in _design_sql(spec).items() if name.startswith("weekly_")]
+        hours = said.select("task", F.weekday("ts").alias("day_of_week"), clock.hour_index("ts").cast("double").alias("hour"))
+        each = hours.groupBy("task", "day_of_week").agg(*[F.avg(F.expr(x)).alias(f"w{k}") for k, x in enumerate(waves)])
+        waved = each.join(fitted.select("task", "beta"), "task")
+        expected = sum((F.col("beta")[j] * F.col(f"w{k}") for k, j in enumerate(place)), F.lit(0.0))
+        both = effect.join(waved.select("task", "day_of_week", expected.alias("expected"), F.abs(F.col("beta")[place[0]]).alias("size")), ["task", "day_of_week"])
+        near = 1e-9 * (1 + F.max("size"))
+        found.append(both.groupBy("task").agg(
+            F.count("weekly").alias("weekdays"), (F.abs(F.sum("weekly")) < near).alias("balanced"),
+            F.count_if(F.abs(F.col("weekly") - F.col("expected")) < 1e-9 * (1 + F.col("size"))).alias("as_coefficients"),
+        ))
+    return found[0].unionByName(found[1])
+
+
+# --- the caller's own events ------------------------------------------------------
+
+
+def _orders_by_priority(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``(task, ts, volume)``: orders per day and priority, days without any are 0; and events of
+    theirs: days with a large order of that priority, and days with an open one."""
+    o = base.table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("task"), F.to_date("o_orderdate").alias("date"), "o_totalprice", "o_orderstatus"
+    )
+    days = o.groupBy("task", "date").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    span = days.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).where("lo IS NOT NULL")
+    every = span.select(F.explode(F.sequence("lo", "hi")).alias("date")).crossJoin(F.broadcast(days.select("task").distinct()))
+    filled = every.join(days, ["task", "date"], "left")
+    series = filled.select("task", F.col("date").cast("timestamp_ntz").alias("ts"), F.coalesce("n", F.lit(0.0)).alias("volume"))
+    kinds = {"large order": "o_totalprice > 300000", "open order": "o_orderstatus = 'P'"}
+    named = [o.where(on).select("task", "date", F.lit(name).alias("name")) for name, on in kinds.items()]
+    return series, named[0].unionByName(named[1])
+
+
+@catalog.query(
+    "seasonal_event_equations",
+    cte(
+        o="SELECT o_orderpriority AS task, o_orderdate::DATE AS date, o_totalprice, o_orderstatus FROM orders",
+        spanned="SELECT unnest(generate_series(min(date)::TIMESTAMP, max(date)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS date FROM o",
+        ser="SELECT t.task, s.date, coalesce(n, 0) AS y FROM spanned s CROSS JOIN (SELECT DISTINCT task FROM o) t LEFT JOIN (SELECT task, date, count(*) AS n FROM o GROUP BY 1, 2) c USING (task, date)",
+        ev="SELECT DISTINCT task, date, 'large order' AS name FROM o WHERE o_totalprice > 300000 UNION ALL SELECT DISTINCT task, date, 'open order' FROM o WHERE o_orderstatus = 'P'",
+        kinds="SELECT task, name FROM (SELECT DISTINCT task FROM o), (SELECT DISTINCT name FROM ev)",
+    )
+    + f"SELECT kinds.task, kinds.name, count(ev.date) AS days, {r('avg(CASE WHEN ev.date IS NULL THEN 0 ELSE y END)', 'moment')} FROM kinds "
+    "JOIN ser ON ser.task = kinds.task LEFT JOIN ev ON ev.task = kinds.task AND ev.name = kinds.name AND ev.date = ser.date GROUP BY ALL",
+)
+def seasonal_event_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each series as regressors: on their days the fitted values and the ridge term
+    together make up the values themselves."""
+    series, events = _orders_by_priority(spark, sf_dir)
+    spec = seasonal.spec_with_events(_spec(series, DAILY, 0), events)
+    fitted = seasonal.fit(series, ["task"], spec, events=events)
+    said = seasonal.predict(fitted, ["task"], spec, 0, include_history=True, events=events)
+    on = events.select("task", F.to_timestamp_ntz(F.col("date").cast("string")).alias("ts"), "name").distinct()
+    place = {name: j for j, (_, name, _) in enumerate(seasonal.column_names(spec))}
+    weight = 1 / spec.seasonal_scale**2 + seasonal.LEAST_WEIGHT
+    terms = [
+        F.struct(F.lit(n).alias("name"), (F.col("beta")[place[f"event_{n}"]] * weight / F.col("n")).alias("ridge")) for n in spec.own_events
+    ]
+    models_ = fitted.select("task", "n", F.explode(F.array(*terms)).alias("e")).select("task", "n", "e.*")
+    held = said.join(on, ["task", "ts"]).groupBy("task", "name").agg(F.count(F.lit(1)).alias("days"), F.sum("yhat").alias("total"))
+    joined = models_.join(held, ["task", "name"], "left")
+    days, total = F.coalesce("days", F.lit(0)), F.coalesce("total", F.lit(0.0))
+    return joined.select("task", "name", days.alias("days"), (total / F.col("n") + F.col("ridge")).alias("moment"))
+
+
 @catalog.query("recursive_forecast")
 def recursive_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Next two days per task, each day's predictions feeding the features of the next."""
@@ -259,11 +338,19 @@ def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("latest_mean", F.col("latest_metrics")["volume"]["mean"]).drop("latest_metrics")
 
 
+_ROW = "md5(" + " || ".join(f"length({c}) || ':' || {c}" for c in ("site::VARCHAR", "task", "ts::VARCHAR", "volume::VARCHAR")) + ")"
+
+
+def _half(at: int) -> str:
+    return f"sum(('0x' || substr({_ROW}, {at}, 15))::BIGINT::HUGEINT)"
+
+
 @catalog.query(
     "model_registration",
     cte("workload")
-    + "SELECT 'workload' AS model_id, '1.0.0' AS version, 'register' AS event, '2024-02-01 00:00:00' AS at, 'seasonal' AS model_type, 'planner' AS created_by, "
-    f"count(*) AS samples, {t('min(ts)', 'first_ts')}, {t('max(ts)', 'last_ts')}, 12 AS hash_digits, true AS order_free FROM workload",
+    + f"SELECT 'workload' AS model_id, '1.0.0' AS version, 'register' AS event, {t("TIMESTAMP '2024-02-01 00:00:00'", 'at')}, 'seasonal' AS model_type, 'planner' AS created_by, "
+    f"count(*) AS samples, {t('min(ts)', 'first_ts')}, {t('max(ts)', 'last_ts')}, "
+    f"substr(md5(count(*) || '|site,task,ts,volume|' || {_half(1)} || '|' || {_half(17)}), 1, 12) AS data_hash, true AS order_free FROM workload",
 )
 def model_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registration row of a model trained on the whole workload; its fingerprint
@@ -273,5 +360,5 @@ def model_registration(spark: SparkSession, sf_dir: str) -> DataFrame:
     again = models.fingerprint(w.orderBy(F.desc("ts"), "task", "site")).select(F.col("data_hash").alias("_again"))
     return row.crossJoin(F.broadcast(again)).select(
         "model_id", "version", "event", "at", "model_type", "created_by", "samples", "first_ts", "last_ts",
-        F.length("data_hash").alias("hash_digits"), (F.col("data_hash") == F.col("_again")).alias("order_free"),
+        "data_hash", (F.col("data_hash") == F.col("_again")).alias("order_free"),
     )

@@ -68,9 +68,9 @@ def wide_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def merged_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Separately loaded task tables joined on site and hour."""
-    h = hourly.aggregate_hourly(base.records(spark, sf_dir), SERIES)
     names = {"calls": "call_volume", "emails": "email_count", "outbound_ook": "outbound_ook"}
-    frames = [h.filter(F.col("task") == k).select("site", "ts", F.col("volume").alias(v)) for k, v in names.items()]
+    loaded = [hourly.aggregate_hourly(base.records(spark, sf_dir, [k]), ["site"]) for k in names]
+    frames = [h.withColumnRenamed("volume", v) for h, v in zip(loaded, names.values())]
     return hourly.merge_wide(frames, ["site"]).na.fill(0.0, list(names.values()))
 
 
@@ -83,7 +83,7 @@ def merged_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def outbound_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hour by outbound type; type values arrive padded and in any case."""
-    o = base.records(spark, sf_dir).filter(F.col("task").startswith("outbound_")).select(
+    o = base.records(spark, sf_dir, base.OUTBOUND).select(
         "site", clock.hour_floor("ts").alias("ts"),
         F.upper(F.trim(F.regexp_replace("task", "outbound_", " "))).alias("type"), F.col("value").alias("count"),
     )

@@ -132,8 +132,13 @@ _plan = (
 )
 
 
+def plan_parts() -> dict[str, str]:
+    """The fragments of ``plan``, over ``workload_all``."""
+    return {**_plan_ctes, "plan": _plan}
+
+
 def plan_sql(body: str, **extra: str) -> str:
-    return cte("workload_all", **_plan_ctes, plan=_plan, **extra) + body
+    return cte("workload_all", **plan_parts(), **extra) + body
 
 
 def plan(spark: SparkSession, sf_dir: str) -> DataFrame:

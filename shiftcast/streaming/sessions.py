@@ -67,7 +67,7 @@ def log_line(df: DataFrame) -> DataFrame:
     return df.select(
         F.to_json(
             F.struct(
-                F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("timestamp"),
+                F.concat(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")).alias("timestamp"),
                 "level", F.lit("audit").alias("logger"), "user", "action", "details",
             )
         ).alias("value")

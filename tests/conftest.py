@@ -9,8 +9,9 @@ from shiftcast.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, "shiftcast-tests", spark__sql__shuffle__partitions="4")
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = local_session(8, "shiftcast-tests", spark__sql__shuffle__partitions="4", spark__checkpoint__dir=shared)
     yield session
     session.stop()
 

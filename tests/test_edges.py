@@ -4,6 +4,7 @@ import base64
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from shiftcast.functions import calendar
@@ -112,13 +113,37 @@ def test_stray_files_are_no_records(spark, tmp_path):
 
 def test_two_events_on_one_day(spark):
     events = spark.createDataFrame([("2024-01-01", "campaign")], "date string, name string")
-    spec = seasonal.spec_with_calendar(spark, seasonal.SeasonalSpec(), 2024, 2024, events)
+    spec = seasonal.spec_with_events(seasonal.spec_with_calendar(spark, seasonal.SeasonalSpec(), 2024, 2024), events)
     day = (datetime(2024, 1, 1) - datetime(1970, 1, 1)).days
-    design = seasonal._design(np.array([day * 24.0]), 0.0, 1.0, spec)
+    design = seasonal._design(np.array([day * 24.0]), 0.0, 1.0, spec, [[0]])
     blocks = [block for block, _, _ in seasonal.column_names(spec)]
     assert design[0, np.array(blocks) == "events"].sum() == 2
-    assert {spec.event_names[k] for k in spec.event_days[day]} == {"New Year", "campaign"}
-
+    assert {spec.event_names[k] for k in spec.event_days[day]} == {"New Year"} and spec.own_events == ("campaign",)
+
+
+def test_events_belong_to_their_series(spark, series):
+    """A campaign of one task raises its day there alone; repeated, unnamed and undated events do no harm."""
+    quiet = seasonal.SeasonalSpec(multiplicative=False, yearly=0, monthly=0, weekday_daily=0, weekend_daily=0, changepoints=0, seasonal_scale=100.0)
+    values = [10.0] * 24 * 20 + [60.0] * 24 + [10.0] * 24 * 9
+    both = series(values, task="calls").unionByName(series([10.0] * 24 * 30, task="emails"))
+    rows = [("calls", "2024-01-21", "campaign")] * 2 + [("calls", None, "campaign"), ("calls", "2024-01-31", "campaign"), (None, "2024-01-05", "campaign"), ("emails", "2024-01-02", None)]
+    events = spark.createDataFrame(rows, "task string, date string, name string")
+    spec = seasonal.spec_with_events(quiet, events)
+    said = seasonal.forecast(both, ["task"], 48, spec, include_history=True, events=events)
+    day = {(r["task"], r["date"]): r["yhat"] for r in said.groupBy("task", F.to_date("ts").cast("string").alias("date")).agg(F.avg("yhat").alias("yhat")).collect()}
+    assert day["calls", "2024-01-21"] == pytest.approx(60, abs=0.5) and day["calls", "2024-01-31"] == pytest.approx(60, abs=0.5)
+    assert all(v == pytest.approx(10, abs=0.5) for (task, date), v in day.items() if task == "emails" or date not in ("2024-01-21", "2024-01-31"))
+    with pytest.raises(ValueError, match="table is missing"):
+        seasonal.fit(both, ["task"], spec)
+    assert seasonal.spec_with_events(quiet, events.limit(0)).own_events == ()
+
+
+def test_predictions_go_on_over_the_years(spark, series):
+    spec = seasonal.SeasonalSpec(multiplicative=False, yearly=0, monthly=0, changepoints=0)
+    fitted = seasonal.fit(series([float(i % 24) for i in range(24 * 20)], start="2023-12-15 00:00:00"), ["task"], spec)
+    out = seasonal.predict(fitted, ["task"], spec, 24 * 400, include_history=True)
+    assert out.count() == out.select("ts").distinct().count() == 24 * 420
+    assert seasonal.predict(fitted, ["task"], spec, 0).count() == 0
 
 def test_streamed_sessions_end_after_a_longer_gap_only(spark):
     start = datetime(2024, 1, 1)
