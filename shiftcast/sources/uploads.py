@@ -42,7 +42,7 @@ def _records(text: Column) -> Column:
         plain = F.array_join(F.transform(pieces, unquoted), '"')
         return F.when(last % 2 == 0, F.array_join(F.transform(pieces, piece), "")).otherwise(plain)
 
-    # Bound values: a filter that is pushed below would otherwise evaluate them for every piece.
+    # Bound values, as those of a lambda are evaluated anew for every piece.
     whole = bind(F.split(_replaced(text, ANYWHERE), '"'), lambda pieces: bind(F.size(pieces) - 1, lambda last: joined(pieces, last)))
     return F.filter(F.split(whole, RECORD), lambda x: F.trim(x) != "")
 
@@ -64,23 +64,31 @@ def decode(payloads: DataFrame) -> DataFrame:
     A payload that is no base64 or no table of at least one line carries an
     error code instead of rows. A line break between quotes belongs to its field.
     """
-    usable = F.try_to_binary("content", F.lit("base64"))
-    decoded = payloads.withColumn("_text", usable.cast("string")).withColumn("_records", _records(F.col("_text")))
-    header = F.get("_records", F.lit(0))
-    sep = F.when(F.contains(header, F.lit(";")), F.lit(";")).otherwise(F.lit(","))
-    error = (
-        F.when(F.col("_text").isNull(), "NOT_BASE64")
-        .when(F.size("_records") == 0, "EMPTY_FILE")
-        .when(~F.lower("name").endswith(".csv"), "UNSUPPORTED_FORMAT")
-    )
-    checked = decoded.withColumn("error", error).withColumn("sep", F.when(F.col("error").isNull(), sep))
-    good, rest = F.col("error").isNull(), F.slice("_records", F.lit(2), F.greatest(F.size("_records") - 1, F.lit(0)))
-    names = F.transform(_fields(header, F.col("sep")), lambda c: F.regexp_replace(F.lower(F.trim(c)), " ", "_"))
-    return checked.select(
-        "name", "type", "error", "sep",
-        F.when(good, names).alias("columns"),
-        F.when(good, F.transform(rest, lambda r: _fields(r, F.col("sep")))).alias("lines"),
-    )
+    text = F.try_to_binary("content", F.lit("base64")).cast("string")
+
+    def table(text: Column, records: Column) -> Column:
+        error = (
+            F.when(text.isNull(), "NOT_BASE64")
+            .when(F.size(records) == 0, "EMPTY_FILE")
+            .when(~F.lower("name").endswith(".csv"), "UNSUPPORTED_FORMAT")
+        )
+        sep = F.when(F.contains(F.get(records, F.lit(0)), F.lit(";")), F.lit(";")).otherwise(F.lit(","))
+        return bind(F.struct(error.alias("error"), sep.alias("sep")), lambda known: split_up(records, known))
+
+    def split_up(records: Column, known: Column) -> Column:
+        good, sep = known["error"].isNull(), known["sep"]
+        rest = F.slice(records, F.lit(2), F.greatest(F.size(records) - 1, F.lit(0)))
+        names = F.transform(_fields(F.get(records, F.lit(0)), sep), lambda c: F.regexp_replace(F.lower(F.trim(c)), " ", "_"))
+        return F.struct(
+            known["error"].alias("error"), F.when(good, sep).alias("sep"), F.when(good, names).alias("columns"),
+            F.when(good, F.transform(rest, lambda r: _fields(r, sep))).alias("lines"),
+        )
+
+    whole = bind(text, lambda t: bind(_records(t), lambda records: table(t, records)))
+    # As the one row of a generator a file is taken apart once: no filter on the result, as that
+    # of a later explode, goes below it and does so again, in the end for each of its lines.
+    apart = payloads.select("name", "type", F.explode(F.array(whole)).alias("_file"))
+    return apart.select("name", "type", "_file.*")
 
 
 #: Lines whose values tell a time column where no name does.

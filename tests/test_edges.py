@@ -105,6 +105,14 @@ def test_upload_finds_a_time_column_by_its_values(spark):
         "0.csv": {"call_volume": "calls", "timestamp": "when"}, "1.csv": {"call_volume": "calls"}, "2.csv": {"call_volume": "calls"}}
 
 
+def test_upload_is_taken_apart_once(spark):
+    """Not again in the filter below the rows, whose separator would cost that for every line."""
+    rows = [("a.csv", "calls", base64.b64encode(b"Date;Calls\n2024-01-01;1\n").decode())]
+    read = uploads.rows(uploads.decode(spark.createDataFrame(rows, "name string, type string, content string")))
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("unbase64") == 1
+    assert [r["values"] for r in read.collect()] == [{"date": "2024-01-01", "calls": "1"}]
+
+
 def test_stray_files_are_no_records(spark, tmp_path):
     (tmp_path / "calls.csv").write_text("timestamp\n2024-01-01 08:00:00\n")
     (tmp_path / "call_notes.txt").write_text("timestamp\n2024-01-01 08:00:00\n2024-01-01 08:10:00\n")
