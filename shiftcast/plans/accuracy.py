@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import clock, numbers
 from ..functions.numbers import non_negative, z_score
 from ..operators import diagnostics, forecast, hourly, metrics, quality, quantiles, rollups, tracking
-from ..session import new_work_path
+from ..session import new_work_path, persist_to_shared
 from . import base
 from .base import SERIES, Catalog, cte, d, i, r, t
 from .rollups import OUTLOOK_DAYS, outlook_days
@@ -289,12 +289,17 @@ def error_by_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     store_sql(
         f"SELECT count(*) AS rows, {r('avg(mape)', 'avg_mape')}, {r('100-avg(mape)', 'avg_accuracy')}, {r('avg(mape) FILTER (k <= 5)', 'recent_mape')}, {r('avg(mape) FILTER (k > n-5)', 'older_mape')}, "
         "CASE WHEN avg(mape) FILTER (k <= 5) < avg(mape) FILTER (k > n-5) THEN 'improving' WHEN avg(mape) FILTER (k <= 5) > 1.1*avg(mape) FILTER (k > n-5) THEN 'declining' END AS trend, 'ok' AS status, "
-        "(SELECT count(*) FROM (SELECT task FROM sm GROUP BY task HAVING avg(mape) > 20)) AS high_error_targets FROM rk",
+        "(SELECT string_agg(task, ',' ORDER BY task) FROM (SELECT task FROM sm GROUP BY task HAVING avg(mape) > 20)) AS high_error_targets FROM rk",
         sm=_SUMMARY, rk="SELECT *, row_number() OVER (ORDER BY created_at DESC, forecast_id DESC, task) AS k, count(*) OVER () AS n FROM sm"),
 )
 def learning_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The insights, with the names of the tasks that miss by more than a fifth for their number."""
     summary = tracking.accuracy_summary(store(spark, sf_dir), base.workload_all(spark, sf_dir), ["task"], limit=20)
-    return tracking.learning_insights(summary, ["task"])
+    summary = persist_to_shared(summary, "summary")
+    names = F.array_join(F.array_sort(F.collect_list("task")), ",")
+    listed = tracking.high_error_targets(summary, ["task"]).agg(F.nullif(names, F.lit("")).alias("high_error_targets"))
+    found = tracking.learning_insights(summary, ["task"]).drop("high_error_targets")
+    return found.crossJoin(F.broadcast(listed))
 
 
 @catalog.query(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shiftcast.config import FORECAST
 from shiftcast.functions import special
 from shiftcast.operators import diagnostics, learned, leads, metrics, models, quality, roster, seasonal, tracking
+from shiftcast.plans import accuracy
 
 
 def pairs(spark, rows):
@@ -140,6 +141,18 @@ def test_insights(spark):
     assert insights(30.0, 30.0)["high_error_targets"] == 1
 
 
+def test_insights_name_the_high_error_targets(spark, tmp_path):
+    """Steady calls are forecast well; e-mails and errors that differ from week to week are not."""
+    hours = spark.range(21 * 24).withColumn("week", F.floor(F.col("id") / 168))
+    loud = F.when(F.col("week") % 2 == 0, 9).otherwise(1)
+    rows = hours.select("id", F.explode(F.create_map(F.lit("click"), F.lit(2), F.lit("view"), loud, F.lit("error"), loud)).alias("event_type", "n"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    ts = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("id").cast("int"))
+    events = rows.select(F.lit(1).cast("long").alias("user_id"), ts.alias("ts"), "event_type", F.lit(1.0).alias("value"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    assert accuracy.learning_insights(spark, str(tmp_path)).head()["high_error_targets"] == "emails,outbound_nb"
+
+
 def test_outlook_edges(spark):
     df = spark.createDataFrame([(5.0, 0.0, 0.0)], "forecast double, actual double, adjustment double")
     row = tracking.outlook_accuracy(df).head()
