@@ -248,6 +248,23 @@ def test_live_lockouts_of_one_hot_account(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
 
 
+def test_live_lockouts_of_many_accounts_in_few_groups(spark, tmp_path):
+    """State is kept per group and slice, not per account: accounts of one group stay apart, as do those unknown."""
+    rng = random.Random(23)
+    start = datetime(2024, 1, 1)
+    rows = sorted((start + timedelta(seconds=rng.randint(0, 14_400), microseconds=k), 2**60 + rng.randint(0, 11), rng.random() < 0.1) for k in range(900))
+    known = lambda u: None if u == 2**60 else u
+    df = spark.createDataFrame([(known(u), at.isoformat(sep=" "), ok) for at, u, ok in rows], "user long, ts string, success boolean")
+    df = df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    write_batches(spark, df, str(tmp_path), 3)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/p*")
+    found = lockout.live_lockouts(stream, max_attempts=3, groups=2)
+    out = spark.read.parquet(live.write_available(found, "t-groups", settings=lockout.STATE_STORE)).collect()
+    wanted = [(known(u), at) for u, at, _ in brute_lockouts(rows, 3)]
+    assert {(r["user"], r["ts"]) for r in out} == set(wanted) and len(out) == len(wanted) > 50
+    assert any(u is None for u, _ in wanted)
+
+
 def test_live_hourly_drops_late_rows(spark, tmp_path):
     def rows(*texts):
         return spark.createDataFrame([("calls", t) for t in texts], "task string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
