@@ -233,10 +233,15 @@ def seasonal_event_equations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("task", "name", days.alias("days"), (total / F.col("n") + F.col("ridge")).alias("moment"))
 
 
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The workload over all sites, written: forecasts read it many times, the events once."""
+    return persist_to_shared(base.workload_all(spark, sf_dir), "history")
+
+
 @catalog.query("recursive_forecast")
 def recursive_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Next two days per task, each day's predictions feeding the features of the next."""
-    return learned.forecast_recursive(base.workload_all(spark, sf_dir), ["task"], 48, FORECAST)
+    return learned.forecast_recursive(_history(spark, sf_dir), ["task"], 48, FORECAST)
 
 
 @catalog.query(
@@ -248,7 +253,7 @@ def recursive_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recursive_forecast_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first day of the recursion is the direct forecast of the same trees, and the second
     that of a history which ends with the first."""
-    w, keys = base.workload_all(spark, sf_dir), ["task"]
+    w, keys = _history(spark, sf_dir), ["task"]
     span = persist_to_shared(learned.holiday_span(w, 48), "span")
     fitted = {"model": learned.fit_for_block(w, keys, 24, span, FORECAST, "task"), "span": span}
     said = persist_to_shared(learned.forecast_recursive(w, keys, 48, FORECAST, **fitted), "said")
@@ -268,11 +273,11 @@ def recursive_forecast_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.query("boosted_forecast")
 def boosted_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Next day per task from boosted trees, the whole horizon in one batch."""
-    return learned.forecast_boosted(base.workload_all(spark, sf_dir), ["task"], 24, FORECAST)
+    return learned.forecast_boosted(_history(spark, sf_dir), ["task"], 24, FORECAST)
 
 
 def _fitted(spark: SparkSession, sf_dir: str) -> learned.BoostedModel:
-    w = base.workload_all(spark, sf_dir)
+    w = _history(spark, sf_dir)
     return learned.fit_for_block(w, ["task"], 24, persist_to_shared(learned.holiday_span(w, 24), "span"), FORECAST, "task")
 
 

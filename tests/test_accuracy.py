@@ -12,6 +12,7 @@ from shiftcast.config import FORECAST
 from shiftcast.functions import special
 from shiftcast.operators import diagnostics, learned, leads, metrics, models, quality, roster, seasonal, tracking
 from shiftcast.plans import accuracy
+from shiftcast.plans import models as plans_models
 
 
 def pairs(spark, rows):
@@ -153,6 +154,25 @@ def test_insights_name_the_high_error_targets(spark, tmp_path):
     assert accuracy.learning_insights(spark, str(tmp_path)).head()["high_error_targets"] == "emails,outbound_nb"
 
 
+def test_learned_forecasts_read_the_events_once(spark, tmp_path, monkeypatch):
+    """What is fitted and extended is a written workload, not a scan of the events for each of its uses."""
+    events = spark.createDataFrame([(k, f"2024-01-01 0{k}:10:00", "click", 1.0) for k in range(5)], "user_id long, ts string, event_type string, value double")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    given = []
+
+    def keep(history, *_, **__):
+        given.append(history)
+        raise InterruptedError
+
+    for name in ("holiday_span", "forecast_recursive", "forecast_boosted"):
+        monkeypatch.setattr(learned, name, keep)
+    for query in ("recursive_forecast", "recursive_forecast_checks", "boosted_forecast", "boosted_accuracy"):
+        with pytest.raises(InterruptedError):
+            getattr(plans_models, query)(spark, str(tmp_path))
+    assert len(given) == 4 and all(h.count() == 5 for h in given)
+    assert not any("events.parquet" in f for h in given for f in h.inputFiles())
+
+
 def test_outlook_edges(spark):
     df = spark.createDataFrame([(5.0, 0.0, 0.0)], "forecast double, actual double, adjustment double")
     row = tracking.outlook_accuracy(df).head()
