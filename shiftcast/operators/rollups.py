@@ -223,7 +223,7 @@ def quality_tiles(df: DataFrame, ts: str | None = None) -> DataFrame:
     shuffled whole; NULLs are marked, because a hash passes over them."""
     cells_of = [F.col(f"`{c}`") for c in df.columns]
     hashes = [F.xxhash64(F.lit(seed), *[c.isNull() for c in cells_of], *cells_of).alias(f"_h{seed}") for seed in (1, 2)]
-    missing = reduce(add, [F.col(c).isNull().cast("bigint") for c in df.columns])
+    missing = reduce(add, [c.isNull().cast("bigint") for c in cells_of])
     span = F.datediff(F.max(ts), F.min(ts)) if ts else F.lit(None).cast("int")
     cells = df.agg(
         F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(missing), F.lit(0)).alias("missing_cells"), span.alias("span_days")
